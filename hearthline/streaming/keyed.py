@@ -1,0 +1,270 @@
+"""Streams that keep state per key.
+
+State is a few numbers per key.  Within a micro-batch the rows of a key are put
+in time order; their number is bounded by the rate limit of the source
+(``maxOffsetsPerTrigger`` or ``maxFilesPerTrigger``).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.claims import CLAIM_TTL
+from ..operators.series import STALE_AFTER
+from ..operators.views import VIEW_GAP
+from ..session import use_keyed_state
+
+# Idle state is kept this long at least, on the processing clock.  That only
+# bounds the state store; decisions compare event times.
+IDLE_STATE_MS = 6 * 3600 * 1000
+
+
+def _idle_ms(duration: int) -> int:
+    return max(IDLE_STATE_MS, 2 * duration // 1_000_000)
+
+
+def _nanos(duration: str) -> int:
+    return pd.Timedelta(duration).value
+
+
+def _gather(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    return pd.concat(list(rows), ignore_index=True).sort_values(order, ignore_index=True)
+
+
+def _instants(column: pd.Series) -> np.ndarray:
+    return column.to_numpy(dtype="datetime64[ns]").astype("int64")
+
+
+class _Throttle(StatefulProcessor):
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at bigint", _idle_ms(self.gap))
+
+    def handleInputRows(self, key, rows, timerValues):
+        views = _gather(rows, ["viewed_at", "id"])
+        times = _instants(views["viewed_at"])
+        stored = self.last.get()
+        at = 0 if stored is None else int(np.searchsorted(times, stored[0] + self.gap, "right"))
+        accepted = []
+        while at < len(times):
+            accepted.append(at)
+            at = int(np.searchsorted(times, times[at] + self.gap, "right"))
+        if accepted:
+            self.last.update((int(times[accepted[-1]]),))
+            yield views.iloc[accepted]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_throttle(views: DataFrame, gap: str = VIEW_GAP) -> DataFrame:
+    """``throttle_views`` on a stream; a pair's views must arrive in time order
+    across micro-batches."""
+    use_keyed_state(views.sparkSession)
+    return (
+        views.filter(F.col("viewed_at").isNotNull())
+        .groupBy("user_id", "device_id")
+        .transformWithStateInPandas(_Throttle(_nanos(gap)), views.schema, "append", "processingTime")
+    )
+
+
+class _Claims(StatefulProcessor):
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        schema = "issue_id bigint, user_id string, issued_at bigint, used boolean"
+        self.code = handle.getValueState("code", schema, _idle_ms(self.ttl))
+
+    def handleInputRows(self, key, rows, timerValues):
+        log = _gather(rows, ["at", "is_claim", "id"])
+        live = self.code.get()
+        issue_ids, user_ids = [], []
+        for is_claim, id_, user, at in zip(
+            log["is_claim"], log["id"], log["user_id"], _instants(log["at"])
+        ):
+            if not is_claim:
+                live = (int(id_), user, int(at), False)
+                continue
+            won = live is not None and not live[3] and at < live[2] + self.ttl
+            issue_ids.append(live[0] if won else None)
+            user_ids.append(live[1] if won else None)
+            if won:
+                live = (*live[:3], True)
+        if live is not None:
+            self.code.update(live)
+        claims = log[log["is_claim"]]
+        if len(claims):
+            yield pd.DataFrame(
+                {
+                    "claim_id": claims["id"].to_numpy(),
+                    "code": key[0],
+                    "claimed_at": claims["at"].to_numpy(),
+                    "issue_id": pd.array(issue_ids, dtype="Int64"),
+                    "user_id": user_ids,
+                    "status": ["NOT_FOUND" if i is None else "CLAIMED" for i in issue_ids],
+                }
+            )
+
+    def close(self) -> None:
+        pass
+
+
+def stream_claims(codes: DataFrame, claims: DataFrame, ttl: str = CLAIM_TTL) -> DataFrame:
+    """``resolve_claims`` on two streams; each code's rows must arrive in time
+    order across micro-batches."""
+    use_keyed_state(codes.sparkSession)
+    issued = codes.select(
+        "code",
+        F.lit(False).alias("is_claim"),
+        F.col("issue_id").alias("id"),
+        "user_id",
+        F.col("issued_at").alias("at"),
+    )
+    asked = claims.select(
+        "code",
+        F.lit(True).alias("is_claim"),
+        F.col("claim_id").alias("id"),
+        F.lit(None).cast("string").alias("user_id"),
+        F.col("claimed_at").alias("at"),
+    )
+    output = T.StructType(
+        [
+            T.StructField("claim_id", T.LongType()),
+            T.StructField("code", T.StringType()),
+            T.StructField("claimed_at", claims.schema["claimed_at"].dataType),
+            T.StructField("issue_id", T.LongType()),
+            T.StructField("user_id", T.StringType()),
+            T.StructField("status", T.StringType()),
+        ]
+    )
+    return (
+        issued.unionByName(asked)
+        .filter(F.col("at").isNotNull())
+        .groupBy("code")
+        .transformWithStateInPandas(_Claims(_nanos(ttl)), output, "append", "processingTime")
+    )
+
+
+class _Staleness(StatefulProcessor):
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.span = handle.getValueState("span", "online_from bigint, last_seen bigint, readings bigint")
+
+    def _spans(self, device: str, spans: list[tuple[int, int, int]]) -> pd.DataFrame:
+        starts, ends, readings = zip(*spans)
+        as_time = lambda nanos: pd.to_datetime(np.array(nanos, dtype="int64"), unit="ns")
+        return pd.DataFrame(
+            {
+                "device_id": device,
+                "online_from": as_time(starts),
+                "last_seen": as_time(ends),
+                "readings": readings,
+                "stale_from": as_time(np.array(ends, dtype="int64") + self.gap),
+            }
+        )
+
+    def handleInputRows(self, key, rows, timerValues):
+        times = np.sort(np.concatenate([_instants(r["ts"]) for r in rows]))
+        stored = self.span.get()
+        cuts = np.flatnonzero(np.diff(times) > self.gap) + 1
+        firsts = np.concatenate([[0], cuts])
+        lasts = np.concatenate([cuts, [len(times)]])
+        spans = [(int(times[a]), int(times[b - 1]), int(b - a)) for a, b in zip(firsts, lasts)]
+        if stored is not None:
+            start, end, readings = stored
+            if spans[0][0] - end <= self.gap:
+                head = spans[0]
+                spans[0] = (min(start, head[0]), max(end, head[1]), readings + head[2])
+            else:
+                spans.insert(0, (start, end, readings))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        self.span.update(spans[-1])
+        self.handle.registerTimer(-(-(spans[-1][1] + self.gap) // 1_000_000))
+        if spans[:-1]:
+            yield self._spans(key[0], spans[:-1])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        stored = self.span.get()
+        if stored is not None:
+            self.span.clear()
+            yield self._spans(key[0], [tuple(stored)])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_staleness(points: DataFrame, gap: str = STALE_AFTER, delay: str = "0 seconds") -> DataFrame:
+    """Online spans, each as soon as event time has moved ``gap`` past its last reading."""
+    use_keyed_state(points.sparkSession)
+    ts = points.schema["ts"].dataType
+    output = T.StructType(
+        [
+            T.StructField("device_id", T.StringType()),
+            T.StructField("online_from", ts),
+            T.StructField("last_seen", ts),
+            T.StructField("readings", T.LongType()),
+            T.StructField("stale_from", ts),
+        ]
+    )
+    return (
+        points.select("device_id", "ts")
+        .withWatermark("ts", delay)
+        .groupBy("device_id")
+        .transformWithStateInPandas(_Staleness(_nanos(gap)), output, "append", "eventTime")
+    )
+
+
+class _Lateness(StatefulProcessor):
+    def __init__(self, delay: int):
+        self.delay = delay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.top = handle.getValueState("top", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        log = _gather(rows, ["arrival"])
+        times = _instants(log["ts"])
+        stored = self.top.get()
+        tops = np.maximum.accumulate(times)
+        if stored is not None:
+            tops = np.maximum(tops, stored[0])
+        before = pd.Series(tops).shift(1).astype("Int64")
+        before.iloc[0] = pd.NA if stored is None else stored[0]
+        self.top.update((int(tops[-1]),))
+        log["seen_until"] = pd.to_datetime(before, unit="ns")
+        log["lag_micros"] = (_instants(log["arrival_ts"]) - times) // 1000
+        log["late"] = (before - times > self.delay).fillna(False).astype(bool)
+        yield log
+
+    def close(self) -> None:
+        pass
+
+
+def stream_late_arrivals(points: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """``late_arrivals`` on a stream.  Nothing is dropped: lateness is reported per reading."""
+    use_keyed_state(points.sparkSession)
+    output = T.StructType(
+        [
+            *points.schema.fields,
+            T.StructField("seen_until", points.schema["ts"].dataType),
+            T.StructField("lag_micros", T.LongType()),
+            T.StructField("late", T.BooleanType()),
+        ]
+    )
+    return points.groupBy("device_id").transformWithStateInPandas(
+        _Lateness(_nanos(delay)), output, "append", "none"
+    )

@@ -1,0 +1,18 @@
+"""Streams that Spark's own streaming operators express."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators.series import bucket_means
+from ..operators.views import trackable_views, valid_views
+
+
+def stream_history(points: DataFrame, bucket: str, delay: str) -> DataFrame:
+    """Bucket means as each bucket closes, ``delay`` after its end in event time."""
+    return bucket_means(points.withWatermark("ts", delay), bucket)
+
+
+def stream_trackable_views(views: DataFrame, devices: DataFrame) -> DataFrame:
+    """Valid views of own active devices; ``devices`` is a static table."""
+    return trackable_views(valid_views(views), devices)
