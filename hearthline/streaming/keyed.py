@@ -1,6 +1,12 @@
 """Streams that keep state per key.
 
-State is a few numbers per key.  Within a micro-batch the rows of a key are put
+State is a few numbers per key.  With ``keep``, the throttle and the claims forget
+a key that was idle that long on the processing clock.  It bounds the state store
+only: choose it longer than the gap plus any delay of the input, since decisions
+compare event times.  Such a query keeps looking for expired state, so it does not
+end by itself under an ``availableNow`` trigger.
+
+Within a micro-batch the rows of a key are put
 in time order; their number is bounded by the rate limit of the source
 (``maxOffsetsPerTrigger`` or ``maxFilesPerTrigger``).
 """
@@ -21,17 +27,16 @@ from ..operators.series import STALE_AFTER
 from ..operators.views import VIEW_GAP
 from ..session import use_keyed_state
 
-# Idle state is kept this long at least, on the processing clock.  That only
-# bounds the state store; decisions compare event times.
-IDLE_STATE_MS = 6 * 3600 * 1000
+def _nanos(duration: str) -> int:
+    return pd.Timedelta(duration).value
 
 
-def _idle_ms(duration: int) -> int:
-    return max(IDLE_STATE_MS, 2 * duration // 1_000_000)
+def _expiry(keep: str | None) -> tuple[int | None, str]:
+    """State lifetime in milliseconds and the time mode it needs."""
+    return (None, "none") if keep is None else (_nanos(keep) // 1_000_000, "processingTime")
 
 
-def _nanos(duration: str) -> int:
-    return pd.Timedelta(duration).value
+_NO_TIME = np.iinfo(np.int64).min  # the integer behind a missing datetime64
 
 
 def _gather(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -43,11 +48,12 @@ def _instants(column: pd.Series) -> np.ndarray:
 
 
 class _Throttle(StatefulProcessor):
-    def __init__(self, gap: int):
+    def __init__(self, gap: int, keep_ms: int | None):
         self.gap = gap
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at bigint", _idle_ms(self.gap))
+        self.last = handle.getValueState("last", "at bigint", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         views = _gather(rows, ["viewed_at", "id"])
@@ -66,24 +72,26 @@ class _Throttle(StatefulProcessor):
         pass
 
 
-def stream_throttle(views: DataFrame, gap: str = VIEW_GAP) -> DataFrame:
+def stream_throttle(views: DataFrame, gap: str = VIEW_GAP, keep: str | None = None) -> DataFrame:
     """``throttle_views`` on a stream; a pair's views must arrive in time order
     across micro-batches."""
     use_keyed_state(views.sparkSession)
+    keep_ms, mode = _expiry(keep)
     return (
         views.filter(F.col("viewed_at").isNotNull())
         .groupBy("user_id", "device_id")
-        .transformWithStateInPandas(_Throttle(_nanos(gap)), views.schema, "append", "processingTime")
+        .transformWithStateInPandas(_Throttle(_nanos(gap), keep_ms), views.schema, "append", mode)
     )
 
 
 class _Claims(StatefulProcessor):
-    def __init__(self, ttl: int):
+    def __init__(self, ttl: int, keep_ms: int | None):
         self.ttl = ttl
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = "issue_id bigint, user_id string, issued_at bigint, used boolean"
-        self.code = handle.getValueState("code", schema, _idle_ms(self.ttl))
+        self.code = handle.getValueState("code", schema, self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         log = _gather(rows, ["at", "is_claim", "id"])
@@ -119,10 +127,13 @@ class _Claims(StatefulProcessor):
         pass
 
 
-def stream_claims(codes: DataFrame, claims: DataFrame, ttl: str = CLAIM_TTL) -> DataFrame:
+def stream_claims(
+    codes: DataFrame, claims: DataFrame, ttl: str = CLAIM_TTL, keep: str | None = None
+) -> DataFrame:
     """``resolve_claims`` on two streams; each code's rows must arrive in time
     order across micro-batches."""
     use_keyed_state(codes.sparkSession)
+    keep_ms, mode = _expiry(keep)
     issued = codes.select(
         "code",
         F.lit(False).alias("is_claim"),
@@ -151,7 +162,7 @@ def stream_claims(codes: DataFrame, claims: DataFrame, ttl: str = CLAIM_TTL) ->
         issued.unionByName(asked)
         .filter(F.col("at").isNotNull())
         .groupBy("code")
-        .transformWithStateInPandas(_Claims(_nanos(ttl)), output, "append", "processingTime")
+        .transformWithStateInPandas(_Claims(_nanos(ttl), keep_ms), output, "append", mode)
     )
 
 
@@ -242,12 +253,11 @@ class _Lateness(StatefulProcessor):
         tops = np.maximum.accumulate(times)
         if stored is not None:
             tops = np.maximum(tops, stored[0])
-        before = pd.Series(tops).shift(1).astype("Int64")
-        before.iloc[0] = pd.NA if stored is None else stored[0]
+        before = np.concatenate([[_NO_TIME if stored is None else stored[0]], tops[:-1]])
         self.top.update((int(tops[-1]),))
-        log["seen_until"] = pd.to_datetime(before, unit="ns")
+        log["seen_until"] = before.astype("datetime64[ns]")
         log["lag_micros"] = (_instants(log["arrival_ts"]) - times) // 1000
-        log["late"] = (before - times > self.delay).fillna(False).astype(bool)
+        log["late"] = (before != _NO_TIME) & (before > times + self.delay)
         yield log
 
     def close(self) -> None:
