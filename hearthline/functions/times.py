@@ -5,11 +5,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: an instant on the wire, date and time with an offset.
-_ISO = (
-    r"(?i)^[+-]?\d{4,}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:?\d{2})\z"
-)
-_EPOCH = r"^-?\d+(\.\d+)?\z"
+# An instant on the wire, date and time with an offset (with or
+# without a colon), or seconds since 1970.
+_DATE_TIME = r"^[+-]?[0-9]{4,}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?"
+_ISO = _DATE_TIME + r"([Zz]|[+-][0-9]{2}:[0-9]{2})\z"
+_ISO_SHORT = _DATE_TIME + r"[+-][0-9]{4}\z"
+_EPOCH = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
 
 
 def interval(text: str) -> Column:
@@ -30,13 +31,12 @@ def truncate_millis(ts: Column) -> Column:
 
 def parse_instant(text: Column) -> Column:
     """ISO-8601 with an offset, or epoch seconds; null when it is neither."""
-    iso = F.regexp_replace(text, r"([+-]\d{2})(\d{2})\z", "$1:$2")
+    colon = F.regexp_replace(text, r"([0-9]{2})\z", ":$1")
+    seconds = text.try_cast("decimal(26,6)")
     return (
-        F.when(text.rlike(_ISO), iso.try_cast("timestamp"))
-        .when(
-            text.rlike(_EPOCH),
-            F.timestamp_micros((text.try_cast("decimal(26,6)") * 1_000_000).try_cast("bigint")),
-        )
+        F.when(text.rlike(_ISO), F.upper(text).try_cast("timestamp"))
+        .when(text.rlike(_ISO_SHORT), F.upper(colon).try_cast("timestamp"))
+        .when(text.rlike(_EPOCH), F.timestamp_micros((seconds * 1_000_000).try_cast("bigint")))
         .otherwise(F.lit(None).cast("timestamp"))
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import (
@@ -28,6 +29,15 @@ PURGE_ACTION = "PURGE"
 LIVE_PREFIX = "/topic/device."
 
 
+def _decode(text: Column, schema: T.StructType) -> Column:
+    """The fields of a JSON document as a generator of one row.
+
+    A generator is evaluated once per row.  A plain ``from_json`` column would be
+    copied into every filter on one of its fields and parsed again for each.
+    """
+    return F.inline(F.array(F.from_json(text, schema, _JSON)))
+
+
 def _number(leaf: Column) -> tuple[Column, Column]:
     """(value, malformed) of an optional number that may be quoted."""
     text = F.trim(leaf)
@@ -64,16 +74,17 @@ def parse_telemetry(raw: DataFrame, value: str = "value") -> DataFrame:
     so the two branches below always add up to the input.
     """
     text = F.col(value)
-    decoded = raw.withColumn("_e", F.from_json(text, schemas.TELEMETRY_JSON, _JSON))
-    event, data = F.col("_e"), F.col("_e.data")
-    current, current_bad = _number(data["currentTemperature"])
+    fields = _decode(text, schemas.TELEMETRY_JSON).alias("_id", "_time", "_data")
+    decoded = raw.select("*", fields)
+    device, data = F.col("_id"), F.col("_data")
+    current, _ = _number(data["currentTemperature"])
     target, target_bad = _number(data["targetTemperature"])
     heating, heating_bad = _flag(text, data["heatingStatus"])
-    ts = parse_instant(event["timestamp"])
+    ts = parse_instant(F.col("_time"))
     valid = (
-        ~is_blank(event["deviceId"])
-        & ~has_nul(event["deviceId"])
-        & ~_nested(text, "deviceId", event["deviceId"])
+        ~is_blank(device)
+        & ~has_nul(device)
+        & ~_nested(text, "deviceId", device)
         & ts.isNotNull()
         & current.isNotNull()
         & ~target_bad
@@ -81,7 +92,7 @@ def parse_telemetry(raw: DataFrame, value: str = "value") -> DataFrame:
     )
     return decoded.select(
         *raw.columns,
-        event["deviceId"].alias("device_id"),
+        device.alias("device_id"),
         ts.alias("ts"),
         current.alias("current_temperature"),
         target.alias("target_temperature"),
@@ -153,12 +164,12 @@ def keyed_records(events: DataFrame) -> DataFrame:
 def parse_purges(raw: DataFrame, value: str = "value") -> DataFrame:
     """Devices named by well-formed PURGE events; everything else is dropped."""
     kept = [c for c in raw.columns if c != value]
-    text, event = F.col(value), F.col("_e")
-    wrong_type = _nested(text, "deviceId", event["deviceId"]) | _nested(text, "action", event["action"])
+    text, device, action = F.col(value), F.col("_id"), F.col("_action")
+    fields = _decode(text, schemas.PURGE_JSON).alias("_id", "_action")
     return (
-        raw.withColumn("_e", F.from_json(text, schemas.PURGE_JSON, _JSON))
-        .filter((event["action"] == PURGE_ACTION) & ~wrong_type)
-        .select(event["deviceId"].alias("device_id"), *kept)
+        raw.select("*", fields)
+        .filter((action == PURGE_ACTION) & ~_nested(text, "deviceId", device))
+        .select(device.alias("device_id"), *kept)
     )
 
 
