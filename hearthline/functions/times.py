@@ -44,9 +44,7 @@ def parse_instant(text: Column) -> Column:
 def iso_instant(ts: Column) -> Column:
     """UTC text with no, three or six fraction digits, whichever is exact."""
     micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
+    length = F.when(micros == 0, 19).when(micros % 1000 == 0, 23).otherwise(26)
     utc = F.to_utc_timestamp(ts, F.current_timezone())
-    return (
-        F.when(micros == 0, F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .when(micros % 1000 == 0, F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-        .otherwise(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
-    )
+    full = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.substring(full, F.lit(1), length), F.lit("Z"))

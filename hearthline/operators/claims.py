@@ -23,68 +23,61 @@ def resolve_claims(codes: DataFrame, claims: DataFrame, ttl: str = CLAIM_TTL) ->
     claim; every other claim is NOT_FOUND.
 
     Both logs are cut into time slices as long as ``ttl``, so an often used code
-    is spread over its slices.  A claim can only reach back one slice, and there
-    only to the latest issuance, which is handed on as one row per code and slice.
+    is spread over its slices.  A claim can reach back one slice only, and there
+    only to the latest issuance.  That one is handed on, as one row per code and
+    slice, unless a claim in its own slice used it up.
     """
     life = interval(ttl)
-    issuance = F.struct("issued_at", "issue_id", "user_id")
     issued = codes.filter(F.col("issued_at").isNotNull()).select(
         "code",
         F.window("issued_at", ttl).alias("_slice"),
         F.col("issued_at").alias("_at"),
         F.lit(1).alias("_order"),
-        issuance.alias("_issue"),
-    )
-    handed_on = (
-        issued.groupBy("code", "_slice")
-        .agg(F.max("_issue").alias("_issue"))
-        .select(
-            "code",
-            F.struct(
-                F.col("_slice.end").alias("start"), (F.col("_slice.end") + life).alias("end")
-            ).alias("_slice"),
-            F.col("_slice.end").alias("_at"),
-            F.lit(0).alias("_order"),
-            "_issue",
-        )
+        F.struct("issued_at", "issue_id", "user_id").alias("_issue"),
     )
     asked = claims.filter(F.col("claimed_at").isNotNull()).select(
         "code",
         F.window("claimed_at", ttl).alias("_slice"),
         F.col("claimed_at").alias("_at"),
         F.lit(2).alias("_order"),
-        F.lit(None).cast(issued.schema["_issue"].dataType).alias("_issue"),
         "claim_id",
     )
-    timeline = (
-        issued.unionByName(handed_on)
-        .unionByName(asked, allowMissingColumns=True)
-        .withColumn("_slice", F.col("_slice.start"))
-    )
-    so_far = (
-        W.partitionBy("code", "_slice")
-        .orderBy("_at", "_order", "_issue")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    live = (
-        timeline.withColumn("_issue", F.last("_issue", ignorenulls=True).over(so_far))
-        .filter(F.col("_order") == 2)
-        .withColumn("_issue", F.when(F.col("_at") < F.col("_issue.issued_at") + life, F.col("_issue")))
-        .select("claim_id", "code", F.col("_at").alias("claimed_at"), "_issue.*")
+    log = issued.unionByName(asked, allowMissingColumns=True)
+    end = F.col("_slice.end")
+    handed_on = (
+        log.groupBy("code", "_slice")
+        .agg(
+            F.max("_issue").alias("_issue"),
+            F.max(F.when(F.col("_order") == 2, F.col("_at"))).alias("_claimed"),
+        )
+        .filter(
+            F.col("_issue").isNotNull()
+            & F.coalesce(F.col("_claimed") < F.col("_issue.issued_at"), F.lit(True))
+        )
+        .select(
+            "code",
+            F.struct(end.alias("start"), (end + life).alias("end")).alias("_slice"),
+            end.alias("_at"),
+            F.lit(0).alias("_order"),
+            "_issue",
+        )
     )
-    first = (
-        live.filter(F.col("issue_id").isNotNull())
-        .groupBy("issue_id")
-        .agg(F.min(F.struct("claimed_at", "claim_id")).alias("_first"))
-        .select(F.col("_first.claim_id").alias("claim_id"), F.lit(True).alias("_won"))
+    in_order = W.partitionBy("code", "_slice").orderBy("_at", "_order", "_issue", "claim_id")
+    so_far = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    timeline = log.unionByName(handed_on, allowMissingColumns=True).withColumns(
+        {
+            "_live": F.last("_issue", ignorenulls=True).over(so_far),
+            # Only the first claim after an issuance can win it.
+            "_first": F.coalesce(F.lag("_order").over(in_order) != 2, F.lit(False)),
+        }
     )
-    won = F.coalesce("_won", F.lit(False))
-    return live.join(first, "claim_id", "left").select(
+    won = F.col("_first") & F.coalesce(F.col("_at") < F.col("_live.issued_at") + life, F.lit(False))
+    return timeline.filter(F.col("_order") == 2).select(
         "claim_id",
         "code",
-        "claimed_at",
-        F.when(won, F.col("issue_id")).alias("issue_id"),
-        F.when(won, F.col("user_id")).alias("user_id"),
+        F.col("_at").alias("claimed_at"),
+        F.when(won, F.col("_live.issue_id")).alias("issue_id"),
+        F.when(won, F.col("_live.user_id")).alias("user_id"),
         F.when(won, "CLAIMED").otherwise("NOT_FOUND").alias("status"),
     )
 

@@ -151,14 +151,11 @@ def encode_telemetry(events: DataFrame) -> DataFrame:
 def keyed_records(events: DataFrame) -> DataFrame:
     """Sink records keyed by device, so one device stays in one topic partition.
 
-    A row without a usable key is left out.  ``ts`` rides along as a column
-    because the Kafka sink cannot set the record time.
+    A row without a key is left out.  ``ts`` rides along as a column because the
+    Kafka sink cannot set the record time.
     """
-    return (
-        encode_telemetry(events)
-        .filter(F.col("device_id").isNotNull() & F.col("value").isNotNull())
-        .select(F.col("device_id").alias("key"), "value", "ts")
-    )
+    keyed = events.filter(F.col("device_id").isNotNull())
+    return encode_telemetry(keyed).select(F.col("device_id").alias("key"), "value", "ts")
 
 
 def parse_purges(raw: DataFrame, value: str = "value") -> DataFrame:

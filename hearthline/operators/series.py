@@ -155,19 +155,33 @@ def history_with_tail(
     return _last_by(head.unionByName(tail), n, order, salts)
 
 
-def purge_points(points: DataFrame, purges: DataFrame, arrived_at: str | None = None) -> DataFrame:
+def purge_points(
+    points: DataFrame, purges: DataFrame, arrived_at: str | None = None, salts: int = 32
+) -> DataFrame:
     """Drop the points that each purged device had up to its latest purge.
 
     ``purges`` has (device_id, purge_ts).  With ``arrived_at`` (null counts as
     the reading's own time), readings that arrived after the purge ran are kept
     even if their own time is earlier.
+
+    Where the purges are too many to broadcast, a salt spreads the points of one
+    device over ``salts`` tasks; each latest purge is repeated once per salt.
     """
-    latest = purges.groupBy("device_id").agg(F.max("purge_ts").alias("purge_ts"))
-    p, d = points.alias("p"), latest.alias("d")
-    gone = (F.col("p.device_id") == F.col("d.device_id")) & (F.col("p.ts") <= F.col("d.purge_ts"))
+    latest = (
+        purges.groupBy("device_id")
+        .agg(F.max("purge_ts").alias("purge_ts"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
+    p = points.withColumn("_salt", F.pmod(F.xxhash64("ts"), F.lit(salts)).cast("int")).alias("p")
+    d = latest.alias("d")
+    gone = (
+        (F.col("p.device_id") == F.col("d.device_id"))
+        & (F.col("p._salt") == F.col("d._salt"))
+        & (F.col("p.ts") <= F.col("d.purge_ts"))
+    )
     if arrived_at:
         gone = gone & (F.coalesce(f"p.{arrived_at}", "p.ts") <= F.col("d.purge_ts"))
-    return p.join(d, gone, "left_anti")
+    return p.join(d, gone, "left_anti").drop("_salt")
 
 
 def stale_devices(points: DataFrame, as_of: str, gap: str = STALE_AFTER) -> DataFrame:
@@ -185,20 +199,21 @@ def ingest_health(points: DataFrame, as_of: str, timeout: str = INGEST_TIMEOUT)
     return last.withColumn("healthy", healthy)
 
 
-def _number_runs(rows: DataFrame, keys: list[str], start: str, end: str, gap: Column) -> DataFrame:
-    """``_run`` counts up whenever a row starts more than ``gap`` after all before it."""
-    ordered = W.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(ordered.rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn(
-        "_new", F.when(F.col(start) - before <= gap, 0).otherwise(1)
-    ).withColumn("_run", F.sum("_new").over(ordered.rowsBetween(W.unboundedPreceding, 0)))
-
-
-def _close_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys, "_run").agg(
-        F.min("online_from").alias("online_from"),
-        F.max("last_seen").alias("last_seen"),
-        F.sum("readings").alias("readings"),
+def _join_runs(spans: DataFrame, keys: list[str], gap: Column) -> DataFrame:
+    """Join spans of equal ``keys`` that follow each other within ``gap``."""
+    ordered = W.partitionBy(*keys).orderBy("online_from", "last_seen")
+    before = F.max("last_seen").over(ordered.rowsBetween(W.unboundedPreceding, -1))
+    starts = F.when(F.col("online_from") - before <= gap, 0).otherwise(1)
+    return (
+        spans.withColumn("_starts", starts)
+        .withColumn("_run", F.sum("_starts").over(ordered.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy(*keys, "_run")
+        .agg(
+            F.min("online_from").alias("online_from"),
+            F.max("last_seen").alias("last_seen"),
+            F.sum("readings").alias("readings"),
+        )
+        .drop("_run")
     )
 
 
@@ -209,7 +224,7 @@ def online_intervals(
 
     Spans are first built inside time slices of a device.  Only spans within
     ``gap`` of a slice border can continue next door, at most two per slice, so
-    those alone are brought together per device.
+    those alone are brought together per device; the others stay in their slice.
     """
     silence = interval(gap)
     bounds = F.window("ts", slice_)
@@ -221,21 +236,18 @@ def online_intervals(
         F.col("ts").alias("last_seen"),
         F.lit(1).cast("bigint").alias("readings"),
     )
-    in_slice = ["device_id", "_slice", "_slice_end"]
-    local = _close_runs(
-        _number_runs(sliced, in_slice, "online_from", "last_seen", silence), in_slice
-    ).withColumn(
-        "_border",
-        (F.col("online_from") - F.col("_slice") <= silence)
-        | (F.col("_slice_end") - F.col("last_seen") <= silence),
+    local = _join_runs(sliced, ["device_id", "_slice", "_slice_end"], silence)
+    inner = (F.col("online_from") - F.col("_slice") > silence) & (
+        F.col("_slice_end") - F.col("last_seen") > silence
+    )
+    zoned = local.withColumn("_zone", F.when(inner, F.col("_slice")))
+    return _join_runs(zoned, ["device_id", "_zone"], silence).select(
+        "device_id",
+        "online_from",
+        "last_seen",
+        "readings",
+        (F.col("last_seen") + silence).alias("stale_from"),
     )
-    columns = ["device_id", "online_from", "last_seen", "readings"]
-    inner = local.filter(~F.col("_border")).select(*columns)
-    border = local.filter("_border").select(*columns)
-    joined = _close_runs(
-        _number_runs(border, ["device_id"], "online_from", "last_seen", silence), ["device_id"]
-    ).select(*columns)
-    return inner.unionByName(joined).withColumn("stale_from", F.col("last_seen") + silence)
 
 
 def late_arrivals(
@@ -245,27 +257,34 @@ def late_arrivals(
 
     Late means more than ``delay`` behind the highest event time that the same
     device had sent before, in arrival order.  That running maximum is taken
-    inside slices of the arrival order; the earlier slices of a device
-    contribute one row each.  ``points`` has (arrival, arrival_ts).
+    inside slices of the arrival order.  A slice starts with one leading row: the
+    maximum of all earlier slices of its device.  ``points`` has (device_id, ts,
+    arrival, arrival_ts).
     """
     sliced = points.withColumn("_slice", F.floor(F.col("arrival") / slice_rows))
-    per_slice = sliced.groupBy("device_id", "_slice").agg(F.max("ts").alias("_top"))
     earlier = W.partitionBy("device_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    heads = per_slice.select("device_id", "_slice", F.max("_top").over(earlier).alias("_head"))
-    inside = (
+    lead = (
+        sliced.groupBy("device_id", "_slice")
+        .agg(F.max("ts").alias("_top"))
+        .select("device_id", "_slice", F.max("_top").over(earlier).alias("ts"), F.lit(0).alias("_row"))
+    )
+    before = (
         W.partitionBy("device_id", "_slice")
-        .orderBy("arrival")
+        .orderBy("_row", "arrival")
         .rowsBetween(W.unboundedPreceding, -1)
     )
-    seen = F.greatest(F.col("_head"), F.max("ts").over(inside))
+    lag = F.unix_micros(F.col("arrival_ts").cast("timestamp")) - F.unix_micros(
+        F.col("ts").cast("timestamp")
+    )
     return (
-        sliced.join(heads, ["device_id", "_slice"])
-        .withColumn("seen_until", seen)
+        sliced.withColumn("_row", F.lit(1))
+        .unionByName(lead, allowMissingColumns=True)
+        .withColumn("seen_until", F.max("ts").over(before))
+        .filter(F.col("_row") == 1)
         .select(
             *points.columns,
             "seen_until",
-            (F.unix_micros(F.col("arrival_ts").cast("timestamp"))
-             - F.unix_micros(F.col("ts").cast("timestamp"))).alias("lag_micros"),
+            lag.alias("lag_micros"),
             F.coalesce(F.col("seen_until") - F.col("ts") > interval(delay), F.lit(False)).alias("late"),
         )
     )

@@ -17,6 +17,7 @@ SETTINGS = {
     # a large share of the rows is split by AQE instead of filling one task.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB_STATE,
 }
 
