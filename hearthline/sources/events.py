@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+OFFSETS_PER_TRIGGER = "10000000"
+FILES_PER_TRIGGER = "64"
+
 
 def read_events(
     spark: SparkSession,
@@ -17,10 +20,13 @@ def read_events(
 
     Kafka records come out as (value, arrival, arrival_ts): a device keeps to one
     partition, where the offset gives its order of arrival.  No watermark is set.
+    The size of a micro-batch is limited, so that a backlog is worked off in
+    steps; pass the limit in ``options`` to change it.
     """
     if format != "kafka":
+        options = {"maxFilesPerTrigger": FILES_PER_TRIGGER, **options}
         return spark.readStream.format(format).schema(schema).options(**options).load()
-    options = {"startingOffsets": "earliest", **options}
+    options = {"startingOffsets": "earliest", "maxOffsetsPerTrigger": OFFSETS_PER_TRIGGER, **options}
     records = spark.readStream.format("kafka").options(**options).load()
     return records.select(
         F.col("value").cast("string").alias("value"),
