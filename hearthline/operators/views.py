@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clock, interval, is_blank, utf16_length
+from ..session import ship_by_value
+
+ship_by_value(__name__)
 
 # Dashboard limits.
 TOP_DEVICES, HISTORY_DAYS = 5, 30

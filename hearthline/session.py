@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 ROCKSDB_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -31,6 +33,12 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
     return builder.getOrCreate()
 
 
+def ship_by_value(module: str) -> None:
+    """Send the functions of ``module`` to Python workers inside each task, so that
+    the package need not be installed on the executors."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def use_keyed_state(spark: SparkSession) -> None:
     """The keyed-state streams need the RocksDB state store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)

@@ -25,7 +25,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.claims import CLAIM_TTL
 from ..operators.series import STALE_AFTER
 from ..operators.views import VIEW_GAP
-from ..session import use_keyed_state
+from ..session import ship_by_value, use_keyed_state
+
+ship_by_value(__name__)
 
 def _nanos(duration: str) -> int:
     return pd.Timedelta(duration).value
