@@ -323,19 +323,40 @@ def _carry(gap: int, slice_len: int):
 
 
 def _accept(gap: int):
+    keys = [*_PAIR, "_slice"]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_groups(batches, [*_PAIR, "_slice"]):
+        before, carried = None, _NEVER
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            starts = _starts(table, keys)
             is_view = _micros(table, "_lead") == 1
             led = ~is_view[starts]
             last = np.where(led, _micros(table, "_last", _NEVER)[starts], _NEVER)
+            # The first group may go on from the batch before.
+            if before is not None:
+                seam = pa.Table.from_batches([before, batch.slice(0, 1)])
+                if len(_starts(seam, keys)) == 1:
+                    last[0] = carried
+            before, carried = batch.slice(batch.num_rows - 1), int(last[-1])
+
             views = table.filter(pa.array(is_view))
             # Leading rows are gone now: move the group starts up accordingly.
             starts = starts - np.concatenate([[0], np.cumsum(led)[:-1]])
-            chain = _Chain(_micros(views, "viewed_at"), starts, gap)
-            group = np.arange(len(starts))
+            filled = starts < views.num_rows
+            starts, last = starts[filled], last[filled]
+            if not len(starts):
+                continue
+            times, group = _micros(views, "viewed_at"), np.arange(len(starts))
+            chain = _Chain(times, starts, gap)
             keep = np.zeros(views.num_rows, dtype=bool)
             for _, row in chain.follow(chain.first_after(group, last), group):
                 keep[row] = True
+            kept = np.flatnonzero(keep)
+            if filled[-1] and len(kept) and kept[-1] >= starts[-1]:
+                carried = int(times[kept[-1]])
             yield from views.filter(pa.array(keep)).to_batches()
 
     return run

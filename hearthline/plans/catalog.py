@@ -768,7 +768,17 @@ def load_table(x: Inputs) -> DataFrame:
     return plain(load(x.spark, "devices", {"format": "parquet", "path": path}))
 
 
-@query(over("raw", "SELECT event_id, value FROM raw"))
+@query(over("parsed", f"SELECT device_id AS key, {_ENCODED} AS value FROM parsed WHERE valid"), "write_events")
+def write_events_table(x: Inputs) -> DataFrame:
+    """Keyed records through the file sink, the batch written twice."""
+    path = shared_dir(x.spark, "records")
+    records = ingest.keyed_records(ingest.valid_telemetry(ingest.parse_telemetry(x.raw())))
+    for _ in range(2):
+        write_events(records.select("key", "value"), "parquet", {"path": path}, batch_id=0)
+    return x.spark.read.parquet(path).select("key", "value")
+
+
+@query(over("raw", "SELECT event_id, value FROM raw"), "read_events")
 def read_events_stream(x: Inputs) -> DataFrame:
     """Raw records through the streaming source."""
     return S.drain(x.spark, stream_of(x).raw().select("event_id", "value"), "raw")
@@ -810,7 +820,7 @@ def run_ingest_dead_letters(x: Inputs) -> DataFrame:
     return x.spark.read.parquet(f"{_ingest(x)}/dlq").select("value")
 
 
-@query(over("writes", f"{_STORED} FROM writes GROUP BY device_id, ts"))
+@query(over("writes", f"{_STORED} FROM writes GROUP BY device_id, ts"), "upsert_points")
 def upsert_points_table(x: Inputs) -> DataFrame:
     """Two overlapping batches, the second written twice, and a compaction."""
     path, writes = shared_dir(x.spark, "points"), instants(x.writes(), "ts")

@@ -23,25 +23,22 @@ _LAYOUT = T.StructType(
 )
 
 
-def _write(points: DataFrame, path: str) -> None:
+def _rows(points: DataFrame) -> DataFrame:
     columns = [
         (F.col(f.name) if f.name in points.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schemas.POINTS.fields
     ]
-    (
-        points.select(*columns)
-        .withColumn("date", F.to_date("ts"))
-        # AQE merges small days into few files and splits a large day over several.
-        .hint("rebalance", "date")
-        .write.mode("overwrite")
-        .partitionBy("date")
-        .parquet(path)
-    )
+    return points.select(*columns).withColumn("date", F.to_date("ts"))
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").partitionBy("date").parquet(path)
 
 
 def upsert_points(batch: DataFrame, batch_id: int, path: str) -> None:
     """Write one batch of points; later writes of a point win when it is read."""
-    _write(batch, f"{path}/batch={batch_id}")
+    # AQE merges small days into few files and splits a large day over several.
+    _write(_rows(batch).hint("rebalance", "date"), f"{path}/batch={batch_id}")
 
 
 def stored_writes(
@@ -67,19 +64,27 @@ def read_points(
     start: str | None = None,
     stop: str | None = None,
     purges: DataFrame | None = None,
+    compacted: bool = False,
 ) -> DataFrame:
-    """Current points; with ``purges``, writes that came before a purge are gone."""
+    """Current points; with ``purges``, writes that came before a purge are gone.
+
+    A table that ``rewrite_points`` made holds every point once: with
+    ``compacted`` it is read without merging, hence without a shuffle.
+    """
     writes = stored_writes(spark, path, start, stop)
     if purges is not None:
         writes = purge_points(writes, purges, arrived_at="arrival_ts")
-    return merge_points(writes)
+    return writes if compacted else merge_points(writes)
 
 
 def rewrite_points(
     spark: SparkSession, path: str, target: str, purges: DataFrame | None = None
 ) -> None:
-    """A compacted copy of the table below ``target``; purged writes are left out for good."""
-    writes = stored_writes(spark, path)
-    if purges is not None:
-        writes = purge_points(writes, purges, arrived_at="arrival_ts")
-    _write(merge_points(writes), f"{target}/batch=0")
+    """A compacted copy of the table below ``target``; purged writes are left out for good.
+
+    Files cover ranges of (date, device, time), so a query on few devices can
+    skip most of them, and a device with many points is spread over several.
+    """
+    order = ["date", "device_id", "ts"]
+    rows = _rows(read_points(spark, path, purges=purges))
+    _write(rows.repartitionByRange(*order).sortWithinPartitions(*order), f"{target}/batch=0")

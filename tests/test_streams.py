@@ -86,6 +86,9 @@ def test_writing_a_batch_again_changes_nothing(spark, inputs):
     rewrite_points(spark, path, target)
     assert rows(read_points(spark, target)) == once
     assert stored_writes(spark, target).count() == len(once)
+    plain = read_points(spark, target, compacted=True)
+    assert rows(plain.select(*read_points(spark, target).columns)) == once
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
 
 
 def purges_at(devices, at):

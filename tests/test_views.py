@@ -54,12 +54,13 @@ def test_throttle_at_slice_borders(spark):
     assert throttled(spark, data) == brute_force(data, timedelta(minutes=1))
 
 
-def test_throttle_over_small_arrow_batches(spark):
+@pytest.mark.parametrize("size", [1, 2, 7, 64])
+def test_throttle_over_small_arrow_batches(spark, size):
     random.seed(5)
     data = [(i, "u", f"d{i % 2}", T0 + timedelta(seconds=random.randrange(8000))) for i in range(4000)]
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, "7")
+    spark.conf.set(key, str(size))
     try:
         assert throttled(spark, data) == brute_force(data, timedelta(minutes=1))
     finally:
