@@ -63,6 +63,7 @@ def bucket_means(
     """
     means = (
         _between(points, start, stop)
+        .filter(F.col("current_temperature").isNotNull())
         .groupBy("device_id", F.window("ts", width).alias("bucket"))
         .agg(F.avg("current_temperature").alias("mean"))
     )
@@ -71,7 +72,7 @@ def bucket_means(
         "device_id",
         (end if stop is None else F.least(end, stop)).alias("timestamp"),
         round_cents(F.col("mean")).alias("temperature"),
-    ).filter("temperature IS NOT NULL")
+    )
 
 
 def telemetry_history(points: DataFrame, range_: str, as_of: str) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import access, claims, devices, ingest, series, tables, views
 from ..session import shared_dir
 from ..sources.events import read_events, write_events
 from ..sources.points import read_points, rewrite_points, upsert_points
+from . import flows
 from .input_sql import over
 from .inputs import AS_OF, BRIDGE, CLAIM_LIFE, UNALIGNED_AS_OF, Inputs
 
@@ -234,10 +235,8 @@ def bucket_means(x: Inputs) -> DataFrame:
     )
 )
 def raw_to_history(x: Inputs) -> DataFrame:
-    """Raw JSON to the 15-minute history of every device: decode, validate, upsert, average."""
-    events = ingest.valid_telemetry(ingest.parse_telemetry(x.raw()))
-    points = series.merge_points(ingest.to_points(events))
-    return plain(series.bucket_means(points, "15 minutes"))
+    """Raw JSON to the 15-minute history of every device."""
+    return plain(flows.raw_to_history(x.raw(), "15 minutes"))
 
 
 _RANGE = "CASE event_id % 5 WHEN 0 THEN '-24h' WHEN 1 THEN '-6h' WHEN 2 THEN '-1h' WHEN 3 THEN '-7d' END"
@@ -582,7 +581,7 @@ _PURGE_ALL = f"""SELECT * FROM points p WHERE NOT EXISTS (
 @query(over("points expired", _PURGE_ALL))
 def retention_purge(x: Inputs) -> DataFrame:
     """Retention end to end: expired devices, their PURGE events, the points left after them."""
-    events = devices.purge_events(devices.expired_devices(x.devices(), AS_OF))
+    events = flows.retention(x.views(), x.devices(), AS_OF).purges
     at = F.lit(UNALIGNED_AS_OF).cast("timestamp_ntz")
     checked = ingest.device_id_guard(ingest.parse_purges(events.select("value")))
     return series.purge_points(x.points(), checked.filter("device_id_ok").withColumn("purge_ts", at))
@@ -609,6 +608,37 @@ def provision(x: Inputs) -> DataFrame:
     return devices.provision(x.devices(), _claimed(x))
 
 
+_ASKED_RANGE = "CASE seq % 5 WHEN 0 THEN '-24h' WHEN 1 THEN '-6h' WHEN 2 THEN '-1h' WHEN 3 THEN '-7d' END"
+
+
+def _asked_history_sql(range_: str, span: str, width: str) -> str:
+    stop = f"TIMESTAMP '{AS_OF}'"
+    history = _history_sql(width, f"{stop} - INTERVAL '{span}'", stop)
+    return f"""SELECT h.*, '{range_}' AS range FROM ({history}) h
+        WHERE device_id IN (SELECT device_id FROM asked WHERE range = '{range_}')"""
+
+
+@query(
+    over(
+        "points commands active",
+        " UNION ALL ".join(
+            _asked_history_sql(*args)
+            for args in [
+                ("-24h", "24 hours", "15 minutes"),
+                ("-6h", "6 hours", "5 minutes"),
+                ("-1h", "1 hour", "1 minute"),
+            ]
+        ),
+        f"""asked AS (SELECT DISTINCT device_id, CASE WHEN {_ASKED_RANGE} IN ('-24h', '-6h')
+                      THEN {_ASKED_RANGE} ELSE '-1h' END AS range FROM commands WHERE {_OWNED})""",
+    )
+)
+def requested_history(x: Inputs) -> DataFrame:
+    """History as asked for: by owners of active devices, each over the range they name."""
+    requests = x.commands().withColumn("range", F.expr(_ASKED_RANGE))
+    return flows.requested_history(x.points(), x.devices(), requests, AS_OF)
+
+
 # --- views ----------------------------------------------------------------
 
 
