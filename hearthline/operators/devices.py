@@ -172,8 +172,8 @@ def apply_commands(devices: DataFrame, commands: DataFrame) -> DataFrame:
     ``commands`` has (device_id, user_id, value, name, seq); a row may carry
     either or both.  The last valid command per field wins.
     """
-    temperature = validate_temperature(commands).select("*", F.col("ok").alias("_value_ok")).drop("ok", "reason")
-    checked = validate_rename(temperature).select("*", F.col("ok").alias("_name_ok"))
+    checked = validate_temperature(commands).withColumnRenamed("ok", "_value_ok").drop("reason")
+    checked = validate_rename(checked).withColumnRenamed("ok", "_name_ok")
     wanted = checked.groupBy("device_id", "user_id").agg(
         F.max_by("temperature", F.when(F.col("_value_ok"), F.col("seq"))).alias("_target"),
         F.max_by("name", F.when(F.col("_name_ok"), F.col("seq"))).alias("_name"),

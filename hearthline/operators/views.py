@@ -266,7 +266,11 @@ def _outcomes(gap: int, slice_len: int):
             last = np.full(len(row), _NEVER)
             for live, at in chain.follow(row, group):
                 last[live] = times[at]
-            until = np.where(row < np.repeat(fresh, counts), times[np.minimum(row, len(times) - 1)] - gap - 1, begin[group] - 1)
+            until = np.where(
+                row < np.repeat(fresh, counts),
+                times[np.minimum(row, len(times) - 1)] - gap - 1,
+                begin[group] - 1,
+            )
             # Neighbouring steps with one outcome are one step.
             final = np.append((group[1:] != group[:-1]) | (last[1:] != last[:-1]), True)
             group, until, last = group[final], until[final], last[final]

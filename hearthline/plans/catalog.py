@@ -892,6 +892,22 @@ def stream_track_views(x: Inputs) -> DataFrame:
     return S.drain(x.spark, S.stream_throttle(own, "1 day"), "track")
 
 
+@query(_throttle_sql("1 day", "views active", _TRACKED))
+def run_view_tracking(x: Inputs) -> DataFrame:
+    """The view-tracking job, read back from its history."""
+    folder = shared_dir(x.spark, "tracking")
+    S.run_view_tracking(
+        stream_of(x).views(),
+        x.devices(),
+        f"{folder}/history",
+        f"{folder}/checkpoint",
+        "1 day",
+        {"availableNow": True},
+    ).awaitTermination()
+    stored = x.spark.read.parquet(f"{folder}/history")
+    return stored.select("id", "user_id", "device_id", "viewed_at")
+
+
 @query(over("resolved", "SELECT * FROM resolved"))
 def stream_claims(x: Inputs) -> DataFrame:
     live = stream_of(x)

@@ -1,6 +1,6 @@
 """Continuous forms of the operators; each gives the answers of its batch twin."""
 
-from .jobs import drain, run_ingest, run_purge
+from .jobs import drain, run_ingest, run_purge, run_view_tracking
 from .keyed import stream_claims, stream_late_arrivals, stream_staleness, stream_throttle
 from .windows import stream_history, stream_trackable_views
 
@@ -8,6 +8,7 @@ __all__ = [
     "drain",
     "run_ingest",
     "run_purge",
+    "run_view_tracking",
     "stream_claims",
     "stream_history",
     "stream_late_arrivals",

@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import interval
 from ..operators.ingest import (
     dead_letters,
     device_id_guard,
@@ -16,6 +18,7 @@ from ..operators.ingest import (
     to_points,
     valid_telemetry,
 )
+from ..operators.views import VIEW_GAP, throttle_views, trackable_views, valid_views
 from ..session import shared_dir
 from ..sources.events import write_events
 from ..sources.points import upsert_points
@@ -81,6 +84,52 @@ def run_purge(
     return _start(source, write, checkpoint, trigger)
 
 
+def run_view_tracking(
+    source: DataFrame,
+    devices: DataFrame,
+    history_path: str,
+    checkpoint: str,
+    gap: str = VIEW_GAP,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Views to the view history: valid, of own active devices, none within ``gap`` of a recorded one.
+
+    The history itself is the state: a micro-batch is throttled together with the
+    views recorded up to ``gap`` before it.  Unlike the keyed stream, this cuts a
+    pair with very many views into slices.  Views must come in time order across
+    micro-batches.
+    """
+    spark, columns = source.sparkSession, source.columns
+    stored = T.StructType(
+        [*source.schema.fields, T.StructField("batch", T.LongType()), T.StructField("date", T.DateType())]
+    )
+
+    def save(views: DataFrame, batch_id: int) -> None:
+        dated = views.withColumn("date", F.to_date("viewed_at"))
+        dated.write.mode("overwrite").partitionBy("date").parquet(f"{history_path}/batch={batch_id}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        views = trackable_views(valid_views(batch), devices).select(*columns).persist()
+        try:
+            bounds = views.agg((F.min("viewed_at") - interval(gap)).alias("since")).first()
+            since = F.lit(bounds["since"]).cast(source.schema["viewed_at"].dataType)
+            recorded = (
+                batch.sparkSession.read.schema(stored)
+                .parquet(history_path)
+                .filter((F.col("batch") < batch_id) & (F.col("date") >= F.to_date(since)))
+                .filter(F.col("viewed_at") >= since)
+                .select(*columns, F.lit(False).alias("_new"))
+            )
+            both = recorded.unionByName(views.withColumn("_new", F.lit(True)))
+            save(throttle_views(both, gap).filter("_new").drop("_new"), batch_id)
+        finally:
+            views.unpersist()
+
+    # An empty first entry, so that the history can be read from the start.
+    save(spark.createDataFrame([], source.schema), -1)
+    return _start(source, write, checkpoint, trigger)
+
+
 def _start(stream: DataFrame, write, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(write)

@@ -133,6 +133,18 @@ def test_tracked_views_stream(spark, live, inputs):
     assert rows(got.select("id")) == rows(want.select("id"))
 
 
+def test_view_tracking_job(spark, live, inputs):
+    everyone = inputs.views().select("device_id", "user_id").distinct().withColumn("is_active", F.lit(True))
+    folder = shared_dir(spark, "tracking")
+    S.run_view_tracking(
+        live().views(), everyone, f"{folder}/history", f"{folder}/checkpoint", "1 day", NOW
+    ).awaitTermination()
+    stored = spark.read.parquet(f"{folder}/history")
+    assert stored.select("batch").distinct().count() == PARTS
+    want = views.throttle_views(inputs.views(), "1 day")
+    assert rows(stored.select(*want.columns)) == rows(want)
+
+
 def test_claims_stream(spark, live, inputs):
     stream = S.stream_claims(live().codes(), claims.valid_claims(live().claims()), CLAIM_LIFE)
     got = S.drain(spark, stream, "claims")
