@@ -243,14 +243,13 @@ _RANGE = "CASE event_id % 5 WHEN 0 THEN '-24h' WHEN 1 THEN '-6h' WHEN 2 THEN '-1
 
 
 @query(
-    over(
-        "",
-        f"""SELECT event_id, range, TIMESTAMP '{AS_OF}' AS stop,
-            TIMESTAMP '{AS_OF}' - CASE range WHEN '-24h' THEN INTERVAL 24 HOUR WHEN '-6h' THEN INTERVAL 6 HOUR
+    f"""SELECT event_id, range, TIMESTAMP '{AS_OF}' AS stop,
+            TIMESTAMP '{AS_OF}' - CASE range WHEN '-24h' THEN INTERVAL 24 HOUR
+                                             WHEN '-6h' THEN INTERVAL 6 HOUR
                                              ELSE INTERVAL 1 HOUR END AS start,
-            CASE range WHEN '-24h' THEN '15 minutes' WHEN '-6h' THEN '5 minutes' ELSE '1 minute' END AS bucket
-            FROM (SELECT event_id, {_RANGE} AS range FROM events) r""",
-    ).removeprefix("WITH  ")
+            CASE range WHEN '-24h' THEN '15 minutes' WHEN '-6h' THEN '5 minutes'
+                       ELSE '1 minute' END AS bucket
+        FROM (SELECT event_id, {_RANGE} AS range FROM events) r"""
 )
 def history_ranges(x: Inputs) -> DataFrame:
     requests = x.events.select("event_id", F.expr(_RANGE).alias("range"))
