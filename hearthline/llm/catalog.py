@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import extraction, langid, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": langid.query,
+    "op7_html_extraction": extraction.query,
     "op9_mixing": mixing.query,
 }
 
