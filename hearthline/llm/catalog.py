@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, langid, mixing
+from . import extraction, langid, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": langid.query,
+    "op3_best_fit_packing": packing.query,
     "op7_html_extraction": extraction.query,
     "op9_mixing": mixing.query,
 }

@@ -24,6 +24,7 @@ not read.  A sequence holds at least one piece and is filled without gaps from 0
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,9 +41,13 @@ from .tables import table, written
 CAPACITY = 4096
 END = 1
 #: Words whose ids a task remembers; others are encoded again where they occur.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: White space to str.split() but not to the tokenizer.
-ODD_SPACES = str.maketrans("", "", "\x1c\x1d\x1e\x1f")
+ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Signs other than those that begin a run in the middle of signs, or a special token.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Composed Latin letters: such a word is the same in any normal form.
+LATIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 PIECE = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, task int, own_rank long"
@@ -60,64 +65,91 @@ class WordEncoder:
 
     This tokenizer splits at white space before all else and drops it, so a text's
     ids are those of its words one after another.  Words met before are looked up.
+    Most new words are Latin letters and then signs; both are runs of their own to
+    the tokenizer, so the letters, in lower case, are looked up in turn.  Letters not
+    met before are encoded many at a time, without the steps that change nothing.
+    All else goes through the whole tokenizer, word by word.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.letters = Tokenizer(Tokenizer.from_file(path).model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [
+                pre_tokenizers.WhitespaceSplit(),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ]
+        )
+        if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         self.known: dict[str, bytes] = {}
-        # Every run of letters, digits or signs ends with an id that says so.
-        self.last = np.zeros(1 << 16, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.last[i] = token.endswith("</w>") or token.startswith("<|")
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.last = np.zeros(1 << 16, bool)  # ids that end a run
+        for token, i in self.whole.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, np.uint16).tobytes() for x in found]
+    def one(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split() for t in texts]
         fresh = set().union(*split).difference(self.known)
         lookup = self.known
         if fresh:
-            new = dict(zip(fresh, self._words(list(fresh)), strict=True))
+            new = self._words(fresh)
             if len(self.known) + len(new) <= REMEMBERED:
                 self.known.update(new)
             else:
                 lookup = _Both(self.known, new)
         out = [b"".join(map(lookup.__getitem__, words)) for words in split]
         for i, t in enumerate(texts):
-            if not t.isprintable() and len(t) != len(t.translate(ODD_SPACES)):
-                out[i] = self._encode([t])[0]
+            if ODD_SPACE.search(t):
+                out[i] = self.one(t)
         return out
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Words are encoded in lines of many; the plain ones are one run each, so that
-        the ids that end a run tell them apart."""
-        out: list[bytes] = [b""] * len(words)
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
-        for a in range(0, len(plain), 4096):
-            part = plain[a : a + 4096]
-            lines = [part[k : k + 128] for k in range(0, len(part), 128)]
-            for line, got in zip(lines, self._encode([" ".join(words[i] for i in x) for x in lines]), strict=True):
-                ids = np.frombuffer(got, np.uint16)
-                ends = np.flatnonzero(self.last[ids]) + 1
-                if len(ends) != len(line):  # a letter for str that is none for the tokenizer
-                    for i, one in zip(line, self._encode([words[i] for i in line]), strict=True):
-                        out[i] = one
-                    continue
-                begin = 0
-                for i, end in zip(line, ends.tolist(), strict=True):
-                    out[i] = got[2 * begin : 2 * end]
-                    begin = end
-        mixed = [i for i, w in enumerate(words) if not w.isalpha()]
-        for i, one in zip(mixed, self._encode([words[i] for i in mixed]), strict=True):
-            out[i] = one
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        later: list[tuple[str, str, str]] = []
+        stems = self.stems
+        for w in words:
+            stem = w.rstrip(SIGNS)
+            if not (stem.isalpha() if stem.isascii() else LATIN.fullmatch(stem)):
+                out[w] = self.one(w)
+                continue
+            tail, stem = w[len(stem) :], stem.lower()
+            if tail not in self.tails:
+                self.tails[tail] = self.one(tail)
+            if (ids := stems.get(stem)) is None:
+                later.append((w, stem, tail))
+            else:
+                out[w] = ids + self.tails[tail] if tail else ids
+        if later:
+            fresh = [*{p[1] for p in later}]
+            new = dict(zip(fresh, self._stems(fresh), strict=True))
+            for w, stem, tail in later:
+                out[w] = new[stem] + self.tails[tail]
+            if len(stems) + len(new) <= REMEMBERED:
+                stems.update(new)
+        if len(self.tails) > REMEMBERED:
+            self.tails = {"": b""}
         return out
 
+    def _stems(self, stems: list[str]) -> Iterator[bytes]:
+        """Encoded in lines of many; the ids that end a run tell them apart."""
+        for a in range(0, len(stems), 8192):
+            lines = [stems[k : k + 128] for k in range(a, min(a + 8192, len(stems)), 128)]
+            found = self.letters.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
+            for line, got in zip(lines, found, strict=True):
+                ids = np.array(got.ids, np.uint16)
+                ends = ((np.flatnonzero(self.last[ids]) + 1) * 2).tolist()
+                raw, begin = ids.tobytes(), 0
+                for _, end in zip(line, ends, strict=True):
+                    yield raw[begin:end]
+                    begin = end
+
 
 class _Both(dict):
     """A lookup in two tables."""
