@@ -63,11 +63,18 @@ class Hasher:
 
             self.powers, self.inverse = series(BASE), series(pow(BASE, -1, 2**64))
 
-    def words(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words in order, and where the words of each text begin."""
+    def words(
+        self, data: np.ndarray, at: np.ndarray, heads: tuple[int, ...] = ()
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in order, and where the words of each text begin.
+
+        With ``heads`` the hashes have a column for the word and one for each of its
+        beginnings of so many bytes (the word, if shorter); the columns differ even then.
+        """
         n = len(data)
         if not n:
-            return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+            shape = (0, 1 + len(heads)) if heads else 0
+            return np.zeros(shape, np.uint64), np.zeros(len(at), np.int64)
         self._grow(n + 1)
         inside = self.in_word[data]
         before, after = np.empty(n, bool), np.empty(n, bool)
@@ -81,16 +88,25 @@ class Hasher:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.table[data] * self.powers[:n], out=sums[1:])
         hashes = mixed((sums[last + 1] - sums[first]) * self.inverse[first])
-        return hashes, np.searchsorted(first, at)
-
-    def pieces(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        bounds = np.searchsorted(first, at)
+        if heads:
+            short = [
+                mixed((sums[np.minimum(first + k, last + 1)] - sums[first]) * self.inverse[first] + np.uint64(k))
+                for k in heads
+            ]
+            hashes = np.stack([hashes, *short], axis=1)
+        return hashes, bounds
+
+    def pieces(
+        self, texts: pa.Array, heads: tuple[int, ...] = ()
+    ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first text, end, hashes, word bounds of each text) of runs of texts of about
         ``PIECE`` bytes, so that memory is bounded by the longest text."""
         data, at = utf8(texts)
         i = 0
         while i < len(at) - 1:
             j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
-            hashes, bounds = self.words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            hashes, bounds = self.words(data[at[i] : at[j]], at[i : j + 1] - at[i], heads)
             yield i, j, hashes, bounds
             i = j
 
