@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, langid, mixing, packing, toxicity
+from . import extraction, jaccard, langid, mixing, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": langid.query,
     "op3_best_fit_packing": packing.query,
     "op7_html_extraction": extraction.query,
+    "op8_ngram_jaccard_join": jaccard.query,
     "op9_mixing": mixing.query,
     "op10_toxicity": toxicity.query,
 }
 
 SQL: dict[str, str] = {
+    "op8_ngram_jaccard_join": jaccard.SQL,
     "op9_mixing": mixing.SQL,
 }
