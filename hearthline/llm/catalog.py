@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, jaccard, langid, mixing, packing, toxicity
+from . import extraction, hashing, jaccard, langid, mixing, mtree, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": langid.query,
     "op3_best_fit_packing": packing.query,
+    "op4_multi_index_hashing": hashing.query,
+    "op5_mtree_search": mtree.query,
     "op7_html_extraction": extraction.query,
     "op8_ngram_jaccard_join": jaccard.query,
     "op9_mixing": mixing.query,
@@ -18,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op5_mtree_search": mtree.SQL,
     "op8_ngram_jaccard_join": jaccard.SQL,
     "op9_mixing": mixing.SQL,
 }
