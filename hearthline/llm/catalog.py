@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, hashing, jaccard, langid, mixing, mtree, packing, toxicity
+from . import extraction, hashing, jaccard, langid, licenses, mixing, mtree, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": langid.query,
     "op3_best_fit_packing": packing.query,
     "op4_multi_index_hashing": hashing.query,
     "op5_mtree_search": mtree.query,
+    "op6_license_scan": licenses.query,
     "op7_html_extraction": extraction.query,
     "op8_ngram_jaccard_join": jaccard.query,
     "op9_mixing": mixing.query,
