@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, hashing, jaccard, langid, licenses, mixing, mtree, packing, toxicity
+from . import extraction, hashing, jaccard, langid, licenses, mixing, mtree, packing, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": warc.query,
     "op2_language_id": langid.query,
     "op3_best_fit_packing": packing.query,
     "op4_multi_index_hashing": hashing.query,
