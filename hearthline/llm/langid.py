@@ -219,8 +219,9 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 def identify(docs: DataFrame, sample: dict[str, list[str]]) -> DataFrame:
     """``docs`` with lang_pred and score."""
     found = docs.withColumn("found_", language_of(F.col("text"), sample))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return found.select(
-        *docs.columns, F.col("found_.lang").alias("lang_pred"), F.col("found_.score").alias("score")
+        *kept, F.col("found_.lang").alias("lang_pred"), F.col("found_.score").alias("score")
     )
 
 

@@ -19,8 +19,8 @@ for a source, and one row per source.
 Null or empty text has size 0, and so has a source of such documents (target 0).
 A null source is a source of its own.  A null doc_id is kept like any other.
 Repeated rows are documents of their own.  An empty table gives an empty result.
-Columns beside doc_id, text and source are carried along by ``mix`` and may have any
-name but those it adds.
+Other columns are carried along whatever their names; where one has the name of a
+column that ``mix`` adds, the added one is returned.
 """
 
 from __future__ import annotations
@@ -84,10 +84,12 @@ def targets(sources: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with size, source_size, target, copies and taken."""
+def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``docs`` with size, source_size, target, copies and taken; with ``whole`` also the
+    original row as "mix row"."""
     bits = F.bin(F.col("size"))
-    sized = docs.withColumn(
+    held = docs.select(F.struct(*docs.columns).alias("mix row"), "doc_id", "text", "source")
+    sized = held.withColumn(
         "size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     ).withColumn(
         "group_",
@@ -126,8 +128,10 @@ def mix(docs: DataFrame) -> DataFrame:
     )
     rank = F.col("rows_before") + F.col("own_rank")
     crossed = lambda r: F.floor(F.col("goal_start") + F.col("goal_rate") * r)
+    added = ("size", "source_size", "target", "copies", "taken")
     return placed.select(
-        *docs.columns,
+        *[F.col("mix row")[c].alias(c) for c in docs.columns if c not in added],
+        *([] if not whole else ["mix row"]),
         "size",
         F.col("goal_source_size").alias("source_size"),
         F.col("goal_target").alias("target"),
@@ -137,9 +141,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def emitted(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as it is taken."""
-    mixed = mix(docs).filter("copies > 0")
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return mixed.withColumn("copy_", copies).select(*docs.columns)
+    mixed = mix(docs, whole=True).filter("copies > 0").select("mix row", "copies")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return mixed.select("mix row", copies).select("`mix row`.*")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
