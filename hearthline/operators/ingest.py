@@ -123,7 +123,7 @@ def validity_counts(parsed: DataFrame) -> DataFrame:
 
 def to_points(events: DataFrame) -> DataFrame:
     """Readings as time-series points: millisecond time, heating as 0 or 1."""
-    carried = [c for c in ("arrival", "arrival_ts") if c in events.columns]
+    carried = [c for c in ("partition", "arrival", "arrival_ts") if c in events.columns]
     return events.select(
         "device_id",
         truncate_millis(F.col("ts")).alias("ts"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import clock, device_id_ok, interval, round_cents
+from ..functions import clock, device_id_ok, interval
 
 # History ranges, their bucket widths, and buffer and timeout sizes.
 HISTORY_RANGES = {
@@ -27,15 +27,22 @@ STALE_AFTER, INGEST_TIMEOUT = "10 seconds", "120 seconds"
 POINT_COLUMNS = ["current_temperature", "target_temperature", "heating_status"]
 
 
+#: Order of arrival: time, then partition and offset; what is missing comes first.
+ARRIVAL = ["arrival_ts", "partition", "arrival"]
+
+
 def merge_points(writes: DataFrame) -> DataFrame:
-    """Upsert semantics: one point per (device, ts), last non-null write per field."""
-    by_arrival = {
-        c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("arrival"))).alias(c)
-        for c in POINT_COLUMNS
-    }
-    arrivals = [c for c in ("arrival", "arrival_ts") if c in writes.columns]
-    return writes.groupBy("device_id", "ts").agg(
-        *by_arrival.values(), *[F.max(c).alias(c) for c in arrivals]
+    """Upsert semantics: one point per (device, ts), last non-null write per field.
+
+    The last write is that with the highest (arrival_ts, partition, arrival) of those
+    columns that there are.  A write without any of them still counts, before all others.
+    """
+    order = [c for c in ARRIVAL if c in writes.columns]
+    place = F.struct(*order) if len(order) > 1 else F.struct(F.col(order[0]))
+    by_arrival = [F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in POINT_COLUMNS]
+    days = ["date"] if "date" in writes.columns else []
+    return writes.groupBy("device_id", "ts", *days).agg(
+        *by_arrival, *[F.max(c).alias(c) for c in reversed(order)]
     )
 
 
@@ -51,6 +58,42 @@ def _between(points: DataFrame, start: Column | None, stop: Column | None) -> Da
     return points
 
 
+def partial_means(points: DataFrame, width: str, stop: Column | None = None) -> DataFrame:
+    """Exact sums of temperature per device and epoch-aligned bucket, stamped with its end (cut at ``stop``).
+
+    Decimal sums do not depend on their order, so neither does a mean made of any
+    number of parts.
+    """
+    exact = F.col("current_temperature").cast("decimal(28,6)")
+    sums = (
+        points.filter(F.col("current_temperature").isNotNull())
+        .groupBy("device_id", F.window("ts", width).alias("bucket"))
+        .agg(F.sum(exact).alias("total"), F.count(F.lit(1)).alias("readings"), F.max("ts").alias("last"))
+    )
+    end = F.col("bucket.end")
+    return sums.select(
+        "device_id",
+        (end if stop is None else F.least(end, stop)).alias("timestamp"),
+        F.col("total").cast("decimal(38,6)").alias("total"),
+        "readings",
+        "last",
+    )
+
+
+def mean_of(parts: DataFrame) -> DataFrame:
+    """Mean temperatures of buckets from all of their parts."""
+    whole = parts.groupBy("device_id", "timestamp").agg(F.sum("total").alias("total"), F.sum("readings").alias("readings"))
+    return whole.select("device_id", "timestamp", _cents("total", "readings"))
+
+
+def _cents(total: str, readings: str) -> Column:
+    """total / readings in whole cents, halves up, in exact numbers of millionths."""
+    share = F.col(readings) * 10_000
+    twice = 2 * (F.col(total) * 1_000_000).cast("bigint") + share
+    cents = (twice - F.pmod(twice, 2 * share)) / (2 * share)  # floor(total / readings * 100 + 1/2)
+    return (cents / F.lit(100.0)).alias("temperature")
+
+
 def bucket_means(
     points: DataFrame,
     width: str,
@@ -61,18 +104,8 @@ def bucket_means(
 
     A bucket is stamped with its end, cut at ``stop``.
     """
-    means = (
-        _between(points, start, stop)
-        .filter(F.col("current_temperature").isNotNull())
-        .groupBy("device_id", F.window("ts", width).alias("bucket"))
-        .agg(F.avg("current_temperature").alias("mean"))
-    )
-    end = F.col("bucket.end")
-    return means.select(
-        "device_id",
-        (end if stop is None else F.least(end, stop)).alias("timestamp"),
-        round_cents(F.col("mean")).alias("temperature"),
-    )
+    parts = partial_means(_between(points, start, stop), width, stop)
+    return parts.select("device_id", "timestamp", _cents("total", "readings"))
 
 
 def telemetry_history(points: DataFrame, range_: str, as_of: str) -> DataFrame:
@@ -227,21 +260,32 @@ def online_intervals(
     ``gap`` of a slice border can continue next door, at most two per slice, so
     those alone are brought together per device; the others stay in their slice.
     """
-    silence = interval(gap)
-    bounds = F.window("ts", slice_)
-    sliced = points.select(
-        "device_id",
-        bounds.start.alias("_slice"),
-        bounds.end.alias("_slice_end"),
-        F.col("ts").alias("online_from"),
-        F.col("ts").alias("last_seen"),
-        F.lit(1).cast("bigint").alias("readings"),
-    )
-    local = _join_runs(sliced, ["device_id", "_slice", "_slice_end"], silence)
-    inner = (F.col("online_from") - F.col("_slice") > silence) & (
-        F.col("_slice_end") - F.col("last_seen") > silence
+    return join_spans(slice_spans(points, gap, slice_), gap, slice_, joined=True)
+
+
+def slice_spans(points: DataFrame, gap: str = STALE_AFTER, slice_: str = "10 minutes") -> DataFrame:
+    """Spans (device_id, online_from, last_seen, readings) within time slices, not joined across their borders."""
+    # Device, slice and time are all that is shuffled.
+    sliced = (
+        points.select("device_id", F.window("ts", slice_).start.alias("_slice"), F.col("ts").alias("online_from"))
+        .repartition("device_id", "_slice")
+        .withColumns({"last_seen": F.col("online_from"), "readings": F.lit(1).cast("bigint")})
     )
-    zoned = local.withColumn("_zone", F.when(inner, F.col("_slice")))
+    return _join_runs(sliced, ["device_id", "_slice"], interval(gap)).drop("_slice")
+
+
+def join_spans(
+    spans: DataFrame, gap: str = STALE_AFTER, slice_: str = "10 minutes", joined: bool = False
+) -> DataFrame:
+    """Spans of ``slice_spans``, of one or many parts of the readings, to online intervals.
+
+    ``joined``: they are of one part, so within a slice they are final."""
+    silence = interval(gap)
+    sliced = spans.withColumn("_slice", F.window("online_from", slice_).start)
+    local = sliced if joined else _join_runs(sliced, ["device_id", "_slice"], silence)
+    slice_end = F.col("_slice") + interval(slice_)
+    inner = (F.col("online_from") - F.col("_slice") > silence) & (slice_end - F.col("last_seen") > silence)
+    zoned = local.withColumn("_zone", F.when(inner, F.col("_slice"))).drop("_slice")
     return _join_runs(zoned, ["device_id", "_zone"], silence).select(
         "device_id",
         "online_from",

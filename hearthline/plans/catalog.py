@@ -194,12 +194,18 @@ def merge_points(x: Inputs) -> DataFrame:
     return series.merge_points(x.writes())
 
 
+# The mean in whole cents, halves up, worked out in whole millionths: floor((2 sum + n) / 2n).
+_TWICE = "(2 * (sum(current_temperature::DECIMAL(28, 6)) * 1000000)::HUGEINT + count(*) * 10000)"
+_SHARE = "(count(*) * 20000)"
+_MEAN = f"(({_TWICE} - (({_TWICE} % {_SHARE}) + {_SHARE}) % {_SHARE}) // {_SHARE})::DOUBLE / 100.0"
+
+
 def _history_sql(width: str, start: str | None = None, stop: str | None = None) -> str:
     bounds = [f"ts >= {start}"] if start else []
     bounds += [f"ts < {stop}"] if stop else []
     end = f"time_bucket(INTERVAL '{width}', ts, TIMESTAMP '1970-01-01') + INTERVAL '{width}'"
     return f"""SELECT device_id, {f'least({end}, {stop})' if stop else end} AS "timestamp",
-        floor(avg(current_temperature) * 100.0 + 0.5) / 100.0 AS temperature
+        {_MEAN} AS temperature
         FROM points {'WHERE ' + ' AND '.join(bounds) if bounds else ''}
         GROUP BY device_id, {end}"""
 
@@ -227,7 +233,7 @@ def bucket_means(x: Inputs) -> DataFrame:
         "parsed",
         """SELECT device_id, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01')
                + INTERVAL '15 minutes' AS "timestamp",
-               floor(avg(current_temperature) * 100.0 + 0.5) / 100.0 AS temperature
+               """ + _MEAN + """ AS temperature
            FROM (SELECT device_id, date_trunc('millisecond', ts) AS ts,
                         arg_max(current_temperature, arrival) AS current_temperature
                  FROM parsed WHERE valid GROUP BY 1, 2) p
@@ -783,7 +789,7 @@ def resolve_claims(x: Inputs) -> DataFrame:
 def stream_of(x: Inputs) -> Inputs:
     """The same inputs over a stream of the events table."""
     schema = x.table("events").schema
-    events = read_events(x.spark, "parquet", {"path": f"{x.folder}/events*.parquet"}, schema)
+    events = read_events(x.spark, "parquet", {"path": f"{x.folder}/[e]vents.parquet"}, schema)
     return Inputs(x.spark, x.folder, events)
 
 
@@ -803,7 +809,7 @@ def write_events_table(x: Inputs) -> DataFrame:
     path = shared_dir(x.spark, "records")
     records = ingest.keyed_records(ingest.valid_telemetry(ingest.parse_telemetry(x.raw())))
     for _ in range(2):
-        write_events(records.select("key", "value"), "parquet", {"path": path}, batch_id=0)
+        write_events(records.select("key", "value"), "parquet", {"path": path}, batch_id=0, run="direct")
     return x.spark.read.parquet(path).select("key", "value")
 
 
@@ -836,7 +842,7 @@ def _ingest(x: Inputs) -> str:
 @query(over("parsed", f"{_STORED} FROM ({_TO_POINT}) w GROUP BY device_id, ts"))
 def run_ingest(x: Inputs) -> DataFrame:
     """The streaming ingest job, read back from its points table."""
-    return plain(read_points(x.spark, f"{_ingest(x)}/points").drop("arrival_ts"))
+    return plain(read_points(x.spark, f"{_ingest(x)}/points").drop("arrival_ts", "partition", "date"))
 
 
 @query(over("parsed", f"SELECT device_id AS key, {_ENCODED} AS value FROM parsed WHERE valid"))
@@ -858,7 +864,7 @@ def upsert_points_table(x: Inputs) -> DataFrame:
         upsert_points(writes, 1, path)
     compacted = shared_dir(x.spark, "compacted")
     rewrite_points(x.spark, path, compacted)
-    return plain(read_points(x.spark, compacted).drop("arrival_ts"))
+    return plain(read_points(x.spark, compacted).drop("arrival_ts", "partition", "date"))
 
 
 @query(over("points latest_purges", f"{_STORED} FROM ({_PURGED}) w GROUP BY device_id, ts"))
@@ -877,41 +883,47 @@ def run_purge(x: Inputs) -> DataFrame:
     ).awaitTermination()
     upsert_points(instants(x.points(), "ts"), 0, f"{folder}/points")
     purges = x.spark.read.parquet(f"{folder}/purges")
-    return plain(read_points(x.spark, f"{folder}/points", purges=purges).drop("arrival_ts"))
+    return plain(read_points(x.spark, f"{folder}/points", purges=purges).drop("arrival_ts", "partition", "date"))
 
 
-query(_throttle_sql("1 day"), "stream_throttle")(
-    lambda x: S.drain(x.spark, S.stream_throttle(stream_of(x).views(), "1 day"), "throttle")
-)
+def _log(x: Inputs, name: str) -> tuple[str, str]:
+    folder = shared_dir(x.spark, name)
+    return f"{folder}/log", f"{folder}/checkpoint"
+
+
+@query(_throttle_sql("1 day"))
+def stream_throttle(x: Inputs) -> DataFrame:
+    log, checkpoint = _log(x, "throttle")
+    views_ = stream_of(x).views()
+    S.stream_views(views_, log, checkpoint, trigger=S.AVAILABLE_NOW).awaitTermination()
+    return S.throttled(x.spark, log, views_.schema, "1 day")
 
 
 @query(_throttle_sql("1 day", "views active", _TRACKED))
 def stream_track_views(x: Inputs) -> DataFrame:
-    own = S.stream_trackable_views(stream_of(x).views(), x.devices())
-    return S.drain(x.spark, S.stream_throttle(own, "1 day"), "track")
+    """Views of own devices chosen on the stream, then logged and throttled."""
+    log, checkpoint = _log(x, "track")
+    views_ = stream_of(x).views()
+    own = S.stream_trackable_views(views_, x.devices()).select(*views_.columns)
+    S.stream_views(own, log, checkpoint, trigger=S.AVAILABLE_NOW).awaitTermination()
+    return S.throttled(x.spark, log, views_.schema, "1 day")
 
 
 @query(_throttle_sql("1 day", "views active", _TRACKED))
 def run_view_tracking(x: Inputs) -> DataFrame:
-    """The view-tracking job, read back from its history."""
-    folder = shared_dir(x.spark, "tracking")
-    S.run_view_tracking(
-        stream_of(x).views(),
-        x.devices(),
-        f"{folder}/history",
-        f"{folder}/checkpoint",
-        "1 day",
-        {"availableNow": True},
-    ).awaitTermination()
-    stored = x.spark.read.parquet(f"{folder}/history")
-    return stored.select("id", "user_id", "device_id", "viewed_at")
+    """The view-tracking job, and the view history read from its log."""
+    log, checkpoint = _log(x, "tracking")
+    views_ = stream_of(x).views()
+    S.run_view_tracking(views_, x.devices(), log, checkpoint, S.AVAILABLE_NOW).awaitTermination()
+    return S.throttled(x.spark, log, views_.schema, "1 day")
 
 
 @query(over("resolved", "SELECT * FROM resolved"))
 def stream_claims(x: Inputs) -> DataFrame:
-    live = stream_of(x)
+    log, checkpoint = _log(x, "claims")
     asked = claims.valid_claims(stream_of(x).claims())
-    return S.drain(x.spark, S.stream_claims(live.codes(), asked, CLAIM_LIFE), "claims")
+    S.stream_claims(stream_of(x).codes(), asked, log, checkpoint, S.AVAILABLE_NOW).awaitTermination()
+    return S.resolved(x.spark, log, asked.schema["claimed_at"].dataType, CLAIM_LIFE)
 
 
 @query(
@@ -922,8 +934,10 @@ def stream_claims(x: Inputs) -> DataFrame:
     )
 )
 def stream_staleness(x: Inputs) -> DataFrame:
+    log, checkpoint = _log(x, "staleness")
     points = instants(stream_of(x).points(), "ts")
-    return plain(S.drain(x.spark, S.stream_staleness(points, "3 hours"), "staleness"))
+    S.stream_staleness(points, log, checkpoint, "3 hours", "1 day", S.AVAILABLE_NOW).awaitTermination()
+    return plain(S.online(x.spark, log, "3 hours", "1 day", closed=True))
 
 
 @query(
@@ -934,14 +948,26 @@ def stream_staleness(x: Inputs) -> DataFrame:
     )
 )
 def stream_history(x: Inputs) -> DataFrame:
+    log, checkpoint = _log(x, "history")
     points = instants(stream_of(x).points(), "ts")
-    return plain(S.drain(x.spark, S.stream_history(points, "15 minutes", "10 minutes"), "history"))
+    S.stream_history(points, "15 minutes", log, checkpoint, S.AVAILABLE_NOW).awaitTermination()
+    return plain(S.history(x.spark, log, "10 minutes"))
 
 
 @query(over("replayed_points", _LATE))
 def stream_late_arrivals(x: Inputs) -> DataFrame:
+    log, checkpoint = _log(x, "late")
     points = stream_of(x).replayed_points()
-    return S.drain(x.spark, S.stream_late_arrivals(points, "10 minutes"), "late")
+    S.stream_late_arrivals(points, log, checkpoint, S.AVAILABLE_NOW).awaitTermination()
+    return S.lateness(x.spark, log, points.schema, "10 minutes")
+
+
+@query(over("points", _history_sql("15 minutes", f"TIMESTAMP '{AS_OF}' - INTERVAL '24 hours'", f"TIMESTAMP '{AS_OF}'")))
+def history_from_store(x: Inputs) -> DataFrame:
+    """The last day's history out of the points table; only its days are read."""
+    path = shared_dir(x.spark, "stored")
+    upsert_points(instants(x.points(), "ts"), 0, path)
+    return plain(series.telemetry_history(read_points(x.spark, path), "-24h", AS_OF))
 
 
 # --- driver contract ------------------------------------------------------

@@ -37,6 +37,7 @@ POINTS = _struct(
     ("current_temperature", _D),
     ("target_temperature", _D),
     ("heating_status", T.IntegerType()),
+    ("partition", T.IntegerType()),
     ("arrival", _L),
     ("arrival_ts", _TS),
 )

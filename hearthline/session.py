@@ -9,8 +9,6 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
-ROCKSDB_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 SETTINGS = {
     # All instants are compared and formatted in UTC.
     "spark.sql.session.timeZone": "UTC",
@@ -20,7 +18,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass": ROCKSDB_STATE,
 }
 
 
@@ -39,11 +36,6 @@ def ship_by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def use_keyed_state(spark: SparkSession) -> None:
-    """The keyed-state streams need the RocksDB state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,8 +19,8 @@ def read_events(
 ) -> DataFrame:
     """A streaming DataFrame from the beginning of the topic, resuming from its checkpoint.
 
-    Kafka records come out as (value, arrival, arrival_ts): a device keeps to one
-    partition, where the offset gives its order of arrival.  No watermark is set.
+    Kafka records come out as (value, partition, arrival, arrival_ts).  Times of arrival, then
+    partitions and offsets give one order over all of them.  No watermark is set.
     The size of a micro-batch is limited, so that a backlog is worked off in
     steps; pass the limit in ``options`` to change it.
     """
@@ -30,25 +31,61 @@ def read_events(
     records = spark.readStream.format("kafka").options(**options).load()
     return records.select(
         F.col("value").cast("string").alias("value"),
+        F.col("partition").alias("partition"),
         F.col("offset").alias("arrival"),
         F.col("timestamp").alias("arrival_ts"),
     )
 
 
+def run_of(spark: SparkSession) -> str:
+    """The id of the streaming query in whose micro-batch this runs; it is kept in the checkpoint."""
+    run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not run:
+        raise ValueError("not within a micro-batch")
+    return run
+
+
+def write_batch(
+    batch: DataFrame, format: str, options: dict[str, str], batch_id: int, run: str, by: list[str] | None = None
+) -> None:
+    """Write one micro-batch to a folder of its own below that of its query.
+
+    A batch that runs again replaces its output.  A query with a fresh checkpoint has
+    another id and counts its batches anew without touching what is there.
+    """
+    options = dict(options)
+    path = f"{options.pop('path')}/run={run}/batch={batch_id}"
+    writer = batch.write.format(format).options(**options).mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).save(path)
+
+
+def read_folders(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What ``write_batch`` has written below ``path``, nothing if there is nothing."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def write_events(
-    batch: DataFrame, format: str, options: dict[str, str], batch_id: int | None = None
+    batch: DataFrame,
+    format: str,
+    options: dict[str, str],
+    batch_id: int | None = None,
+    run: str | None = None,
 ) -> None:
-    """Write one micro-batch of records.
+    """Write one batch of records.
 
-    Files go to a folder per batch, so a batch that runs again replaces its own
-    output.  Kafka takes (key, value) and leaves the choice of partition to the key.
+    Files of a micro-batch go to ``run=<run>/batch=<id>``, see ``write_batch``; without a
+    batch id they are added to what is there.  Kafka takes (key, value) and
+    leaves the choice of partition to the key.
     """
     if format == "kafka":
         columns = [c for c in ("key", "value") if c in batch.columns]
         batch.select(*columns).write.format("kafka").options(**options).save()
-        return
-    options = dict(options)
-    path = options.pop("path")
-    if batch_id is not None:
-        path = f"{path}/batch={batch_id}"
-    batch.write.format(format).options(**options).mode("overwrite").save(path)
+    elif batch_id is None:
+        batch.write.format(format).options(**options).mode("append").save()
+    else:
+        write_batch(batch, format, options, batch_id, run or run_of(batch.sparkSession))

@@ -1,12 +1,16 @@
-"""The points table: ``batch=<n>/date=<day>`` folders of parquet files.
+"""The points table: ``run=<writer>/batch=<n>/date=<day>`` folders of parquet files.
 
-A micro-batch only ever replaces its own folder, so writing costs as much as
-the batch and a retry changes nothing.  Reading merges the writes of a point
-(see ``merge_points``); merging is idempotent, so reading a write twice is harmless.
+A batch only ever replaces its own folder, so writing costs as much as the batch and a
+retry changes nothing.  Writers have folders of their own: a job that starts again
+with a fresh checkpoint, or after a compaction, overwrites nothing.  Reading merges
+the writes of a point (see ``merge_points``); merging is idempotent, so reading a write
+twice is harmless.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +21,7 @@ from ..operators.series import merge_points, purge_points
 _LAYOUT = T.StructType(
     [
         *schemas.POINTS.fields,
+        T.StructField("run", T.StringType()),
         T.StructField("batch", T.LongType()),
         T.StructField("date", T.DateType()),
     ]
@@ -24,6 +29,8 @@ _LAYOUT = T.StructType(
 
 
 def _rows(points: DataFrame) -> DataFrame:
+    if not {"arrival", "arrival_ts"} & set(points.columns):
+        raise ValueError("points need arrival or arrival_ts: later writes of a point win")
     columns = [
         (F.col(f.name) if f.name in points.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schemas.POINTS.fields
@@ -35,10 +42,10 @@ def _write(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("date").parquet(path)
 
 
-def upsert_points(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Write one batch of points; later writes of a point win when it is read."""
+def upsert_points(batch: DataFrame, batch_id: int, path: str, run: str = "direct") -> None:
+    """Write one batch of points of the writer ``run``; later writes of a point win when it is read."""
     # AQE merges small days into few files and splits a large day over several.
-    _write(_rows(batch).hint("rebalance", "date"), f"{path}/batch={batch_id}")
+    _write(_rows(batch).hint("rebalance", "date"), f"{path}/run={run}/batch={batch_id}")
 
 
 def stored_writes(
@@ -47,7 +54,9 @@ def stored_writes(
     start: str | None = None,
     stop: str | None = None,
 ) -> DataFrame:
-    """All writes with ``start <= ts < stop``; only the days in between are read."""
+    """All writes with ``start <= ts < stop``; only the days in between are read.
+
+    The day stays as column ``date``, so that operators that filter by time prune too."""
     stored = spark.read.schema(_LAYOUT).parquet(path)
     if start is not None:
         since = F.lit(start).cast("timestamp")
@@ -55,7 +64,7 @@ def stored_writes(
     if stop is not None:
         until = F.lit(stop).cast("timestamp")
         stored = stored.filter((F.col("ts") < until) & (F.col("date") <= F.to_date(until)))
-    return stored.drop("batch", "date")
+    return stored.drop("run", "batch")
 
 
 def read_points(
@@ -87,4 +96,4 @@ def rewrite_points(
     """
     order = ["date", "device_id", "ts"]
     rows = _rows(read_points(spark, path, purges=purges))
-    _write(rows.repartitionByRange(*order).sortWithinPartitions(*order), f"{target}/batch=0")
+    _write(rows.repartitionByRange(*order).sortWithinPartitions(*order), f"{target}/run=base-{uuid.uuid4().hex}/batch=0")

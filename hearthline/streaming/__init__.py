@@ -1,11 +1,30 @@
 """Continuous forms of the operators; each gives the answers of its batch twin."""
 
-from .jobs import drain, run_ingest, run_purge, run_view_tracking
-from .keyed import stream_claims, stream_late_arrivals, stream_staleness, stream_throttle
-from .windows import stream_history, stream_trackable_views
+from .jobs import AVAILABLE_NOW, drain, run_ingest, run_purge, run_view_tracking, stream_trackable_views
+from .logs import (
+    append_log,
+    history,
+    lateness,
+    online,
+    read_log,
+    resolved,
+    stream_claims,
+    stream_history,
+    stream_late_arrivals,
+    stream_staleness,
+    stream_views,
+    throttled,
+)
 
 __all__ = [
+    "AVAILABLE_NOW",
+    "append_log",
     "drain",
+    "history",
+    "lateness",
+    "online",
+    "read_log",
+    "resolved",
     "run_ingest",
     "run_purge",
     "run_view_tracking",
@@ -13,6 +32,7 @@ __all__ = [
     "stream_history",
     "stream_late_arrivals",
     "stream_staleness",
-    "stream_throttle",
     "stream_trackable_views",
+    "stream_views",
+    "throttled",
 ]

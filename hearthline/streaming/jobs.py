@@ -1,14 +1,12 @@
-"""Checkpointed jobs.  Each micro-batch writes under its batch id, so a batch
-that is run again after a failure replaces its own output."""
+"""Checkpointed jobs.  Each micro-batch writes under the id of its query and its own number, so a batch
+that is run again after a failure replaces its own output and nothing else."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import interval
 from ..operators.ingest import (
     dead_letters,
     device_id_guard,
@@ -18,10 +16,11 @@ from ..operators.ingest import (
     to_points,
     valid_telemetry,
 )
-from ..operators.views import VIEW_GAP, throttle_views, trackable_views, valid_views
+from ..operators.views import trackable_views, valid_views
 from ..session import shared_dir
-from ..sources.events import write_events
+from ..sources.events import run_of, write_events
 from ..sources.points import upsert_points
+from .logs import start, stream_views
 
 Sink = tuple[str, dict[str, str]]
 AVAILABLE_NOW = {"availableNow": True}
@@ -46,9 +45,10 @@ def run_ingest(
         parsed = batch.persist()
         try:
             events = valid_telemetry(parsed)
-            upsert_points(to_points(events), batch_id, points_path)
-            write_events(keyed_records(events), *processed, batch_id)
-            write_events(dead_letters(parsed), *dlq, batch_id)
+            run = run_of(batch.sparkSession)
+            upsert_points(to_points(events), batch_id, points_path, run)
+            write_events(keyed_records(events), *processed, batch_id, run)
+            write_events(dead_letters(parsed), *dlq, batch_id, run)
         finally:
             parsed.unpersist()
 
@@ -57,7 +57,7 @@ def run_ingest(
         F.count_if("valid").alias("telemetry_valid"),
         F.count_if(~F.col("valid")).alias("telemetry_invalid"),
     )
-    return _start(counted, write, checkpoint, trigger)
+    return start(counted, write, checkpoint, trigger)
 
 
 def run_purge(
@@ -81,62 +81,23 @@ def run_purge(
         write_events(good, "parquet", {"path": purges_path}, batch_id)
         write_events(bad, "parquet", {"path": quarantine_path}, batch_id)
 
-    return _start(source, write, checkpoint, trigger)
+    return start(source, write, checkpoint, trigger)
 
 
 def run_view_tracking(
-    source: DataFrame,
-    devices: DataFrame,
-    history_path: str,
-    checkpoint: str,
-    gap: str = VIEW_GAP,
-    trigger: dict | None = None,
+    source: DataFrame, devices: DataFrame, log_path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Views to the view history: valid, of own active devices, none within ``gap`` of a recorded one.
+    """Valid views of own active devices to the log that ``throttled`` reads the view history from.
 
-    The history itself is the state: a micro-batch is throttled together with the
-    views recorded up to ``gap`` before it.  Unlike the keyed stream, this cuts a
-    pair with very many views into slices.  Views must come in time order across
-    micro-batches.
+    Views may come in any order and in any batch: which ones are kept is decided over
+    all that is logged, by the sliced throttle.
     """
-    spark, columns = source.sparkSession, source.columns
-    stored = T.StructType(
-        [*source.schema.fields, T.StructField("batch", T.LongType()), T.StructField("date", T.DateType())]
-    )
-
-    def save(views: DataFrame, batch_id: int) -> None:
-        dated = views.withColumn("date", F.to_date("viewed_at"))
-        dated.write.mode("overwrite").partitionBy("date").parquet(f"{history_path}/batch={batch_id}")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        views = trackable_views(valid_views(batch), devices).select(*columns).persist()
-        try:
-            bounds = views.agg((F.min("viewed_at") - interval(gap)).alias("since")).first()
-            since = F.lit(bounds["since"]).cast(source.schema["viewed_at"].dataType)
-            recorded = (
-                batch.sparkSession.read.schema(stored)
-                .parquet(history_path)
-                .filter((F.col("batch") < batch_id) & (F.col("date") >= F.to_date(since)))
-                .filter(F.col("viewed_at") >= since)
-                .select(*columns, F.lit(False).alias("_new"))
-            )
-            both = recorded.unionByName(views.withColumn("_new", F.lit(True)))
-            save(throttle_views(both, gap).filter("_new").drop("_new"), batch_id)
-        finally:
-            views.unpersist()
+    return stream_views(source, log_path, checkpoint, devices, trigger)
 
-    # An empty first entry, so that the history can be read from the start.
-    save(spark.createDataFrame([], source.schema), -1)
-    return _start(source, write, checkpoint, trigger)
 
-
-def _start(stream: DataFrame, write, checkpoint: str, trigger: dict | None) -> StreamingQuery:
-    return (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "60 seconds"}))
-        .start()
-    )
+def stream_trackable_views(views: DataFrame, devices: DataFrame) -> DataFrame:
+    """Valid views of own active devices; ``devices`` is a static table."""
+    return trackable_views(valid_views(views), devices)
 
 
 def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

@@ -56,7 +56,7 @@ def test_ingest_job(spark, live, inputs):
     query.awaitTermination()
     parsed = ingest.parse_telemetry(inputs.raw().select("value", "arrival"))
     events = ingest.valid_telemetry(parsed)
-    stored = read_points(spark, f"{folder}/points").drop("arrival_ts")
+    stored = read_points(spark, f"{folder}/points").drop("arrival_ts", "partition", "date")
     assert rows(stored) == rows(series.merge_points(ingest.to_points(events)).select(*stored.columns))
     processed = spark.read.parquet(f"{folder}/processed").select("key", "value")
     assert rows(processed) == rows(ingest.keyed_records(events).select("key", "value"))
@@ -70,7 +70,7 @@ def test_ingest_job(spark, live, inputs):
     # The second half of the history only reads the days it needs.
     late = read_points(spark, f"{folder}/points", start="2024-01-20 00:00:00", stop="2024-01-25 00:00:00")
     want = stored.filter("ts >= '2024-01-20' AND ts < '2024-01-25'")
-    assert rows(late.drop("arrival_ts")) == rows(want)
+    assert rows(late.select(*stored.columns)) == rows(want)
     assert "PartitionFilters: [isnotnull(date" in late._jdf.queryExecution().executedPlan().toString()
 
 
@@ -82,7 +82,7 @@ def test_writing_a_batch_again_changes_nothing(spark, inputs):
     once = rows(read_points(spark, path))
     upsert_points(writes.filter("arrival >= 400"), 1, path)
     assert rows(read_points(spark, path)) == once
-    assert rows(read_points(spark, path).drop("arrival_ts")) == rows(series.merge_points(writes))
+    assert rows(read_points(spark, path).drop("arrival_ts", "partition", "date")) == rows(series.merge_points(writes))
     rewrite_points(spark, path, target)
     assert rows(read_points(spark, target)) == once
     assert stored_writes(spark, target).count() == len(once)
@@ -114,16 +114,116 @@ def test_purge_job(spark, inputs):
     device = purges.join(points, "device_id").first()["device_id"]
     again = points.filter(F.col("device_id") == device).withColumn("arrival_ts", F.lit("2024-06-01").cast("timestamp"))
     upsert_points(again, 1, f"{folder}/points")
-    left = read_points(spark, f"{folder}/points", purges=purges).drop("arrival_ts")
+    left = read_points(spark, f"{folder}/points", purges=purges).drop("arrival_ts", "partition", "date")
     want = series.purge_points(points, purges.filter(F.col("device_id") != device))
     assert rows(left) == rows(series.merge_points(want).select(*left.columns))
     rewrite_points(spark, f"{folder}/points", f"{folder}/clean", purges)
-    assert rows(read_points(spark, f"{folder}/clean").drop("arrival_ts")) == rows(left)
+    assert rows(read_points(spark, f"{folder}/clean").drop("arrival_ts", "partition", "date")) == rows(left)
+
+
+def test_a_new_run_overwrites_nothing(spark, inputs):
+    """Compaction, then jobs with fresh checkpoints over the same folders."""
+    folder, schema = shared_dir(spark, "again"), spark.read.parquet(f"{DATA}/events.parquet").schema
+    halves = []
+    for k in range(2):
+        part = f"{folder}/events{k}"
+        spark.read.parquet(f"{DATA}/events.parquet").filter(f"event_id % 2 = {k}").coalesce(1).write.parquet(part)
+        halves.append(Inputs(spark, DATA, read_events(spark, "parquet", {"path": part}, schema)))
+    points = f"{folder}/points"
+    upsert_points(instants(inputs.writes(), "ts"), 0, f"{folder}/old")
+    rewrite_points(spark, f"{folder}/old", points)
+    before = read_points(spark, points).count()
+    for k, half in enumerate(halves):
+        S.run_ingest(
+            half.raw().select("value", "arrival"), points, ("parquet", {"path": f"{folder}/processed"}),
+            ("parquet", {"path": f"{folder}/dlq"}), f"{folder}/checkpoint{k}", NOW,
+        ).awaitTermination()
+        S.stream_views(half.views(), f"{folder}/views", f"{folder}/view-checkpoint{k}", trigger=NOW).awaitTermination()
+    parsed = ingest.parse_telemetry(inputs.raw().select("value", "arrival"))
+    events = ingest.valid_telemetry(parsed)
+    new = ingest.to_points(events).select("device_id", "ts").distinct()
+    assert before > 0
+    both = new.unionByName(instants(inputs.writes(), "ts").select("device_id", "ts")).distinct()
+    assert read_points(spark, points).count() == both.count()
+    assert spark.read.parquet(f"{folder}/processed").count() == events.count()
+    assert spark.read.parquet(f"{folder}/dlq").count() == ingest.dead_letters(parsed).count()
+    kept = S.throttled(spark, f"{folder}/views", inputs.views().schema, "1 day")
+    assert rows(kept) == rows(views.throttle_views(inputs.views(), "1 day"))
+
+
+def test_order_of_arrival_and_lost_order(spark, inputs):
+    path = shared_dir(spark, "order")
+    schema = "device_id string, ts timestamp, current_temperature double, target_temperature double, heating_status int, partition int, arrival long"
+    at = instants(inputs.points(), "ts").first()["ts"]
+    spark_rows = [("d", at, 1.0, None, 0, 0, 5), ("d", at, 2.0, None, 1, 1, 5), ("d", at, None, 9.0, 1, 0, 7), ("e", at, 4.0, 5.0, 1, None, None)]
+    upsert_points(spark.createDataFrame(spark_rows, schema), 0, path)
+    got = {r.device_id: r for r in read_points(spark, path).collect()}
+    assert (got["d"].current_temperature, got["d"].target_temperature) == (2.0, 9.0)
+    assert (got["e"].current_temperature, got["e"].target_temperature, got["e"].heating_status) == (4.0, 5.0, 1)
+    with pytest.raises(ValueError):
+        upsert_points(spark.createDataFrame(spark_rows, schema).drop("arrival"), 1, path)
+
+
+def test_history_over_the_store_reads_its_days_only(spark, inputs):
+    path = shared_dir(spark, "days")
+    upsert_points(instants(inputs.points(), "ts"), 0, path)
+    history = series.telemetry_history(read_points(spark, path), "-24h", "2024-01-31 00:00:00")
+    plan = history._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+
+
+@pytest.fixture(scope="module", params=[(1, "64"), (80, "7"), (200, "64"), (12, "1")])
+def shuffled(request, spark):
+    """The events as files in no order of time: (number of files, files per trigger)."""
+    files, limit = request.param
+    path = shared_dir(spark, "shuffled")
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.repartition(files, F.xxhash64("event_id")).write.parquet(path)
+    options = {"path": path, "maxFilesPerTrigger": limit}
+    return lambda: Inputs(spark, DATA, read_events(spark, "parquet", options, events.schema))
 
 
-def test_throttle_stream(spark, live, inputs):
-    got = S.drain(spark, S.stream_throttle(live().views(), "1 day"), "throttle")
-    assert rows(got) == rows(views.throttle_views(inputs.views(), "1 day"))
+def test_streams_do_not_depend_on_order_or_cuts(spark, shuffled, inputs):
+    folder = shared_dir(spark, "any-order")
+    at = lambda name: (f"{folder}/{name}", f"{folder}/{name}-checkpoint")
+    everyone = inputs.views().select("device_id", "user_id").distinct().withColumn("is_active", F.lit(True))
+    late = lambda x: x.replayed_points()
+    asked = claims.valid_claims(shuffled().claims())
+    for query in [
+        S.stream_views(shuffled().views(), *at("views"), trigger=NOW),
+        S.run_view_tracking(shuffled().views(), everyone, *at("tracking"), NOW),
+        S.stream_claims(shuffled().codes(), asked, *at("claims"), NOW),
+        S.stream_history(instants(shuffled().points(), "ts"), "1 hour", *at("history"), NOW),
+        S.stream_staleness(instants(shuffled().points(), "ts"), *at("spans"), "3 hours", "1 day", NOW),
+        S.stream_late_arrivals(late(shuffled()), *at("late"), NOW),
+    ]:
+        query.awaitTermination()
+    log = lambda name: at(name)[0]
+    want = rows(views.throttle_views(inputs.views(), "1 day"))
+    schema = inputs.views().schema
+    assert rows(S.throttled(spark, log("views"), schema, "1 day")) == want
+    assert rows(S.throttled(spark, log("tracking"), schema, "1 day")) == want
+    resolved = claims.resolve_claims(inputs.codes(), claims.valid_claims(inputs.claims()), CLAIM_LIFE)
+    got = S.resolved(spark, log("claims"), asked.schema["claimed_at"].dataType, CLAIM_LIFE)
+    assert rows(got.select(*resolved.columns)) == rows(resolved)
+    batch = instants(inputs.points(), "ts")
+    assert rows(S.history(spark, log("history"))) == rows(series.bucket_means(batch, "1 hour"))
+    last = batch.agg(F.date_trunc("MILLISECOND", F.max("ts"))).first()[0]
+    spans = series.online_intervals(batch, "3 hours", "1 day")
+    assert rows(S.online(spark, log("spans"), "3 hours", "1 day")) == rows(spans)
+    closed = S.online(spark, log("spans"), "3 hours", "1 day", closed=True)
+    assert rows(closed) == rows(spans.filter(F.col("stale_from") <= F.lit(last)))
+    points = late(inputs)
+    judged = series.late_arrivals(points, "10 minutes")
+    assert judged.filter("late").count() > 0
+    assert rows(S.lateness(spark, log("late"), points.schema, "10 minutes")) == rows(judged)
+
+
+def test_means_do_not_depend_on_the_split(spark, inputs):
+    points = inputs.points()
+    want = rows(series.bucket_means(points.coalesce(1), "1 day"))
+    for parts in (7, 40):
+        assert rows(series.bucket_means(points.repartition(parts), "1 day")) == want
 
 
 def test_tracked_views_stream(spark, live, inputs):
@@ -131,66 +231,3 @@ def test_tracked_views_stream(spark, live, inputs):
     got = S.drain(spark, own, "own")
     want = views.trackable_views(views.valid_views(inputs.views()), inputs.devices())
     assert rows(got.select("id")) == rows(want.select("id"))
-
-
-def test_view_tracking_job(spark, live, inputs):
-    everyone = inputs.views().select("device_id", "user_id").distinct().withColumn("is_active", F.lit(True))
-    folder = shared_dir(spark, "tracking")
-    S.run_view_tracking(
-        live().views(), everyone, f"{folder}/history", f"{folder}/checkpoint", "1 day", NOW
-    ).awaitTermination()
-    stored = spark.read.parquet(f"{folder}/history")
-    assert stored.select("batch").distinct().count() == PARTS
-    want = views.throttle_views(inputs.views(), "1 day")
-    assert rows(stored.select(*want.columns)) == rows(want)
-
-
-def test_claims_stream(spark, live, inputs):
-    stream = S.stream_claims(live().codes(), claims.valid_claims(live().claims()), CLAIM_LIFE)
-    got = S.drain(spark, stream, "claims")
-    want = claims.resolve_claims(inputs.codes(), claims.valid_claims(inputs.claims()), CLAIM_LIFE)
-    assert rows(got) == rows(want.select(*got.columns))
-
-
-def test_staleness_stream(spark, live, inputs):
-    points = instants(live().points(), "ts")
-    got = S.drain(spark, S.stream_staleness(points, "3 hours"), "stale")
-    batch = instants(inputs.points(), "ts")
-    last = batch.agg(F.date_trunc("MILLISECOND", F.max("ts"))).first()[0]
-    want = series.online_intervals(batch, "3 hours", "1 day").filter(F.col("stale_from") <= F.lit(last))
-    assert rows(got) == rows(want)
-
-
-def test_history_stream(spark, live, inputs):
-    points = instants(live().points(), "ts")
-    got = S.drain(spark, S.stream_history(points, "1 hour", "10 minutes"), "history")
-    batch = instants(inputs.points(), "ts")
-    last = batch.agg(F.max("ts") - F.expr("INTERVAL '10' MINUTE")).first()[0]
-    want = series.bucket_means(batch, "1 hour").filter(F.col("timestamp") <= F.lit(last))
-    assert rows(got) == rows(want)
-
-
-def test_late_arrivals_stream(spark, live, inputs):
-    got = S.drain(spark, S.stream_late_arrivals(live().replayed_points(), "10 minutes"), "late")
-    want = series.late_arrivals(inputs.replayed_points(), "10 minutes")
-    assert got.filter("late").count() > 0
-    assert rows(got) == rows(want)
-
-
-def test_idle_state_expires_on_the_processing_clock(spark, live):
-    """With ``keep`` the query stays up to look for expired state; stop it by hand."""
-    folder = shared_dir(spark, "keep")
-    query = (
-        S.stream_throttle(live().views(), "1 day", keep="1 hour")
-        .writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .start()
-    )
-    try:
-        deadline = time.time() + 90
-        while sum(p["numInputRows"] for p in query.recentProgress) == 0 and time.time() < deadline:
-            time.sleep(0.5)
-        assert query.exception() is None and query.isActive
-    finally:
-        query.stop()
