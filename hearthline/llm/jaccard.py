@@ -16,7 +16,8 @@ documents are linked when their sets' similarity is ``SHARE`` percent or more.
 3. Prefix tokens that occur in at most ``FREQUENT`` sets are indexed one by one.  If two
    linked sets share none of these in their prefixes, all they share is frequent, and the first two
    tokens they share are both among the first p + 1: so pairs of the frequent tokens
-   there are indexed.
+   there are indexed.  A key carries its room: the most tokens two sets can share of which
+   those of the key are the first.
 4. Candidates are verified on their shared tokens, which hold every possible
    intersection.  First the set with the fewest unshared tokens on each index key is
    compared with the others there.  What is linked by then needs no more
@@ -52,9 +53,9 @@ from .words import mixed, spaced
 WORDS = 4
 SHARE = 85
 FREQUENT = 1024
-#: Bytes of text for each range of hashes: some 4 million shingles.
-RANGE_BYTES = 24_000_000
-CHUNK = 2_000_000  # shingles
+#: Bytes of text for each range of hashes: some 2 million shingles.
+RANGE_BYTES = 12_000_000
+CHUNK = 1_000_000  # shingles
 #: From so many sets of a chunk on, a shingle is sent once for the chunk.
 HEAVY = 16
 _LOW = np.uint64((1 << 40) - 1)
@@ -64,7 +65,10 @@ PACKED = (
     "range long, chunk long, kind int, ords binary, counts binary, sigs binary, tokens binary,"
     " heavy binary, numbers binary, head binary, own_chunk long"
 )
-SETS = "doc_id long, n long, s1 long, s2 long, u long, shared binary, keys array<long>"
+SETS = (
+    "doc_id long, n long, s1 long, s2 long, u long, shared binary,"
+    " keys array<struct<key:long,room:long>>"
+)
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -318,14 +322,17 @@ def _sets(group: pa.Table) -> pa.Table:
     owner, token, df = owner[order], token[order], df[order]
     cut = np.searchsorted(owner, np.arange(m + 1))
     shared: list[bytes | None] = [None] * m
-    keys: list[np.ndarray | None] = [None] * m
+    keys: list[list[dict] | None] = [None] * m
     for i in np.flatnonzero(may):
         t, d = token[cut[i] : cut[i + 1]], df[cut[i] : cut[i + 1]]
         k = p[i] - u[i]
-        often = t[: k + 1][d[: k + 1] > FREQUENT]
-        one, two = np.triu_indices(len(often), 1)
-        pairs = mixed(often[one] * np.uint64(_FACTORS[2]) + mixed(often[two]))
-        keys[i] = np.concatenate([t[:k][d[:k] <= FREQUENT], pairs]).view(np.int64)
+        rare = np.searchsorted(d[:k], FREQUENT, "right")
+        one, two = np.triu_indices(len(t[: k + 1]) - rare, 1)
+        pairs = mixed(t[rare + one] * np.uint64(_FACTORS[2]) + mixed(t[rare + two]))
+        rooms = np.concatenate([len(t) - np.arange(rare), len(t) - rare - two + 1])
+        fits = 100 * rooms >= SHARE * n[i]  # a partner of the best size would do
+        key = np.concatenate([t[:rare], pairs]).view(np.int64)[fits]
+        keys[i] = [{"key": a, "room": b} for a, b in zip(key.tolist(), rooms[fits].tolist(), strict=True)]
         shared[i] = np.sort(t).tobytes()
     return pa.table(
         {
@@ -335,7 +342,7 @@ def _sets(group: pa.Table) -> pa.Table:
             "s2": pa.array(head["s2"]),
             "u": pa.array(u),
             "shared": pa.array(shared, pa.binary()),
-            "keys": pa.array(keys, pa.list_(pa.int64())),
+            "keys": pa.array(keys, pa.list_(pa.struct([("key", pa.int64()), ("room", pa.int64())]))),
         }
     )
 
@@ -390,14 +397,14 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _possible(x: str, y: str) -> Column:
-    """Whether sizes and unshared tokens let two sets be similar enough."""
-    most = F.least(F.col(f"{x}.n") - F.col(f"{x}.u"), F.col(f"{y}.n") - F.col(f"{y}.u"))
+    """Whether two sets can be similar enough if the first tokens they share are the key's."""
+    most = F.least(f"{x}.room", f"{y}.room")
     return 100 * most >= SHARE * (F.col(f"{x}.n") + F.col(f"{y}.n") - most)
 
 
 def _star(index: DataFrame) -> DataFrame:
     """On each key, the set with the fewest unshared tokens with all others not yet linked to it."""
-    centre = F.struct((F.col("u") / F.col("n")).alias("part"), "id", "n", "u", "label")
+    centre = F.struct((F.col("u") / F.col("n")).alias("part"), "id", "n", "room", "label")
     centres = index.groupBy("key").agg(F.min(centre).alias("c")).select("key", "c.*").alias("c")
     return (
         index.alias("e")
@@ -416,9 +423,9 @@ def links(classes: DataFrame) -> DataFrame:
     labelled = lambda index, labels: index.join(labels, "id", "left").withColumn(
         "label", F.coalesce("label", "id")
     )
-    few = classes.select("id", "n", "u", F.explode(F.slice("keys", 1, 4)).alias("key"))
+    few = classes.select("id", "n", "u", F.inline(F.slice("keys", 1, 4)))
     found = _verified(_star(few.withColumn("label", F.col("id"))), classes)
-    index = classes.select("id", "n", "u", F.explode("keys").alias("key"))
+    index = classes.select("id", "n", "u", F.inline("keys"))
     found = found.unionByName(_verified(_star(labelled(index, components(found))), classes))
     rest = written(labelled(index, components(found)), "index")
     open_keys = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
@@ -467,8 +474,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest doc_id.
 
     Of rows with that doc_id one stays; rows without a doc_id all do."""
-    kept = join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    stays = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    kept = join(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    stays = docs.join(kept, "doc_id", "left_semi")
     return stays.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
 
 
