@@ -90,8 +90,7 @@ def parse_telemetry(raw: DataFrame, value: str = "value") -> DataFrame:
         & ~target_bad
         & ~heating_bad
     )
-    return decoded.select(
-        *raw.columns,
+    row = F.struct(
         device.alias("device_id"),
         ts.alias("ts"),
         current.alias("current_temperature"),
@@ -99,6 +98,8 @@ def parse_telemetry(raw: DataFrame, value: str = "value") -> DataFrame:
         heating.alias("heating"),
         F.coalesce(valid, F.lit(False)).alias("valid"),
     )
+    # A generator again: a filter on ``valid`` reads a column instead of parsing once more.
+    return decoded.select(*raw.columns, F.inline(F.array(row)))
 
 
 def valid_telemetry(parsed: DataFrame) -> DataFrame:

@@ -177,6 +177,12 @@ def devices_seen_count(x: Inputs) -> DataFrame:
     return ingest.devices_seen_count(x.messages())
 
 
+@query()
+def devices_seen_approximate(x: Inputs) -> DataFrame:
+    """The sketch's estimate of ``devices_seen_count``, within 5 % as a rule."""
+    return ingest.devices_seen_count(x.messages(), approximate=True)
+
+
 # --- series ---------------------------------------------------------------
 
 
@@ -350,19 +356,22 @@ def stale_devices(x: Inputs) -> DataFrame:
     return series.stale_devices(x.points(), UNALIGNED_AS_OF)
 
 
-def _intervals_sql(gap: str) -> str:
+def _intervals_sql(gap: str, points: str = "points") -> str:
     return f"""SELECT device_id, min(ts) AS online_from, max(ts) AS last_seen, count(*) AS readings,
             max(ts) + INTERVAL '{gap}' AS stale_from
         FROM (SELECT *, sum(fresh) OVER (PARTITION BY device_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run
               FROM (SELECT device_id, ts,
                       CASE WHEN ts - lag(ts) OVER (PARTITION BY device_id ORDER BY ts) <= INTERVAL '{gap}'
-                           THEN 0 ELSE 1 END AS fresh FROM points) f) r
+                           THEN 0 ELSE 1 END AS fresh FROM {points}) f) r
         GROUP BY device_id, run"""
 
 
 query(over("points", _intervals_sql("10 seconds")), "online_intervals")(
     lambda x: series.online_intervals(x.points())
 )
+query(over("dense_points", _intervals_sql("10 seconds", "dense_points")), "online_intervals_dense")(
+    lambda x: series.online_intervals(x.dense_points())
+)
 query(over("points", _intervals_sql("3 hours")), "online_intervals_3h")(
     lambda x: series.online_intervals(x.points(), "3 hours", "1 day")
 )
@@ -592,6 +601,24 @@ def retention_purge(x: Inputs) -> DataFrame:
     return series.purge_points(x.points(), checked.filter("device_id_ok").withColumn("purge_ts", at))
 
 
+@query(over("views", f"SELECT * FROM views WHERE viewed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY"))
+def retention_views(x: Inputs) -> DataFrame:
+    """The views that the retention run keeps."""
+    return flows.retention(x.views(), x.devices(), AS_OF, 10).views
+
+
+@query(
+    over(
+        "devices",
+        f"""SELECT * FROM devices
+            WHERE is_active OR deactivated_at IS NULL OR deactivated_at >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY""",
+    )
+)
+def retention_devices(x: Inputs) -> DataFrame:
+    """The devices that the retention run keeps."""
+    return flows.retention(x.views(), x.devices(), AS_OF, 10).devices
+
+
 _CLAIMED = """FROM resolved r JOIN claim_identities i ON r.claim_id = i.claim_id WHERE status = 'CLAIMED'"""
 _NEW = f"""SELECT i.id, i.device_id, i.hashed_device_token, r.user_id,
     'New Device ' || substr(i.device_id, 1, 4) AS name, CAST(NULL AS VARCHAR) AS location, true AS is_active,
@@ -652,6 +679,18 @@ def valid_views(x: Inputs) -> DataFrame:
     return views.valid_views(x.views())
 
 
+@query(
+    over(
+        "faulty_views",
+        """SELECT * FROM faulty_views WHERE trim(user_id, ' ' || chr(9)) <> '' AND length(user_id) <= 100
+           AND trim(device_id, ' ' || chr(9)) <> '' AND length(device_id) <= 100""",
+    )
+)
+def valid_views_faulty(x: Inputs) -> DataFrame:
+    """Blank, over-long and missing ids of users and devices among the views."""
+    return views.valid_views(x.faulty_views())
+
+
 @query(over("views active", "SELECT v.*, d.name FROM views v JOIN active d ON v.device_id = d.device_id"))
 def active_views(x: Inputs) -> DataFrame:
     return views.active_views(x.views(), x.devices())
@@ -712,6 +751,9 @@ def _throttle_sql(gap: str, names: str = "views", source: str = "views", columns
 
 
 query(_throttle_sql("1 minute"), "throttle_views")(lambda x: views.throttle_views(x.views()))
+query(_throttle_sql("1 minute", "dense_views", "dense_views"), "throttle_views_dense")(
+    lambda x: views.throttle_views(x.dense_views())
+)
 query(_throttle_sql("1 day"), "throttle_views_1d")(lambda x: views.throttle_views(x.views(), "1 day"))
 query(_throttle_sql("6 hours"), "throttle_views_6h")(lambda x: views.throttle_views(x.views(), "6 hours"))
 
@@ -803,6 +845,26 @@ def load_table(x: Inputs) -> DataFrame:
     return plain(load(x.spark, "devices", {"format": "parquet", "path": path}))
 
 
+@query(over("views", "SELECT * FROM views"))
+def load_view_history(x: Inputs) -> DataFrame:
+    """The view history written as a parquet table and loaded with its declared types."""
+    from ..sources.tables import load_table as load
+
+    path = shared_dir(x.spark, "views")
+    write_events(x.views(), "parquet", {"path": path})
+    return load(x.spark, "device_view_history", {"format": "parquet", "path": path})
+
+
+@query(over("points", "SELECT * FROM points"))
+def load_points(x: Inputs) -> DataFrame:
+    """Points written to their table and loaded with their declared types."""
+    from ..sources.tables import load_table as load
+
+    path = shared_dir(x.spark, "loaded-points")
+    upsert_points(instants(x.points(), "ts"), 0, path)
+    return plain(load(x.spark, "telemetry_points", {"format": "parquet", "path": path}).drop("arrival_ts", "partition"))
+
+
 @query(over("parsed", f"SELECT device_id AS key, {_ENCODED} AS value FROM parsed WHERE valid"), "write_events")
 def write_events_table(x: Inputs) -> DataFrame:
     """Keyed records through the file sink, the batch written twice."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -21,7 +20,7 @@ from ..operators.series import (
     HISTORY_RANGES,
     bucket_means,
     merge_points,
-    telemetry_history,
+    telemetry_histories,
 )
 from ..operators.views import retain_views
 
@@ -35,24 +34,14 @@ def raw_to_history(raw: DataFrame, width: str) -> DataFrame:
 def requested_history(
     points: DataFrame, devices: DataFrame, requests: DataFrame, as_of: str
 ) -> DataFrame:
-    """History for requests (device_id, user_id, range) of owners of active devices.
-
-    The semi-join comes after the aggregation, so it sees one row per device and
-    bucket however many readings a device sent.  The ranges bound what is read.
-    """
+    """History for requests (device_id, user_id, range) of owners of active devices, in one scan of the points."""
     known = F.when(F.col("range").isin(list(HISTORY_RANGES)), F.col("range"))
     asked = (
         owned_requests(requests, devices)
         .select("device_id", F.coalesce(known, F.lit(DEFAULT_RANGE)).alias("range"))
         .distinct()
     )
-    parts = [
-        telemetry_history(points, range_, as_of)
-        .join(asked.filter(F.col("range") == range_), "device_id", "left_semi")
-        .withColumn("range", F.lit(range_))
-        for range_ in HISTORY_RANGES
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return telemetry_histories(points, asked, as_of)
 
 
 class Retention(NamedTuple):

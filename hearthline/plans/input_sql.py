@@ -76,6 +76,17 @@ SQL = {
                {_device("CAST(json_extract_string(props, '$.k') AS BIGINT) % 10")} AS device_id,
                ts AS viewed_at
         FROM events WHERE event_type = 'view'""",
+    "dense_views": """
+        SELECT v.* REPLACE (TIMESTAMP '2024-01-01' + to_seconds(id * 37 % 900) AS viewed_at) FROM views v""",
+    "dense_points": """
+        SELECT p.* REPLACE (TIMESTAMP '2024-01-01' + to_seconds(arrival * 37 % 900) AS ts) FROM points p""",
+    "faulty_views": """
+        SELECT v.* REPLACE (
+            CASE WHEN id % 7 = 0 THEN ' ' || chr(9) WHEN id % 11 = 0 THEN repeat('u', 101)
+                 WHEN id % 13 = 0 THEN repeat('u', 100) WHEN id % 17 = 0 THEN NULL ELSE user_id END AS user_id,
+            CASE WHEN id % 7 = 1 THEN ' ' || chr(9) WHEN id % 11 = 1 THEN repeat('u', 101)
+                 WHEN id % 13 = 1 THEN repeat('u', 100) WHEN id % 17 = 1 THEN NULL ELSE device_id END AS device_id)
+        FROM views v""",
     "messages": f"""
         SELECT event_id, ts, CASE event_id % 5
                  WHEN 1 THEN 'iot/telemetry/' || {_device('user_id')} || '/x'
@@ -195,6 +206,9 @@ _NEEDS = {
     "fields": ["raw"],
     "parsed": ["fields"],
     "writes": ["points"],
+    "dense_views": ["views"],
+    "dense_points": ["points"],
+    "faulty_views": ["views"],
     "routed": ["messages"],
     "decisions": ["access_requests", "devices"],
     "resolved": ["codes", "claims"],

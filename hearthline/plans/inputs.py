@@ -130,6 +130,28 @@ class Inputs:
             F.col("ts").alias("viewed_at"),
         )
 
+    def _crowded(self):
+        """Instants within a quarter of an hour, so that gaps are seconds."""
+        return F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id * 37 % 900)")
+
+    def dense_views(self) -> DataFrame:
+        views = self.events.filter("event_type = 'view'").withColumn("ts", self._crowded())
+        return Inputs(self.spark, self.folder, views).views()
+
+    def dense_points(self) -> DataFrame:
+        return Inputs(self.spark, self.folder, self.events.withColumn("ts", self._crowded())).points()
+
+    def faulty_views(self) -> DataFrame:
+        """Views some of which have blank or over-long ids."""
+        faulty = lambda column, k: (
+            F.when(F.col("id") % 7 == k, F.lit(" \t"))
+            .when(F.col("id") % 11 == k, F.repeat(F.lit("u"), F.lit(101)))
+            .when(F.col("id") % 13 == k, F.repeat(F.lit("u"), F.lit(100)))
+            .when(F.col("id") % 17 == k, F.lit(None).cast("string"))
+            .otherwise(F.col(column))
+        )
+        return self.views().withColumns({"user_id": faulty("user_id", 0), "device_id": faulty("device_id", 1)})
+
     def messages(self) -> DataFrame:
         device = device_id("user_id")
         kind = F.expr("event_id % 5")
