@@ -12,7 +12,7 @@ from .. import streaming as S
 from ..operators import access, claims, devices, ingest, series, tables, views
 from ..session import shared_dir
 from ..sources.events import read_events, write_events
-from ..sources.points import read_points, rewrite_points, upsert_points
+from ..sources.points import compact_points, read_points, upsert_points
 from . import flows
 from .input_sql import over
 from .inputs import AS_OF, BRIDGE, CLAIM_LIFE, UNALIGNED_AS_OF, Inputs
@@ -862,7 +862,7 @@ def load_points(x: Inputs) -> DataFrame:
 
     path = shared_dir(x.spark, "loaded-points")
     upsert_points(instants(x.points(), "ts"), 0, path)
-    return plain(load(x.spark, "telemetry_points", {"format": "parquet", "path": path}).drop("arrival_ts", "partition"))
+    return plain(load(x.spark, "telemetry_points", {"format": "parquet", "path": f"{path}/log"}).drop("arrival_ts", "partition"))
 
 
 @query(over("parsed", f"SELECT device_id AS key, {_ENCODED} AS value FROM parsed WHERE valid"), "write_events")
@@ -919,14 +919,13 @@ def run_ingest_dead_letters(x: Inputs) -> DataFrame:
 
 @query(over("writes", f"{_STORED} FROM writes GROUP BY device_id, ts"), "upsert_points")
 def upsert_points_table(x: Inputs) -> DataFrame:
-    """Two overlapping batches, the second written twice, and a compaction."""
+    """Two overlapping batches, the second written twice, and a compaction that is read without merging."""
     path, writes = shared_dir(x.spark, "points"), instants(x.writes(), "ts")
     upsert_points(writes.filter("heating_status = 0"), 0, path)
     for _ in range(2):
         upsert_points(writes, 1, path)
-    compacted = shared_dir(x.spark, "compacted")
-    rewrite_points(x.spark, path, compacted)
-    return plain(read_points(x.spark, compacted).drop("arrival_ts", "partition", "date"))
+    compact_points(x.spark, path)
+    return plain(read_points(x.spark, path, compacted=True).drop("arrival_ts", "partition", "date"))
 
 
 @query(over("points latest_purges", f"{_STORED} FROM ({_PURGED}) w GROUP BY device_id, ts"))
@@ -948,6 +947,17 @@ def run_purge(x: Inputs) -> DataFrame:
     return plain(read_points(x.spark, f"{folder}/points", purges=purges).drop("arrival_ts", "partition", "date"))
 
 
+@query(over("points latest_purges", f"{_STORED} FROM ({_PURGED}) w GROUP BY device_id, ts"))
+def compacted_after_purge(x: Inputs) -> DataFrame:
+    """Points compacted, then purged by a second compaction that rewrites the days it touches."""
+    folder = shared_dir(x.spark, "purged")
+    purges = ingest.device_id_guard(ingest.parse_purges(instants(x.purges(), "purge_ts")))
+    upsert_points(instants(x.points(), "ts"), 0, folder)
+    compact_points(x.spark, folder)
+    compact_points(x.spark, folder, purges.filter("device_id_ok").select("device_id", "purge_ts"))
+    return plain(read_points(x.spark, folder, compacted=True).drop("arrival_ts", "partition", "date"))
+
+
 def _log(x: Inputs, name: str) -> tuple[str, str]:
     folder = shared_dir(x.spark, name)
     return f"{folder}/log", f"{folder}/checkpoint"

@@ -67,7 +67,7 @@ def run_purge(
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """PURGE events to the purge log that ``read_points`` and ``rewrite_points`` apply.
+    """PURGE events to the purge log that ``read_points`` and ``compact_points`` apply.
 
     ``source`` has (value, arrival_ts); the purge takes effect at its arrival.
     Ids that fail the guard are set aside instead of stopping the job.

@@ -12,7 +12,7 @@ from hearthline.plans.catalog import instants
 from hearthline.plans.inputs import CLAIM_LIFE, Inputs
 from hearthline.session import shared_dir
 from hearthline.sources.events import read_events, write_events
-from hearthline.sources.points import read_points, rewrite_points, stored_writes, upsert_points
+from hearthline.sources.points import compact_points, forget_points, read_points, stored_writes, upsert_points
 from tests.conftest import DATA, rows
 
 NOW = {"availableNow": True}
@@ -74,8 +74,12 @@ def test_ingest_job(spark, live, inputs):
     assert "PartitionFilters: [isnotnull(date" in late._jdf.queryExecution().executedPlan().toString()
 
 
+def plain_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_writing_a_batch_again_changes_nothing(spark, inputs):
-    path, target = shared_dir(spark, "points"), shared_dir(spark, "compact")
+    path = shared_dir(spark, "points")
     writes = instants(inputs.writes(), "ts")
     upsert_points(writes.filter("arrival < 500"), 0, path)
     upsert_points(writes.filter("arrival >= 400"), 1, path)
@@ -83,12 +87,42 @@ def test_writing_a_batch_again_changes_nothing(spark, inputs):
     upsert_points(writes.filter("arrival >= 400"), 1, path)
     assert rows(read_points(spark, path)) == once
     assert rows(read_points(spark, path).drop("arrival_ts", "partition", "date")) == rows(series.merge_points(writes))
-    rewrite_points(spark, path, target)
-    assert rows(read_points(spark, target)) == once
-    assert stored_writes(spark, target).count() == len(once)
-    plain = read_points(spark, target, compacted=True)
-    assert rows(plain.select(*read_points(spark, target).columns)) == once
-    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compaction_rewrites_touched_days_only(spark, inputs):
+    path = shared_dir(spark, "compact")
+    points = instants(inputs.points(), "ts")
+    early = points.filter("ts < '2024-01-20'")
+    upsert_points(early.filter("arrival % 2 = 0"), 0, path, "a")
+    upsert_points(early.filter("arrival % 2 = 1"), 0, path, "b")
+    want = rows(read_points(spark, path))
+    columns = read_points(spark, path).columns
+    assert compact_points(spark, path) == 1
+    assert rows(read_points(spark, path).select(*columns)) == want
+    alone = read_points(spark, path, compacted=True).select(*columns)
+    assert rows(alone) == want and alone.count() == stored_writes(spark, path).count()
+    assert "Aggregate" not in plain_plan(alone)
+    # Two new days; the others keep their version, and batches of the base are not read again.
+    late = points.filter("ts >= '2024-01-20' AND ts < '2024-01-22'")
+    upsert_points(late, 1, path, "a")
+    both = rows(read_points(spark, path).select(*columns))
+    assert len(both) == len(want) + late.count()
+    assert compact_points(spark, path) == 2
+    assert {r[0] for r in spark.read.parquet(f"{path}/base/version=2").select(F.to_date("date").cast("string")).distinct().collect()} == {"2024-01-20", "2024-01-21"}
+    assert rows(read_points(spark, path).select(*columns)) == both
+    # A purge: only days of the device are written; then its readings leave the disk.
+    device = late.first()["device_id"]
+    purges = spark.createDataFrame([(device,)], "device_id string").withColumn("purge_ts", F.lit("2024-12-31").cast("timestamp"))
+    assert compact_points(spark, path, purges) == 3
+    left = [r for r in both if r[columns.index("device_id")] != device]
+    assert rows(read_points(spark, path).select(*columns)) == left
+    assert forget_points(spark, path) > 0
+    assert rows(read_points(spark, path).select(*columns)) == left
+    on_disk = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/base")
+    assert on_disk.count() == len(left)
+    upsert_points(early.limit(5), 2, path, "a")
+    assert rows(read_points(spark, path).select(*columns)) != []
+    assert compact_points(spark, path) == 4
 
 
 def purges_at(devices, at):
@@ -117,8 +151,9 @@ def test_purge_job(spark, inputs):
     left = read_points(spark, f"{folder}/points", purges=purges).drop("arrival_ts", "partition", "date")
     want = series.purge_points(points, purges.filter(F.col("device_id") != device))
     assert rows(left) == rows(series.merge_points(want).select(*left.columns))
-    rewrite_points(spark, f"{folder}/points", f"{folder}/clean", purges)
-    assert rows(read_points(spark, f"{folder}/clean").drop("arrival_ts", "partition", "date")) == rows(left)
+    compact_points(spark, f"{folder}/points", purges)
+    clean = read_points(spark, f"{folder}/points").drop("arrival_ts", "partition", "date")
+    assert rows(clean.select(*left.columns)) == rows(left)
 
 
 def test_a_new_run_overwrites_nothing(spark, inputs):
@@ -130,8 +165,8 @@ def test_a_new_run_overwrites_nothing(spark, inputs):
         spark.read.parquet(f"{DATA}/events.parquet").filter(f"event_id % 2 = {k}").coalesce(1).write.parquet(part)
         halves.append(Inputs(spark, DATA, read_events(spark, "parquet", {"path": part}, schema)))
     points = f"{folder}/points"
-    upsert_points(instants(inputs.writes(), "ts"), 0, f"{folder}/old")
-    rewrite_points(spark, f"{folder}/old", points)
+    upsert_points(instants(inputs.writes(), "ts"), 0, points)
+    compact_points(spark, points)
     before = read_points(spark, points).count()
     for k, half in enumerate(halves):
         S.run_ingest(
