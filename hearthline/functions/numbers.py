@@ -10,10 +10,10 @@ def round_cents(value: Column) -> Column:
 
 
 # How a number may be spelled in text; other spellings that a cast would take are none.
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]?\z"
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]?\s*\z"
 _SPECIAL = ["NaN", "INF", "Infinity", "-INF", "-Infinity"]
 
 
 def parse_double(text: Column) -> Column:
     """Double from text, null when it is not one (also under ANSI mode)."""
-    return F.when(text.rlike(_NUMBER) | text.isin(_SPECIAL), text.try_cast("double"))
+    return F.when(text.rlike(_NUMBER) | F.trim(text).isin(_SPECIAL), text.try_cast("double"))

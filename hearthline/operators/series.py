@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import clock, device_id_ok, interval
+from ..functions import clock, device_id_ok, interval, round_cents
 
 # History ranges, their bucket widths, and buffer and timeout sizes.
 HISTORY_RANGES = {
@@ -96,11 +96,8 @@ def mean_of(parts: DataFrame) -> DataFrame:
 
 
 def _cents(total: str, readings: str) -> Column:
-    """total / readings in whole cents, halves up, in exact numbers of millionths."""
-    share = F.col(readings) * 10_000
-    twice = 2 * (F.col(total) * 1_000_000).cast("bigint") + share
-    cents = (twice - F.pmod(twice, 2 * share)) / (2 * share)  # floor(total / readings * 100 + 1/2)
-    return (cents / F.lit(100.0)).alias("temperature")
+    """The mean of an exact sum, rounded to cents."""
+    return round_cents(F.col(total).cast("double") / F.col(readings)).alias("temperature")
 
 
 def bucket_means(

@@ -200,10 +200,9 @@ def merge_points(x: Inputs) -> DataFrame:
     return series.merge_points(x.writes())
 
 
-# The mean in whole cents, halves up, worked out in whole millionths: floor((2 sum + n) / 2n).
-_TWICE = "(2 * (sum(current_temperature::DECIMAL(28, 6)) * 1000000)::HUGEINT + count(*) * 10000)"
-_SHARE = "(count(*) * 20000)"
-_MEAN = f"(({_TWICE} - (({_TWICE} % {_SHARE}) + {_SHARE}) % {_SHARE}) // {_SHARE})::DOUBLE / 100.0"
+# The mean of an exact sum, so that it does not depend on the order of the readings.
+_MEAN = """floor(sum(current_temperature::DECIMAL(28, 6))::DOUBLE / count(current_temperature)
+               * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE"""
 
 
 def _history_sql(width: str, start: str | None = None, stop: str | None = None) -> str:

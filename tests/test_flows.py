@@ -25,3 +25,20 @@ def test_history_only_for_owners(inputs, spark):
     assert rows(got.select("range").distinct()) in ([], [("-24h",)])
     unknown = spark.createDataFrame([(*asks[0][:2], "-9d")], requests.schema)
     assert got.schema == flows.requested_history(points, table, unknown, AS_OF).schema
+
+
+def test_requested_history_scans_the_points_once(inputs):
+    requests = inputs.commands().withColumn("range", F.lit("-24h"))
+    got = flows.requested_history(inputs.points(), inputs.devices(), requests, AS_OF)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # Once for the points, once for the requests derived from the same table.
+    assert plan.count("events.parquet") + plan.count("Relation [event_id") == 2
+
+
+def test_histories_of_instants_equal_those_of_wall_clocks(inputs, spark):
+    points = inputs.points()
+    asked = points.select("device_id").distinct().withColumn("range", F.lit("-6h"))
+    timed = points.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), "UTC"))
+    for table in (points, timed):
+        got = series.telemetry_histories(table, asked, AS_OF).drop("range")
+        assert rows(got) == rows(series.telemetry_history(table, "-6h", AS_OF))

@@ -155,3 +155,30 @@ def test_devices_seen(inputs):
     assert exact == ingest.devices_seen(inputs.messages()).count()
     sketch = ingest.devices_seen_count(inputs.messages(), approximate=True).first()["devices"]
     assert abs(sketch - exact) <= max(1, exact * 0.15)
+
+
+@pytest.mark.parametrize(
+    "text, valid",
+    [("inf", False), ("nan", False), ("+inf", False), ("infinity", False), ("NaN", True), ("INF", True), ("-Infinity", True),
+     ("1d", True), ("1e2", True), (".5", True), ("5.", True), ("0x10", False), ("1_0", False), ("--1", False)],
+)
+def test_spelling_of_quoted_numbers(spark, text, valid):
+    raw = spark.createDataFrame([(reading(data=f'{{"currentTemperature":"{text}"}}'),)], "value string")
+    assert ingest.parse_telemetry(raw).first()["valid"] is valid
+
+
+def test_filter_on_valid_parses_nothing_again(inputs):
+    parsed = ingest.parse_telemetry(inputs.raw())
+    plan = ingest.valid_telemetry(parsed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter valid") == 1 and "rlike" not in plan.lower().split("generate")[0]
+
+
+def test_means_leave_out_what_is_not_finite(spark):
+    from hearthline.operators.series import bucket_means
+
+    schema = "device_id string, ts timestamp_ntz, current_temperature double"
+    at = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:01:00' AS t").first()["t"]
+    table = spark.createDataFrame([("d", at, 1.0), ("d", at, float("nan")), ("d", at, float("inf")), ("d", at, 1.01), ("d", at, -2.0)], schema)
+    assert [r.temperature for r in bucket_means(table, "1 hour").collect()] == [0.0]
+    below = table.filter("current_temperature = 1.01").withColumn("current_temperature", F.lit(-0.125))
+    assert [r.temperature for r in bucket_means(below, "1 hour").collect()] == [-0.12]

@@ -97,8 +97,10 @@ def test_hot_device_is_one_long_span(hot):
     assert [s["readings"] for s in spans] == [hot.filter("device_id = 'd0'").count()]
 
 
-def test_scans_read_only_what_they_need(inputs):
+def test_scans_read_only_what_they_need(spark, inputs):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = series.telemetry_history(inputs.points(), "-1h", "2024-01-31 00:00:00")
     text = plan._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in text
     assert "GreaterThanOrEqual(ts,2024-01-30T23:00)" in text and "LessThan(ts,2024-01-31T00:00)" in text

@@ -7,7 +7,6 @@ import pytest
 from pyspark import cloudpickle
 
 from hearthline.operators import views
-from hearthline.streaming import keyed
 
 
 @pytest.mark.parametrize(
@@ -16,10 +15,6 @@ from hearthline.streaming import keyed
         views._outcomes(1, 10),
         views._carry(1, 10),
         views._accept(1),
-        keyed._Throttle(1, None),
-        keyed._Claims(1, None),
-        keyed._Staleness(1),
-        keyed._Lateness(1),
     ],
 )
 def test_worker_code_travels_by_value(work, tmp_path):
