@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op5_mtree_search": mtree.SQL,
+    "op6_license_scan": licenses.sql(),
     "op8_ngram_jaccard_join": jaccard.SQL,
     "op9_mixing": mixing.SQL,
 }

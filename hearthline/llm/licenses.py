@@ -192,3 +192,36 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents"))
+
+
+def sql(templates: dict[str, str] = TEMPLATES) -> str:
+    """The same scan without MinHash: containment in every window that shares a shingle."""
+    values = ", ".join(f"('{k}', '{' '.join(template_words(t))}')" for k, t in templates.items())
+    return f"""
+WITH given(license, text) AS (VALUES {values}),
+split AS (SELECT license, string_split(text, ' ') AS w FROM given),
+pieces AS (
+    SELECT DISTINCT license, unnest(list_transform(range(1, len(w) - {WORDS - 2}),
+        lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) AS g FROM split
+), known AS (
+    SELECT license, g, count(*) OVER (PARTITION BY license) AS n FROM pieces
+), classed AS (
+    SELECT *, (2 ** ceil(log2(n)))::BIGINT AS size FROM known
+), worded AS (
+    SELECT row_number() OVER () AS line, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents
+), placed AS (
+    SELECT line, doc_id, unnest(range(0, len(w) - {WORDS - 1})) AS i,
+           unnest(list_transform(range(1, len(w) - {WORDS - 2}),
+               lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) AS g
+    FROM worded WHERE len(w) >= {WORDS}
+), hits AS (
+    SELECT p.*, k.license, k.n, unnest([p.i // k.size, p.i // k.size - 1]) AS place
+    FROM placed p JOIN classed k ON p.g = k.g
+), windows AS (
+    SELECT line, doc_id, license, n, place, count(DISTINCT g) AS c, min(i) AS a, max(i) AS b
+    FROM hits WHERE place >= 0 GROUP BY ALL
+)
+SELECT doc_id, license, max(c::DOUBLE / n) AS containment, min(a)::INTEGER AS first_word,
+       (max(b) + {WORDS})::INTEGER AS end_word, count(*) AS windows
+FROM windows WHERE 100 * c >= {SHARE} * n GROUP BY doc_id, license
+"""

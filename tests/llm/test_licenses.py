@@ -21,7 +21,7 @@ def brute(rows):
     return out
 
 
-def test_brute_force(spark, table):
+def test_brute_force(spark, table, duck):
     docs = table("documents").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"]
@@ -29,7 +29,9 @@ def test_brute_force(spark, table):
         (9001, "word " * 700 + mit + " and more"), (9002, mit[: len(mit) // 2]), (9003, mit.replace("Software", "Program")),
         (9004, mit.replace("limitation", "limits")), (9005, "x " * 37 + apache.upper() + " y" * 99), (9006, apache.replace("\n", " ").replace(",", " ; ")),
     ]
-    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = licenses.scan(docs).collect()
+    assert sorted(map(tuple, found), key=str) == duck(licenses.sql(), documents=docs)
     assert {(r.doc_id, r.license): r.containment for r in found} == brute(rows)
     by = {(r.doc_id, r.license): r for r in found}
     one = by[(9001, "MIT")]
