@@ -38,8 +38,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
-    return packing.pack(docs)
+    """The pieces of all documents and their places in sequences.
+
+    Python workers come here with what the stages before have left; the tokenizer
+    remembers fewer words than on its own."""
+    return packing.pack(docs, remember=100_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

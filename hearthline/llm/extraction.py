@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .html import Line, lines
-from .tables import table
+from .tables import long_texts, table
 
 WINDOW = 3
 SURGE = 86
@@ -107,6 +107,7 @@ def _texts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def article(html: Column) -> Column:
+    long_texts(SparkSession.active())
     return F.arrow_udf(_texts, T.StringType(), F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(html)
 
 

@@ -47,8 +47,9 @@ from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
 from .components import components
-from .tables import table, written
+from .tables import long_texts, table, written
 from .words import mixed, spaced
+from .workers import release, released
 
 WORDS = 4
 SHARE = 85
@@ -349,14 +350,16 @@ def _sets(group: pa.Table) -> pa.Table:
 
 def sets(docs: DataFrame) -> DataFrame:
     """All rows with the size and signature of their set; see ``SETS``."""
+    long_texts(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, -(-size // RANGE_BYTES))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _chunks(batches, ranges)
+        return released(_chunks(batches, ranges))
 
     def shared(group: pa.Table) -> pa.Table:
+        release()
         return _shared(group)
 
     def collected(group: pa.Table) -> pa.Table:

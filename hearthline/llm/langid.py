@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import table
+from .tables import long_texts, table
+from .workers import released
 
 DOCS = 48
 CHARS = 800
@@ -181,7 +182,12 @@ def _keep(space: np.ndarray) -> np.ndarray:
 def _answers(parts: Iterator[pa.Array], sample: dict[str, list[str]]) -> Iterator[pa.Array]:
     parser = CrossParser(sample)
     for texts in parts:
-        langs, scores = parser.predict(texts.to_pylist())
+        langs: list[str] = []
+        scores: list[float] = []
+        for a in range(0, len(texts), 512):
+            some = parser.predict(texts.slice(a, 512).to_pylist())
+            langs += some[0]
+            scores += some[1]
         yield pa.StructArray.from_arrays(
             [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"]
         )
@@ -207,8 +213,9 @@ def language_of(text: Column, sample: dict[str, list[str]]) -> Column:
     """struct(lang, score) of a text."""
 
     def answers(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return _answers(parts, sample)
+        return released(_answers(parts, sample))
 
+    long_texts(SparkSession.active())
     return F.arrow_udf(answers, RESULT, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(text)
 
 

@@ -40,6 +40,12 @@ def _unit(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _key() -> Column:
+    """Source and group as text that is never null."""
+    source = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
+    return F.concat_ws("/", F.col("group_.bits"), F.col("group_.head"), F.col("group_.salt"), source)
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """(source, source_size) to (source, source_size, target, rate, offset).
 
@@ -114,18 +120,16 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
     )
     places = groups.select(
         F.col("source").alias("of_source"),
-        F.col("group_").alias("of_group"),
+        _key().alias("of_key"),
         F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("rows_before"),
     )
     goals = targets(sources)
     goals = goals.select(*[F.col(c).alias(f"goal_{c}") for c in goals.columns])
     places = places.join(goals, F.col("of_source").eqNullSafe(F.col("goal_source")))
-    own = Window.partitionBy("source", "group_").orderBy("doc_id", "size")
-    ranked = sized.withColumn("own_rank", F.row_number().over(own))
-    placed = ranked.join(
-        places,
-        F.col("source").eqNullSafe(F.col("of_source")) & (F.col("group_") == F.col("of_group")),
-    )
+    # Ranked and joined by one key, so the rows are shuffled once.
+    own = Window.partitionBy("key_").orderBy("doc_id", "size")
+    ranked = sized.withColumn("key_", _key()).withColumn("own_rank", F.row_number().over(own))
+    placed = ranked.join(places, F.col("key_") == F.col("of_key"))
     rank = F.col("rows_before") + F.col("own_rank")
     crossed = lambda r: F.floor(F.col("goal_start") + F.col("goal_rate") * r)
     added = ("size", "source_size", "target", "copies", "taken")

@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
-from .tables import table, written
+from .tables import long_texts, table, written
+from .workers import released
 
 CAPACITY = 4096
 END = 1
-#: Words whose ids a task remembers; others are encoded again where they occur.
+#: Words, and as many runs of letters, whose ids a task remembers; others are worked out again
+#: where they occur.  Fewer take less memory and more time.
 REMEMBERED = 600_000
 #: White space to str.split() but not to the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -71,11 +73,12 @@ class WordEncoder:
     All else goes through the whole tokenizer, word by word.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remember: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.remember = remember
         self.whole = Tokenizer.from_file(path)
-        self.letters = Tokenizer(Tokenizer.from_file(path).model)
+        self.letters = Tokenizer(self.whole.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence(
             [
                 pre_tokenizers.WhitespaceSplit(),
@@ -100,7 +103,7 @@ class WordEncoder:
         lookup = self.known
         if fresh:
             new = self._words(fresh)
-            if len(self.known) + len(new) <= REMEMBERED:
+            if len(self.known) + len(new) <= self.remember:
                 self.known.update(new)
             else:
                 lookup = _Both(self.known, new)
@@ -131,9 +134,9 @@ class WordEncoder:
             new = dict(zip(fresh, self._stems(fresh), strict=True))
             for w, stem, tail in later:
                 out[w] = new[stem] + self.tails[tail]
-            if len(stems) + len(new) <= REMEMBERED:
+            if len(stems) + len(new) <= self.remember:
                 stems.update(new)
-        if len(self.tails) > REMEMBERED:
+        if len(self.tails) > self.remember:
             self.tails = {"": b""}
         return out
 
@@ -162,8 +165,10 @@ class _Both(dict):
         return self.one[key]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    encoder = WordEncoder(path)
+def _pieces(
+    batches: Iterator[pa.RecordBatch], path: str, capacity: int, remember: int
+) -> Iterator[pa.RecordBatch]:
+    encoder = WordEncoder(path, remember)
     task = TaskContext.get().partitionId()
     ranks = np.zeros(capacity + 1, np.int64)
     for batch in batches:
@@ -194,9 +199,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
             )
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, remember: int = REMEMBERED
+) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pieces(batches, tokenizer, capacity)
+        return released(_pieces(batches, tokenizer, capacity, remember))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE)
 
@@ -325,10 +332,13 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(values[a]), a, b
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, remember: int = REMEMBERED
+) -> DataFrame:
     """The pieces of all documents with their sequence_id and offset."""
+    long_texts(docs.sparkSession)
     # Written, as the ranks hold only within one run over the documents.
-    cut = written(pieces(docs, tokenizer or default_tokenizer(), capacity), "pieces")
+    cut = written(pieces(docs, tokenizer or default_tokenizer(), capacity, remember), "pieces")
     counted = cut.groupBy("task", "length").count()
     ahead = (
         Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

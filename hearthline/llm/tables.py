@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_dir
 
 
+def long_texts(spark: SparkSession) -> None:
+    """Whole texts go to Python in small batches: what a task holds is bounded by their number."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .html import lines, links, title
-from .tables import table
+from .tables import long_texts, table
 
 LINK = pa.struct([("path", pa.string()), ("url", pa.string()), ("text", pa.string())])
 PARSED = pa.struct([("title", pa.string()), ("links", pa.list_(LINK)), ("text", pa.string())])
@@ -134,6 +134,7 @@ def http(responses: DataFrame) -> DataFrame:
 def derivatives(responses: DataFrame) -> DataFrame:
     """(warc_type, record_id, refers_to, target_uri, date, content_type, content_length, block_digest,
     payload_digest, headers, block) of all derivatives."""
+    long_texts(responses.sparkSession)
     read = http(responses)
     read = read.select("*", _parse(F.col("body"), F.col("kind"), F.col("charset")).alias("page"))
     digest = base32_sha1(F.col("body"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15  # odd
-PIECE = 1 << 20  # bytes hashed at once, unless one text is longer
+PIECE = 1 << 19  # bytes hashed at once, unless one text is longer
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
