@@ -3,7 +3,10 @@
 Markup is stripped so that each block of a page gives a line (see ``html``).  A
 line weighs the characters of its text outside links; lines of menus, page headers,
 footers, sidebars, notices, adverts, forms and reader comments weigh nothing and
-are never kept.  Where a page marks an article or main part, lines
+are never kept.  Such parts are told by their element, or by a whole word of class, id or
+role; a word does not count on headings, paragraphs, articles and main parts.  Nor
+does it on what is wrapped around one, but for comments (where other text is marked), and for
+articles outside a main part.  Where a page marks an article or main part, lines
 outside weigh nothing and link text inside counts too.  Over the lines runs a window of ``WINDOW``
 lines whose weights are summed.  A surge is where the sum rises from nothing, the
 dive where it is nothing again: the lines in between, from the first to the last
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .html import Line, lines
+from .html import Element, Line, lines
 from .tables import long_texts, table
 
 WINDOW = 3
@@ -34,37 +37,64 @@ SURGE = 86
 
 # Elements and class, id or role words of parts that are not main text.
 ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "fieldset", "search"}
-MARKS = {
+#: Of these, elements that may be wrapped around a whole page.
+WRAPS = {"form", "fieldset", "dialog", "header"}
+COMMENTS = {
+    "comment", "comments", "commentlist", "comment-list", "comments-list", "comments-area", "comments-section",
+    "comment-section", "comment-respond", "comment-form", "disqus", "disqus-thread", "replies", "reply", "respond",
+}
+MARKS = COMMENTS | {
     "ad", "ads", "adv", "advert", "advertisement", "adverts", "advertising", "adsense", "adslot", "alert",
-    "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary",
-    "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "form", "gdpr", "hidden", "menu",
-    "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification",
-    "outbrain", "pager", "pagination", "paywall", "popup", "promo", "promotion", "related", "replies", "reply",
-    "respond", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe",
-    "subscription", "taboola", "tags", "toc", "toolbar", "topbar", "widget", "widgets",
+    "banner", "breadcrumb", "breadcrumbs", "complementary", "consent", "contentinfo", "cookie", "cookies",
+    "footer", "form", "gdpr", "hidden", "menu", "menubar", "modal", "nav", "navbar", "navigation",
+    "newsletter", "notice", "notices", "notification", "outbrain", "pager", "pagination", "paywall", "popup",
+    "promo", "promotion", "related", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor",
+    "sponsored", "subscribe", "subscription", "taboola", "tags", "toc", "toolbar", "topbar", "widget", "widgets",
+    # Compounds
+    "ad-banner", "ad-box", "ad-container", "ad-slot", "ad-unit", "ad-wrapper", "adsbygoogle", "banner-ad",
+    "breadcrumb-trail", "consent-banner", "cookie-banner", "cookie-bar", "cookie-consent", "cookie-notice",
+    "footer-widgets", "gdpr-banner", "left-sidebar", "main-menu", "main-nav", "main-navigation", "nav-bar",
+    "nav-links", "nav-menu", "newsletter-form", "newsletter-signup", "notification-bar", "page-footer",
+    "post-navigation", "post-tags", "primary-sidebar", "related-articles", "related-links", "related-posts",
+    "right-sidebar", "search-bar", "search-box", "search-form", "share-bar", "share-buttons", "share-links",
+    "sharing-buttons", "side-bar", "sidebar-left", "sidebar-right", "signup-form", "site-footer", "site-nav",
+    "site-navigation", "skip-link", "skip-links", "skip-nav", "social-buttons", "social-icons", "social-links",
+    "social-share", "sponsored-content", "subscribe-form", "tag-list", "tags-links", "toc-container", "widget-area",
 }
-MAIN = {"article", "main"}
+#: No mark counts on these.
+TEXT = {"html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 
-def _is_aside(path: tuple[tuple[str, str], ...]) -> bool:
-    inside = False
-    for name, marks in path:
-        if name in ASIDE:
-            return True
-        if marks and name not in ("html", "body"):
-            words = marks.replace("_", "-").split()
-            if any(w in MARKS or any(p in MARKS for p in w.split("-")) for w in words):
+def _in_main(path: tuple[Element, ...]) -> bool:
+    return any(e.name == "article" or e.is_main for e in path)
+
+
+def _of_comments(path: tuple[Element, ...]) -> bool:
+    return any(e.words & COMMENTS and e.name not in TEXT and not (e.is_main or e.holds_main) for e in path)
+
+
+def _is_aside(path: tuple[Element, ...], main: bool, article: bool) -> bool:
+    """``main``: the page has a main part; ``article``: it has a main part or article that is not of comments."""
+    inside = inside_main = False
+    for e in path:
+        inside_main = inside_main or e.is_main
+        inside = inside or inside_main or e.name == "article"
+        if e.is_main or e.holds_main:
+            continue
+        if e.name in ASIDE or e.name == "header" and not inside:
+            if not (e.holds_article and e.name in WRAPS):
+                return True
+        elif e.name == "article" or e.holds_article:
+            # Comments may be articles, and so may teasers in a sidebar beside the main part.
+            if e.words & COMMENTS and article:
+                return True
+            if e.name != "article" and (e.hidden or e.words & MARKS) and main and not inside_main and e.name not in TEXT:
                 return True
-        inside = inside or name in MAIN or "main" in marks.split()
-        if name == "header" and not inside:
+        elif e.hidden and e.name not in ("html", "body") or e.words & MARKS and e.name not in TEXT:
             return True
     return False
 
 
-def _is_main(path: tuple[tuple[str, str], ...]) -> bool:
-    return any(name in MAIN or "main" in marks.split() for name, marks in path)
-
-
 def stretches(weights: list[int], least: float) -> list[tuple[int, int]]:
     """[first, end) of the stretches between surge and dive whose highest window sum is
     above ``least``."""
@@ -87,8 +117,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     got: list[Line] = lines(page)
-    aside = [_is_aside(x.path) for x in got]
-    main = [not a and _is_main(x.path) for x, a in zip(got, aside, strict=True)]
+    has_main = any(e.is_main for x in got for e in x.path)
+    has_article = any(_in_main(x.path) and not _of_comments(x.path) for x in got)
+    aside = [_is_aside(x.path, has_main, has_article) for x in got]
+    main = [not a and _in_main(x.path) for x, a in zip(got, aside, strict=True)]
     if any(main):
         weights = [len(x.text) if m else 0 for x, m in zip(got, main, strict=True)]
         least = 0.0

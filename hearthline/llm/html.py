@@ -32,12 +32,28 @@ ENDS_P = BLOCK - {"button", "option", "optgroup", "td", "th", "tr", "tbody", "th
 SPACE = re.compile(r"\s+")
 
 
+@dataclass(eq=False)
+class Element:
+    name: str
+    #: Words of class, id and role.
+    words: frozenset[str] = frozenset()
+    #: Marked as not shown.
+    hidden: bool = False
+    #: A main part is inside; an article is inside that lies in no other article below this element.
+    holds_main: bool = False
+    holds_article: bool = False
+
+    @property
+    def is_main(self) -> bool:
+        return self.name == "main" or "main" in self.words
+
+
 @dataclass
 class Line:
     text: str
     link_chars: int
-    #: Names and attributes of the open elements, outermost first.
-    path: tuple[tuple[str, str], ...]
+    #: The open elements, outermost first.
+    path: tuple[Element, ...]
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -55,7 +71,7 @@ def tidy(parts: list[str]) -> str:
 def lines(page: str) -> list[Line]:
     """All lines with text, in page order."""
     out: list[Line] = []
-    path: list[tuple[str, str]] = []
+    path: list[Element] = []
     parts: list[str] = []
     linked: list[str] = []
     links, at, end = 0, 0, len(page)
@@ -91,7 +107,7 @@ def lines(page: str) -> list[Line]:
             if name in BLOCK:
                 flush()
                 for k in range(len(path) - 1, -1, -1):
-                    if path[k][0] == name:
+                    if path[k].name == name:
                         del path[k:]
                         break
         elif name in RAW:
@@ -104,16 +120,24 @@ def lines(page: str) -> list[Line]:
             links += 1
         elif name in BLOCK:
             flush()
-            if name in ENDS_P and path and path[-1][0] == "p":
+            if name in ENDS_P and path and path[-1].name == "p":
                 path.pop()
-            if name == "li" and path and path[-1][0] == "li":
+            if name == "li" and path and path[-1].name == "li":
                 path.pop()
             if name not in VOID:
                 found = attributes(m.group(3)) if m.group(3) else {}
-                marks = " ".join(found.get(k, "") for k in ("class", "id", "role", "aria-label"))
-                if "hidden" in found or found.get("aria-hidden") == "true":
-                    marks += " hidden"
-                path.append((name, marks.strip().lower()))
+                marks = " ".join(found.get(k, "") for k in ("class", "id", "role"))
+                words = frozenset(marks.lower().replace("_", "-").split())
+                new = Element(name, words, "hidden" in found or found.get("aria-hidden") == "true")
+                if new.is_main:
+                    for e in path:
+                        e.holds_main = True
+                elif name == "article":
+                    for e in reversed(path):
+                        if e.name == "article":
+                            break
+                        e.holds_article = True
+                path.append(new)
     flush()
     return out
 

@@ -104,3 +104,27 @@ def test_derivative_edges(spark):
     head, _, block = record.partition("\r\n\r\n")
     assert head.startswith("WARC/1.0\r\nWARC-Type: conversion") and "WARC-Refers-To: <a>" in head and block == "café\r\n\r\nx\r\n\r\n"
     assert warc.derivatives(responses.limit(0)).count() == 0
+
+
+def test_marks_are_whole_words_and_not_on_the_main_text():
+    kept = [
+        '<div class="layout has-sidebar"><main><p>Text.</p></main></div>',
+        '<div class="sidebar"><main><p>Text.</p></main></div>',
+        '<div class="widget"><article><p>Text.</p></article></div>',
+        '<form id="aspnetForm"><div id="main"><p>Text.</p></div></form>',
+        '<article class="post category-social tag-search"><p>Text.</p></article>',
+        '<article class="post social" id="search"><p>Text.</p></article>',
+        '<main><p class="notice" aria-label="Search results">Text.</p></main>',
+        '<div class="comments"><article class="comment"><p>Text.</p></article></div>',
+    ]
+    assert [extraction.main_text(p) for p in kept] == ["Text."] * len(kept)
+    page = '<article><h2 id="related-work">Related work</h2><section id="search-and-replace"><h2 class="search">Search</h2>'
+    page += '<p aria-label="Share">One.</p></section><div aria-label="Search results"><p>Two.</p></div></article>'
+    assert extraction.main_text(page) == "Related work\nSearch\nOne.\nTwo."
+    dropped = ["cookie-notice", "comment_list", "search", "post sidebar", "share-buttons"]
+    dropped = "".join(f'<div class="{c}"><p>Drop.</p></div>' for c in dropped) + "<p hidden>Drop.</p><div role=search>Drop.</div>"
+    assert extraction.main_text(f"<main><p>Text.</p>{dropped}</main>") == "Text."
+    comments = '<section class="comments"><article class="comment"><p>Drop.</p></article></section>'
+    assert extraction.main_text(f"<main><article><p>Text.</p></article>{comments}</main>") == "Text."
+    teaser = '<div class="sidebar"><article><p>Drop.</p></article></div>'
+    assert extraction.main_text(f"<main><p>Text.</p></main>{teaser}{comments}") == "Text."
