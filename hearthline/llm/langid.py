@@ -9,7 +9,8 @@ a character costs; the language with the lowest cost wins, ties go to the lower
 code.  The whole text is parsed.  To read many stretches at once, the parse starts
 a phrase at every ``STRETCH`` normalised characters.
 
-Texts are lower-cased; a run of anything but letters counts as one space.
+Texts are lower-cased; a run of anything but letters counts as one space.  All letters of
+the labelled texts count, however many the languages have together.
 
 The labelled text is a bounded sample: ``DOCS`` documents a language, those with
 the smallest hash of doc_id and text, and ``CHARS`` characters of each, which is some
@@ -39,8 +40,9 @@ CHARS = 800
 STRETCH = 1024
 LANES = 1 << 20  # normalised characters read at once
 UNKNOWN = "und"
-SPACE, ODD = 1, 0
-_UNSEEN, _BREAK = 255, 2
+SPACE, ODD, _BREAK = 1, 0, 2
+#: States of all languages times letters; beyond, steps are looked up by (state, letter).
+DENSE = 1 << 25
 
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -75,23 +77,82 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+class _Steps:
+    """Steps of automata that are too large to lay out: a hash table of (state, letter), with
+    open places, that holds only the transitions there are."""
+
+    def __init__(self, automata: list[list[dict[int, int]]], roots: list[int], width: int) -> None:
+        total = sum(len(out) for moves in automata for out in moves)
+        self.bits = max(4, (2 * total - 1).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.to = np.zeros(1 << self.bits, np.int64)
+        #: [language, letter] where a phrase that begins with the letter stands after it.
+        self.first = np.repeat(np.array(roots, np.int64)[:, None], width, 1)
+        for i, (base, moves) in enumerate(zip(roots, automata, strict=True)):
+            for c, to in moves[0].items():
+                self.first[i, c] = base + to * width
+            sizes = [len(out) for out in moves]
+            letters = np.fromiter((c for out in moves for c in out), np.int64, sum(sizes))
+            targets = np.fromiter((to for out in moves for to in out.values()), np.int64, sum(sizes))
+            self._add(base + np.repeat(np.arange(len(moves)) * width, sizes) + letters, base + targets * width)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _add(self, keys: np.ndarray, to: np.ndarray) -> None:
+        at = self._place(keys)
+        while len(keys):
+            # Of several for one open place the first takes it; the others look further.
+            spots, one = np.unique(at, return_index=True)
+            one = one[self.keys[spots] < 0]
+            self.keys[at[one]], self.to[at[one]] = keys[one], to[one]
+            left = np.ones(len(keys), bool)
+            left[one] = False
+            keys, to, at = keys[left], to[left], (at[left] + 1) & (len(self.keys) - 1)
+
+    def step(self, state: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states [language, text], and whether a phrase ended."""
+        keys = (state + letters).ravel()
+        at = self._place(keys)
+        held = self.keys.take(at)
+        look = np.flatnonzero((held != keys) & (held >= 0))
+        while len(look):
+            at[look] = (at[look] + 1) & (len(self.keys) - 1)
+            held[look] = now = self.keys.take(at[look])
+            look = look[(now != keys[look]) & (now >= 0)]
+        hit = (held == keys).reshape(state.shape)
+        return np.where(hit, self.to.take(at).reshape(state.shape), self.first[:, letters]), ~hit
+
+
 class CrossParser:
     """``sample``: language to its labelled texts."""
 
     def __init__(self, sample: dict[str, list[str]]) -> None:
         self.langs = sorted(sample)
         letters = sorted({c for texts in sample.values() for t in texts for c in t.lower() if c.isalpha()})
-        letters = letters[: _UNSEEN - 3]
-        self.code = np.full(0x110000, _UNSEEN, np.uint8)
+        width = len(letters) + 3
+        self.unseen = width
+        self.code = np.full(0x110000, self.unseen, np.min_scalar_type(self.unseen))
         for k, c in enumerate(letters):
             self.code[ord(c)] = k + 3
-        width = len(letters) + 3
-        flat, self.roots, self.bits, base = [], [], [], 0
+        automata, self.bits = [], []
         for lang in self.langs:
             codes: list[int] = []
             for t in sample[lang]:
                 codes += [_BREAK, *self.normal(t).tolist()]
-            moves = suffix_automaton(codes)
+            automata.append(suffix_automaton(codes))
+            self.bits.append(np.log2(max(2, len(codes))))
+        # A state is the place of its row, were all rows of all languages laid end to end.
+        ends = np.cumsum([0] + [len(moves) * width for moves in automata])
+        self.roots = ends[:-1].tolist()
+        self.table: _Steps | None = None
+        if ends[-1] > DENSE:
+            self.table = _Steps(automata, self.roots, width)
+            self.steps = np.zeros(0, np.int64)
+            return
+        flat = []
+        for base, moves in zip(self.roots, automata, strict=True):
             # A step holds the next state's row and, in the last bit, whether a phrase ended.
             steps = np.empty((len(moves), width), np.int64)
             steps[:] = base * 2 + 1
@@ -101,16 +162,13 @@ class CrossParser:
                 for c, to in out.items():
                     steps[state, c] = (base + to * width) * 2
             flat.append(steps.ravel())
-            self.roots.append(base)
-            self.bits.append(np.log2(max(2, len(codes))))
-            base += len(moves) * width
         steps = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-        self.steps = steps.astype(np.int32) if 2 * base < 2**31 else steps
+        self.steps = steps.astype(np.int32) if 2 * ends[-1] < 2**31 else steps
 
     def normal(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = self.code[points]
-        if (fresh := codes == _UNSEEN).any():
+        if (fresh := codes == self.unseen).any():
             for p in np.unique(points[fresh]):
                 self.code[p] = ODD if chr(p).isalpha() else SPACE
             codes = self.code[points]
@@ -128,6 +186,10 @@ class CrossParser:
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # stretches longer than t
         for t in range(sizes[0]):
             k = active[t]
+            if self.table:
+                state[:, :k], ended = self.table.step(state[:, :k], lanes[t, :k])
+                count[:, :k] += ended
+                continue
             step = self.steps.take(state[:, :k] + lanes[t, :k])
             count[:, :k] += step & 1
             np.right_shift(step, 1, out=state[:, :k])

@@ -62,3 +62,43 @@ def test_edges(spark):
     assert langid.identify(docs.limit(0), sample).count() == 0
     nothing = langid.labelled_sample(docs.limit(0))
     assert nothing == {} and {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_alphabets_of_any_size(monkeypatch):
+    rng = np.random.default_rng(1)
+
+    def writer(start, n):
+        words = ["".join(chr(start + c) for c in rng.integers(0, n, 3)) for _ in range(150)]
+        return lambda: " ".join(words[i] for i in rng.zipf(1.3, 60) % 150)
+
+    alphabets = {"en": (97, 26), "ja": (0x3041, 80), "ko": (0xAC00, 600), "xx": (0xAC00, 600), "zh": (0x4E00, 1500)}
+    write = {lang: writer(*of) for lang, of in alphabets.items()}
+    sample = {lang: [write[lang]() for _ in range(12)] for lang in write}
+    parser = langid.CrossParser(sample)
+    assert len({c for ts in sample.values() for t in ts for c in t}) > 600
+    texts = {lang: [write[lang]() for _ in range(5)] for lang in write}
+    for lang, of in texts.items():
+        assert parser.predict(of)[0] == [lang] * len(of)
+    some = [t for of in texts.values() for t in of] + ["x" * 3000, "Ω кот " + chr(0xAC00) * 9]
+    [(which, want)] = parser.costs(some)
+    assert (which, len(want)) == (list(range(len(some))), 5)
+    for k, text in enumerate(some):
+        codes = parser.normal(text).tolist()
+        for i, lang in enumerate(parser.langs):
+            known = "".join(chr(c) for t in sample[lang] for c in [2, *parser.normal(t).tolist()])
+            phrases = 0
+            for a in range(0, len(codes), langid.STRETCH):
+                now = ""
+                for c in map(chr, codes[a : a + langid.STRETCH]):
+                    if now + c in known:
+                        now += c
+                    else:
+                        phrases, now = phrases + 1, c if c in known else ""
+                phrases += now != ""
+            assert np.isclose(want[i, k], phrases * np.log2(len(known)) / len(codes))
+    assert parser.table is None
+    monkeypatch.setattr(langid, "DENSE", 0)
+    sparse = langid.CrossParser(sample)
+    assert sparse.table is not None
+    [(_, got)] = sparse.costs(some)
+    assert (got == want).all()
