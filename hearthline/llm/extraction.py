@@ -3,7 +3,7 @@
 Markup is stripped so that each block of a page gives a line (see ``html``).  A
 line weighs the characters of its text outside links; lines of menus, page headers,
 footers, sidebars, notices, adverts, forms and reader comments weigh nothing and
-are never kept.  Such parts are told by their element, or by a whole word of class, id or
+are never kept and part no stretch.  Such parts are told by their element, or by a whole word of class, id or
 role; a word does not count on headings, paragraphs, articles and main parts.  Nor
 does it on what is wrapped around one, but for comments (where other text is marked), and for
 articles outside a main part.  Where a page marks an article or main part, lines
@@ -12,7 +12,10 @@ lines whose weights are summed.  A surge is where the sum rises from nothing, th
 dive where it is nothing again: the lines in between, from the first to the last
 that weighs something, are a stretch.  The stretches kept are those whose
 highest sum reaches ``SURGE`` characters, or half the page's highest sum where that is
-less; in a marked article, all of them.
+less; in a marked article, all of them.  Of a shorter stretch those lines are kept, with what
+is between them, that lie in a container with a kept stretch: directly, or as headings
+anywhere below it (below body only directly).  Containers of a stretch are the innermost element
+around most of its weight, and those right around its lines that weigh enough to be kept alone.
 
 Null or empty html, and a page without text outside such parts, give an empty text.
 A page is one row whatever its length.  Repeated rows give repeated results.  The
@@ -62,7 +65,10 @@ MARKS = COMMENTS | {
     "social-share", "sponsored-content", "subscribe-form", "tag-list", "tags-links", "toc-container", "widget-area",
 }
 #: No mark counts on these.
-TEXT = {"html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+TEXT = {"html", "body", "p"} | HEADINGS
+#: Elements that hold the lines of a text together.
+CONTAINERS = {"html", "body", "div", "section", "article", "main", "center", "td", "details"}
 
 
 def _in_main(path: tuple[Element, ...]) -> bool:
@@ -113,24 +119,60 @@ def stretches(weights: list[int], least: float) -> list[tuple[int, int]]:
     return found
 
 
+def _around(line: Line) -> list[Element | None]:
+    """The containers around a line, outermost first; None is the page."""
+    return [None, *(e for e in line.path if e.name in CONTAINERS)]
+
+
+def _joined(got: list[Line], weights: list[int], kept: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
+    """[first, end) of what shorter stretches have in containers of ``kept`` ones."""
+    if not kept:
+        return []
+    shared: set[Element | None] = set()
+    for a, b in kept:
+        inside: dict[Element | None, int] = {}
+        for i in range(a, b):
+            around = _around(got[i])
+            for e in around:
+                inside[e] = inside.get(e, 0) + weights[i]
+            if weights[i] > least:
+                shared.add(around[-1])
+        # Outer ones come first: the last that holds more than half is the innermost.
+        half = sum(weights[a:b]) / 2
+        shared.add([e for e, w in inside.items() if w > half][-1])
+    whole = {e for e in shared if e and e.name not in ("html", "body")}
+    found, known = [], set(kept)
+    for a, b in stretches(weights, 0):
+        if (a, b) in known:
+            continue
+        near = []
+        for i in range(a, b):
+            around = _around(got[i])
+            heading = any(e.name in HEADINGS for e in got[i].path) and any(e in whole for e in around)
+            if weights[i] and (around[-1] in shared or heading):
+                near.append(i)
+        if near:
+            found.append((near[0], near[-1] + 1))
+    return found
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     got: list[Line] = lines(page)
     has_main = any(e.is_main for x in got for e in x.path)
     has_article = any(_in_main(x.path) and not _of_comments(x.path) for x in got)
-    aside = [_is_aside(x.path, has_main, has_article) for x in got]
-    main = [not a and _in_main(x.path) for x, a in zip(got, aside, strict=True)]
-    if any(main):
-        weights = [len(x.text) if m else 0 for x, m in zip(got, main, strict=True)]
-        least = 0.0
-    else:
-        weights = [0 if a else max(0, len(x.text) - x.link_chars) for x, a in zip(got, aside, strict=True)]
-        sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-        least = min(SURGE - 1, max(sums, default=0) / 2)
-    return "\n".join(
-        got[i].text for a, b in stretches(weights, least) for i in range(a, b) if not aside[i] and (main[i] or not any(main))
-    )
+    got = [x for x in got if not _is_aside(x.path, has_main, has_article)]
+    main = [x for x in got if _in_main(x.path)]
+    if main:
+        # Every line weighs something: all are one stretch.
+        return "\n".join(x.text for x in main)
+    weights = [max(0, len(x.text) - x.link_chars) for x in got]
+    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+    least = min(SURGE - 1, max(sums, default=0) / 2)
+    kept = stretches(weights, least)
+    kept = sorted(kept + _joined(got, weights, kept, least))
+    return "\n".join(got[i].text for a, b in kept for i in range(a, b))
 
 
 def _texts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -3,6 +3,8 @@
 A block element begins and ends a line.  Character references are decoded,
 white space inside a line becomes one space.  Comments, scripts, styles and the
 like have no text.  Broken markup (unclosed or stray tags) is read as it stands.
+A link is an a with href.  It ends at its end tag, at the next a, or with the block around it;
+where the next a comes before any end tag, it ends with the line.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ BLOCK = {
 #: An open p ends where one of these begins.
 ENDS_P = BLOCK - {"button", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "head", "body"}
 SPACE = re.compile(r"\s+")
+ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 
 
 @dataclass(eq=False)
@@ -74,7 +77,9 @@ def lines(page: str) -> list[Line]:
     path: list[Element] = []
     parts: list[str] = []
     linked: list[str] = []
-    links, at, end = 0, 0, len(page)
+    at, end = 0, len(page)
+    #: Open elements around the open link, or -1; whether it may go on over lines.
+    link, closed = -1, False
 
     def flush() -> None:
         if parts:
@@ -87,7 +92,7 @@ def lines(page: str) -> list[Line]:
     def add(text: str) -> None:
         if text:
             parts.append(text)
-            if links:
+            if link >= 0:
                 linked.append(text)
 
     while at < end:
@@ -103,13 +108,15 @@ def lines(page: str) -> list[Line]:
         name = name.lower()
         if m.group(1):
             if name == "a":
-                links = max(0, links - 1)
+                link = -1
             if name in BLOCK:
                 flush()
                 for k in range(len(path) - 1, -1, -1):
                     if path[k].name == name:
                         del path[k:]
                         break
+                if len(path) < link or not closed:
+                    link = -1
         elif name in RAW:
             close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             if not m.group(3).rstrip().endswith("/"):
@@ -117,13 +124,18 @@ def lines(page: str) -> list[Line]:
         elif name == "br":
             add(" ")
         elif name == "a":
-            links += 1
+            link = -1
+            if "href" in attributes(m.group(3)):
+                after = ANCHOR.search(page, at)
+                link, closed = len(path), bool(after and after.group(1))
         elif name in BLOCK:
             flush()
             if name in ENDS_P and path and path[-1].name == "p":
                 path.pop()
             if name == "li" and path and path[-1].name == "li":
                 path.pop()
+            if len(path) < link or not closed:
+                link = -1
             if name not in VOID:
                 found = attributes(m.group(3)) if m.group(3) else {}
                 marks = " ".join(found.get(k, "") for k in ("class", "id", "role"))

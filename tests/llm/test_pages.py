@@ -128,3 +128,30 @@ def test_marks_are_whole_words_and_not_on_the_main_text():
     assert extraction.main_text(f"<main><article><p>Text.</p></article>{comments}</main>") == "Text."
     teaser = '<div class="sidebar"><article><p>Drop.</p></article></div>'
     assert extraction.main_text(f"<main><p>Text.</p></main>{teaser}{comments}") == "Text."
+
+
+def test_open_links_end():
+    long = "A paragraph of the text that is long enough to be one. " * 3
+    want = [long.strip()] * 2
+    for anchor in ("<a name=top>", "<a href=#x>Top", "<a href=1>One<a href=2>Two</a>", "<a name=x><a href=y>Y</a>"):
+        for page in (f"{anchor}<p>{long}<p>{long}", f"<div>{anchor}<p>{long}</p><p>{long}</p></div>"):
+            text = extraction.main_text(f"<body>{page}")
+            assert text.split("\n")[-2:] == want, (anchor, text)
+    assert extraction.main_text(f"<p><a href=1>Home<p>{long}<p><a href=2>x</a>{long}").count("A paragraph") == 6
+    # A link may hold blocks.
+    assert [x.link_chars for x in lines("<a href=1><h3>One</h3><p>Two</p></a><p>Three")] == [3, 3, 0]
+    assert [x.link_chars for x in lines("<ul><li><a href=1>One<li>Two<li><a name=y>Three</ul>")] == [3, 0, 0]
+
+
+def test_short_stretches_of_a_kept_container():
+    long = "A paragraph of the text that is long enough to be one. " * 3
+    share = "<ul>" + "<li><a href=x>Share</a></li>" * 3 + "</ul>"
+    advert = "<div class=ad><p>Buy</p><p>this</p><p>now</p></div>"
+    body = "".join(f"<div><p>{long}</p></div>" for _ in range(3))
+    page = f"<div><header></header></div><div><h1>Head</h1>{share}{body}{advert}<p>The end.</p></div>{share}<div><p>Stray</p></div>"
+    got = extraction.main_text(f"<body>{page}").split("\n")
+    assert got == ["Head", *[long.strip()] * 3, "The end."]
+    # One paragraph with most of the weight, in a container of its own; flat pages.
+    page = f"<div><div><h1>Head</h1></div>{share}<p>{long * 9}</p><p>{long}</p>{share}<p>Last words.</p></div>{share}<p>Stray"
+    assert extraction.main_text(f"<body>{page}").split("\n") == ["Head", (long * 9).strip(), long.strip(), "Last words."]
+    assert extraction.main_text(f"<h1>Head</h1>{share}<p>{long}</p>").split("\n") == ["Head", long.strip()]
