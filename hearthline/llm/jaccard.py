@@ -476,10 +476,15 @@ def join(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest doc_id.
 
-    Of rows with that doc_id one stays; rows without a doc_id all do."""
+    Of rows with that doc_id one stays, that with the smallest hash of its text and other
+    columns, however rows are split or ordered; rows without a doc_id all do."""
     kept = join(docs).filter("doc_id = component_id").select("doc_id").distinct()
     stays = docs.join(kept, "doc_id", "left_semi")
-    return stays.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    hashed = ["text"] + [c for c, kind in docs.dtypes if c not in ("text", "doc_id") and "map<" not in kind]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    by_hash = F.xxhash64(*[F.col(f"`{c}`") for c in hashed])
+    one = stays.groupBy("doc_id").agg(F.min_by(row, by_hash).alias("row")).select("row.*")
+    return one.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

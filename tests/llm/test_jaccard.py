@@ -72,3 +72,12 @@ def test_shingles_hash_order_and_length():
     assert len(set(jaccard.shingles(words).tolist())) == 5
     assert jaccard.shingles(words[:3])[0] != jaccard.shingles(words[[1, 0, 2]])[0]
     assert len(jaccard.shingles(words[:0])) == 0
+
+
+def test_row_kept_of_a_doc_id_does_not_depend_on_order(spark):
+    rows = [(i, f"text {k} of document {i} in words of its own {i * k}", f"s{k}") for i in range(5) for k in range(4)]
+    kept = [
+        sorted(map(tuple, jaccard.deduplicated(spark.createDataFrame(some, "doc_id long, text string, `a.b` string").coalesce(1)).collect()))
+        for some in (rows, rows[::-1])
+    ]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == list(range(5))
