@@ -63,6 +63,23 @@ class Hasher:
 
             self.powers, self.inverse = series(BASE), series(pow(BASE, -1, 2**64))
 
+    def spans(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word begins and ends (one past its last byte); none crosses two texts."""
+        inside = self.in_word[data]
+        before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        full = at[:-1][at[1:] > at[:-1]]  # where texts with bytes begin
+        before[full] = False
+        after[full[1:] - 1] = False
+        return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Running sums that the hash of any stretch is read off: (sums[end] - sums[begin]) * inverse[begin]."""
+        self._grow(len(data) + 1)
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.table[data] * self.powers[: len(data)], out=out[1:])
+        return out
+
     def words(
         self, data: np.ndarray, at: np.ndarray, heads: tuple[int, ...] = ()
     ) -> tuple[np.ndarray, np.ndarray]:
@@ -71,27 +88,16 @@ class Hasher:
         With ``heads`` the hashes have a column for the word and one for each of its
         beginnings of so many bytes (the word, if shorter); the columns differ even then.
         """
-        n = len(data)
-        if not n:
+        if not len(data):
             shape = (0, 1 + len(heads)) if heads else 0
             return np.zeros(shape, np.uint64), np.zeros(len(at), np.int64)
-        self._grow(n + 1)
-        inside = self.in_word[data]
-        before, after = np.empty(n, bool), np.empty(n, bool)
-        before[0], before[1:] = False, inside[:-1]
-        after[-1], after[:-1] = False, inside[1:]
-        full = at[:-1][at[1:] > at[:-1]]  # where texts with bytes begin: no word crosses them
-        before[full] = False
-        after[full[1:] - 1] = False
-        first = np.flatnonzero(inside & ~before)
-        last = np.flatnonzero(inside & ~after)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[data] * self.powers[:n], out=sums[1:])
-        hashes = mixed((sums[last + 1] - sums[first]) * self.inverse[first])
+        first, last = self.spans(data, at)
+        sums = self.sums(data)
+        hashes = mixed((sums[last] - sums[first]) * self.inverse[first])
         bounds = np.searchsorted(first, at)
         if heads:
             short = [
-                mixed((sums[np.minimum(first + k, last + 1)] - sums[first]) * self.inverse[first] + np.uint64(k))
+                mixed((sums[np.minimum(first + k, last)] - sums[first]) * self.inverse[first] + np.uint64(k))
                 for k in heads
             ]
             hashes = np.stack([hashes, *short], axis=1)
