@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, hashing, importance, jaccard, langid, licenses, mixing, mtree, packing, toxicity, warc
+from . import collocations, extraction, hashing, importance, jaccard, langid, licenses, mixing, mtree, packing, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": warc.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.query,
     "op10_toxicity": toxicity.query,
     "op12_importance_resampling": importance.query,
+    "op13_collocations": collocations.query,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op8_ngram_jaccard_join": jaccard.SQL,
     "op9_mixing": mixing.SQL,
     "op12_importance_resampling": importance.SQL,
+    "op13_collocations": collocations.SQL,
 }
