@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, extraction, hashing, importance, jaccard, langid, licenses, mixing, mtree, packing, toxicity, warc
+from . import collocations, extraction, hashing, importance, jaccard, langid, licenses, mixing, mtree, packing, repeats, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": warc.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": jaccard.query,
     "op9_mixing": mixing.query,
     "op10_toxicity": toxicity.query,
+    "op11_suffix_dedup": repeats.query,
     "op12_importance_resampling": importance.query,
     "op13_collocations": collocations.query,
 }
@@ -28,6 +29,7 @@ SQL: dict[str, str] = {
     "op6_license_scan": licenses.sql(),
     "op8_ngram_jaccard_join": jaccard.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_suffix_dedup": repeats.SQL,
     "op12_importance_resampling": importance.SQL,
     "op13_collocations": collocations.SQL,
 }
