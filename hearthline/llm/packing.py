@@ -24,6 +24,7 @@ not read.  A sequence holds at least one piece and is filled without gaps from 0
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -37,21 +38,20 @@ from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
 from .tables import long_texts, table, written
+from .words import PIECE, Hasher, mixed, utf8
 from .workers import released
 
 CAPACITY = 4096
 END = 1
-#: Words, and as many runs of letters, whose ids a task remembers; others are worked out again
-#: where they occur.  Fewer take less memory and more time.
-REMEMBERED = 600_000
-#: White space to str.split() but not to the tokenizer.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Words, and as many runs of letters, whose ids a task remembers, in some 20 bytes each; others are
+#: worked out again where they occur.
+REMEMBERED = 1_000_000
 #: Signs other than those that begin a run in the middle of signs, or a special token.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Composed Latin letters: such a word is the same in any normal form.
 LATIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
-PIECE = (
+PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, task int, own_rank long"
 )
 
@@ -62,21 +62,90 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class RunTable:
+    """64-bit keys to runs of ids, in arrays: some 20 bytes a key at most, whatever a run's word is."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.n = most, 0
+        self.keys = np.zeros(1 << 14, np.uint64)  # 0 is free
+        self.begin, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of each key's run; the size is -1 where the key is not known."""
+        mask = len(self.keys) - 1
+        slot = (keys & np.uint64(mask)).astype(np.int64)
+        begin, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        live = np.arange(len(keys))
+        while len(live):
+            there = self.keys[slot[live]]
+            hit = there == keys[live]
+            at = live[hit]
+            begin[at], size[at] = self.begin[slot[at]], self.size[slot[at]]
+            live = live[~hit & (there != 0)]
+            slot[live] = (slot[live] + 1) & mask
+        return begin, size
+
+    def add(self, keys: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """New and distinct keys; they are left out where the table would grow beyond ``most``."""
+        if self.n + len(keys) > self.most:
+            return
+        while 2 * (self.n + len(keys)) > len(self.keys):
+            old = self.keys, self.begin, self.size
+            self.keys = np.zeros(2 * len(old[0]), np.uint64)
+            self.begin, self.size = (np.zeros(2 * len(old[0]), np.int32) for _ in range(2))
+            used = old[0] != 0
+            self._put(*(x[used] for x in old))
+        self._put(keys, begin, size)
+        self.n += len(keys)
+
+    def _put(self, keys: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        slot = (keys & np.uint64(mask)).astype(np.int64)
+        live = np.arange(len(keys))
+        while len(live):
+            free = live[self.keys[slot[live]] == 0]
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last stays
+            won = free[self.keys[slot[free]] == keys[free]]
+            self.begin[slot[won]], self.size[slot[won]] = begin[won], size[won]
+            live = live[self.keys[slot[live]] != keys[live]]
+            slot[live] = (slot[live] + 1) & mask
+
+
+class _Pool:
+    """Ids of all runs one after another."""
+
+    def __init__(self) -> None:
+        self.ids, self.n = np.zeros(1 << 14, np.uint16), 0
+
+    def add(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of each run."""
+        size = np.array([len(r) // 2 for r in runs], np.int64)
+        raw = np.frombuffer(b"".join(runs), np.uint16)
+        begin = self.n + np.cumsum(size) - size
+        if self.n + len(raw) > len(self.ids):
+            grown = np.zeros(max(2 * len(self.ids), self.n + len(raw)), np.uint16)
+            grown[: self.n] = self.ids[: self.n]
+            self.ids = grown
+        self.ids[self.n : self.n + len(raw)] = raw
+        self.n += len(raw)
+        return begin, size
+
+
 class WordEncoder:
-    """ids of a text as bytes of unsigned 16-bit numbers.
+    """ids of texts as unsigned 16-bit numbers.
 
     This tokenizer splits at white space before all else and drops it, so a text's
-    ids are those of its words one after another.  Words met before are looked up.
-    Most new words are Latin letters and then signs; both are runs of their own to
-    the tokenizer, so the letters, in lower case, are looked up in turn.  Letters not
-    met before are encoded many at a time, without the steps that change nothing.
-    All else goes through the whole tokenizer, word by word.
+    ids are those of its words one after another; words are told apart by 64-bit hashes,
+    and those met before are looked up, all words of a block at once.  Most new words are Latin letters
+    and then signs; both are runs of their own to the tokenizer, so the letters, in lower
+    case, are looked up in turn.  Letters not met before are encoded many at a
+    time, without the steps that change nothing.  All else, such as words with white space
+    beyond ASCII inside, goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, remember: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.remember = remember
         self.whole = Tokenizer.from_file(path)
         self.letters = Tokenizer(self.whole.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence(
@@ -87,8 +156,10 @@ class WordEncoder:
         )
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.remember = remember
+        self.hasher = Hasher(b" \t\n\x0b\x0c\r")
+        self.hasher.table[65:91] = np.random.Generator(np.random.PCG64(17)).integers(0, 1 << 63, 26, np.uint64)
+        self.words, self.stems, self.pool = RunTable(remember), RunTable(remember), _Pool()
         self.tails: dict[str, bytes] = {"": b""}
         self.last = np.zeros(1 << 16, bool)  # ids that end a run
         for token, i in self.whole.get_vocab().items():
@@ -98,50 +169,75 @@ class WordEncoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        fresh = set().union(*split).difference(self.known)
-        lookup = self.known
-        if fresh:
-            new = self._words(fresh)
-            if len(self.known) + len(new) <= self.remember:
-                self.known.update(new)
-            else:
-                lookup = _Both(self.known, new)
-        out = [b"".join(map(lookup.__getitem__, words)) for words in split]
-        for i, t in enumerate(texts):
-            if ODD_SPACE.search(t):
-                out[i] = self.one(t)
-        return out
-
-    def _words(self, words: set[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        later: list[tuple[str, str, str]] = []
-        stems = self.stems
-        for w in words:
+        data, at = utf8(pa.array(texts, pa.large_string()))
+        ids, ends = self.block(data, at)
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def block(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts one after another, and where each text's begin and end."""
+        if not len(data):
+            return np.zeros(0, np.uint16), np.zeros(len(at), np.int64)
+        first, last = self.hasher.spans(data, at)
+        sums = self.hasher.sums(data)
+        keys = mixed((sums[last] - sums[first]) * self.hasher.inverse[first])
+        keys[keys == 0] = 1
+        begin, size = self.words.find(keys)
+        before = self.pool.n
+        new = np.flatnonzero(size < 0)
+        if len(new):
+            fresh, sample, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            runs = self._words([raw[a:b].decode() for a, b in zip(first[new[sample]].tolist(), last[new[sample]].tolist(), strict=True)])
+            keep = self.pool.n
+            b, n = self.pool.add(runs)
+            kept = self.words.n
+            self.words.add(fresh, b, n)
+            begin[new], size[new] = b[back], n[back]
+            before = self.pool.n if self.words.n > kept else keep
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out = self.pool.ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+        self.pool.n = before if len(new) else self.pool.n  # what is not remembered goes
+        return out, ends[np.searchsorted(first, at)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        later: list[tuple[int, str, str]] = []
+        for k, w in enumerate(words):
             stem = w.rstrip(SIGNS)
             if not (stem.isalpha() if stem.isascii() else LATIN.fullmatch(stem)):
-                out[w] = self.one(w)
+                out[k] = self.one(w)
                 continue
-            tail, stem = w[len(stem) :], stem.lower()
+            tail = w[len(stem) :]
             if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {"": b""}
                 self.tails[tail] = self.one(tail)
-            if (ids := stems.get(stem)) is None:
-                later.append((w, stem, tail))
-            else:
-                out[w] = ids + self.tails[tail] if tail else ids
+            later.append((k, stem.lower(), self.tails[tail]))
         if later:
-            fresh = [*{p[1] for p in later}]
-            new = dict(zip(fresh, self._stems(fresh), strict=True))
-            for w, stem, tail in later:
-                out[w] = new[stem] + self.tails[tail]
-            if len(stems) + len(new) <= self.remember:
-                stems.update(new)
-        if len(self.tails) > self.remember:
-            self.tails = {"": b""}
+            stems = list({s for _, s, _ in later})
+            ids = dict(zip(stems, self._stems(stems), strict=True))
+            for k, stem, tail in later:
+                out[k] = ids[stem] + tail
         return out
 
-    def _stems(self, stems: list[str]) -> Iterator[bytes]:
-        """Encoded in lines of many; the ids that end a run tell them apart."""
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        keys = np.array([hash(s) for s in stems], np.int64).view(np.uint64)
+        keys[keys == 0] = 1
+        begin, size = self.stems.find(keys)
+        new = np.flatnonzero(size < 0)
+        if len(new):
+            runs = list(self._encoded([stems[k] for k in new]))
+            b, n = self.pool.add(runs)
+            kept = self.stems.n
+            self.stems.add(keys[new], b, n)
+            begin[new], size[new] = b, n
+        out = [self.pool.ids[a : a + n].tobytes() for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+        if len(new) and self.stems.n == kept:
+            self.pool.n = int(b[0])
+        return out
+
+    def _encoded(self, stems: list[str]) -> Iterator[bytes]:
+        """In lines of many; the ids that end a run tell them apart."""
         for a in range(0, len(stems), 8192):
             lines = [stems[k : k + 128] for k in range(a, min(a + 8192, len(stems)), 128)]
             found = self.letters.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
@@ -153,16 +249,27 @@ class WordEncoder:
                     yield raw[begin:end]
                     begin = end
 
-
-class _Both(dict):
-    """A lookup in two tables."""
-
-    def __init__(self, one: dict, two: dict) -> None:
-        super().__init__(two)
-        self.one = one
-
-    def __missing__(self, key: str) -> bytes:
-        return self.one[key]
+    def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; long texts are cut at white space and worked on in parts."""
+        data, at = utf8(texts)
+        i = 0
+        while i < len(at) - 1:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
+            a, b = int(at[i]), int(at[j])
+            if j > i + 1 or b - a <= 2 * PIECE:
+                ids, ends = self.block(data[a:b], at[i : j + 1] - a)
+                for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    yield ids[x:y]
+            else:
+                parts = []
+                while a < b:
+                    end = min(b, a + PIECE)
+                    while end < b and self.hasher.in_word[data[end]]:
+                        end += 1
+                    parts.append(self.block(data[a:end], np.array([0, end - a]))[0])
+                    a = end
+                yield np.concatenate(parts)
+            i = j
 
 
 def _pieces(
@@ -173,13 +280,11 @@ def _pieces(
     ranks = np.zeros(capacity + 1, np.int64)
     for batch in batches:
         doc_ids, texts = batch.column(0), batch.column(1)
+        found = encoder.texts(texts)
         for a in range(0, len(texts), 256):
-            ids = [
-                np.append(np.frombuffer(x, np.uint16), END).astype("<u4")
-                for x in encoder.encode([t.as_py() or "" for t in texts.slice(a, 256)])
-            ]
             rows: list[tuple] = []
-            for k, x in enumerate(ids):
+            for k, own in enumerate(itertools.islice(found, 256)):
+                x = np.append(own, END).astype("<u4")
                 for n, start in enumerate(range(0, len(x), capacity)):
                     part = x[start : start + capacity]
                     ranks[len(part)] += 1
@@ -205,7 +310,7 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return released(_pieces(batches, tokenizer, capacity, remember))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 Pattern = tuple[Counter, int]
