@@ -8,8 +8,10 @@ cross documents.
    smallest hash, the first of equal ones.  Equal strings have equal anchors at equal places.
    Neighbouring strings mostly share theirs, so a text falls into stretches of some 18 strings;
    what travels for a stretch is hashes of its anchor and of its whole bytes, not the bytes.
-2. Stretches meet by anchor.  An anchor of a single document proves its strings to be unique.
-   A stretch that a smaller document has as a whole goes as a whole.
+2. Of alike stretches in a batch of documents only that of the smallest doc_id has to travel; the others are
+   known to go.  Stretches meet by anchor.  An anchor of a single document proves its strings to be unique.
+   A stretch that a smaller document has as a whole goes as a whole.  So a passage that very many documents
+   have, or one document very often, comes to its anchor's task once a batch.
 3. What is left are the borders of repeats: stretches with one anchor and different
    bytes.  Their first documents send the bytes, and the suffixes that begin in the stretch are
    put in order by deep-shallow sorting (``suffixes``), a block of anchors at a time.  Suffixes
@@ -36,6 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .suffixes import deep_shallow_sort
 from .tables import long_texts, table, written
@@ -51,7 +54,7 @@ CROWD = 20_000
 #: Bytes of stretches that are sorted at once, besides those of an anchor that is not finished.
 BLOCK = 1 << 18
 
-STRETCH = "k1 long, k2 long, doc_id long, text_hash long, base long"
+STRETCH = "k1 long, k2 long, doc_id long, text_hash long, base long, more binary"
 _PLACE_BITS = 25
 _SIZE_BITS = 6
 
@@ -122,29 +125,86 @@ def _parts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _emit_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each stretch that is not known to go, with all its places in the text, and one for
+    all that is known to go of a text: that has k2 = 0, and places and sizes in ``more``."""
     hasher = _Bytes()
     for batch in batches:
-        doc_ids, hashes = batch.column(0), batch.column(1)
-        for data, at, texts, places in _parts(batch.column(2)):
-            start, count, anchor, whole = stretches(hasher, data, at)
-            if not len(start):
-                continue
-            own = np.searchsorted(at, start, "right") - 1
-            place = start - at[own] + places[own]
-            k1 = ((anchor >> np.uint64(17)) << np.uint64(16)) | (whole >> np.uint64(48))
-            k2 = ((whole >> np.uint64(16)) & np.uint64(0xFFFFFFFF)) << np.uint64(_PLACE_BITS + _SIZE_BITS)
-            k2 |= ((place & ((1 << _PLACE_BITS) - 1)) << _SIZE_BITS | count).astype(np.uint64)
-            text = pa.array(texts[own])
-            arrays = [*(pa.array(k.view(np.int64)) for k in (k1, k2)), doc_ids.take(text), hashes.take(text)]
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(place >> _PLACE_BITS)], ["k1", "k2", "doc_id", "text_hash", "base"]
-            )
+        found = [_stretches_of(hasher, *part) for part in _parts(batch.column(2))]
+        if not found or not sum(len(x[0]) for x in found):
+            continue
+        row, place, count, k1, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc = batch.column(0).to_numpy()[row]
+        alike = mixed(k1.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + whole)
+        order = np.argsort(alike, kind="stable")  # rows and places ascend among alike ones
+        begin = _begins(alike[order])
+        low = np.repeat(np.minimum.reduceat(doc[order], begin), np.diff(np.append(begin, len(order))))
+        gone = doc[order] > low
+        known = np.sort(order[gone])
+        order = order[~gone]
+        first = _begins(alike[order]) if len(order) else order
+        other = np.zeros(len(order), bool)
+        other[first] = True
+        other[1:] |= row[order[1:]] != row[order[:-1]]
+        first = np.flatnonzero(other)
+        size = np.diff(np.append(first, len(order)))
+        more: list[bytes | None] = [None] * len(first)
+        for k in np.flatnonzero(size > 1).tolist():
+            more[k] = place[order[first[k] + 1 : first[k] + size[k]]].astype("<i8").tobytes()
+        own = order[first]
+        back = np.argsort(own, kind="stable")  # in the order of the texts
+        own = own[back]
+        low_place = place[own] & ((1 << _PLACE_BITS) - 1)
+        k2 = (whole[own] & np.uint64(0xFFFFFFFF)) << np.uint64(_PLACE_BITS + _SIZE_BITS)
+        k2 |= (low_place << _SIZE_BITS | count[own]).astype(np.uint64)
+        text = pa.array(row[own])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(k1[own]), pa.array(k2.view(np.int64)), batch.column(0).take(text), batch.column(1).take(text),
+                pa.array(place[own] >> _PLACE_BITS), pa.array([more[k] for k in back.tolist()], pa.binary()),
+            ],
+            [f.split()[0] for f in STRETCH.split(", ")],
+        )
+        if not len(known):
+            continue
+        # What goes of each text, neighbouring stretches as one.
+        joined = np.ones(len(known), bool)
+        joined[1:] = (row[known[1:]] != row[known[:-1]]) | (place[known[1:]] != (place + count)[known[:-1]])
+        run = np.flatnonzero(joined)
+        end = known[np.append(run[1:], len(known)) - 1]
+        run = known[run]
+        pairs = np.stack([place[run], place[end] + count[end] - place[run]], axis=1).astype("<i8")
+        texts = _begins(row[run])
+        cuts = np.append(texts, len(run))
+        at = row[run[texts]]
+        spread = mixed(batch.column(1).to_numpy()[at].view(np.uint64) + at.astype(np.uint64)) >> np.uint64(1)
+        zero = pa.array(np.zeros(len(at), np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(spread.view(np.int64)), zero, batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), zero,
+                pa.array([pairs[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            ],
+            [f.split()[0] for f in STRETCH.split(", ")],
+        )
+
+
+def _begins(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+
+
+def _stretches_of(
+    hasher: Hasher, data: np.ndarray, at: np.ndarray, texts: np.ndarray, places: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """(text, place, strings, key of the anchor and of some bits of the bytes, the other bits) of each stretch of a part."""
+    start, count, anchor, whole = stretches(hasher, data, at)
+    own = np.searchsorted(at, start, "right") - 1
+    k1 = ((anchor >> np.uint64(17)) << np.uint64(16)) | (whole >> np.uint64(48))
+    return texts[own], start - at[own] + places[own], count, k1.view(np.int64), (whole >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
 
 
 def repeated_stretches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, place, strings, anchor) of the stretches with an anchor that several doc_ids have:
+    """(doc_id, text_hash, place, strings, anchor, more) of the stretches with an anchor that several doc_ids have:
     without anchor where a smaller doc_id has the whole stretch; with it where the stretch
-    is new but others share the anchor."""
+    is new but others share the anchor.  ``more``: further places.  Without place: all that is in ``more``, as pairs."""
     found = docs.select("doc_id", "text_hash", "text").mapInArrow(lambda b: released(_emit_stretches(b)), STRETCH)
     dealt = found.repartition(F.shiftright("k1", 16)).select(
         F.shiftright("k1", 16).alias("anchor"),
@@ -153,8 +213,10 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
         .bitwiseOR(F.shiftright("k2", _SIZE_BITS).bitwiseAND((1 << _PLACE_BITS) - 1))
         .alias("place"),
         F.col("k2").bitwiseAND((1 << _SIZE_BITS) - 1).cast("int").alias("strings"),
+        (F.col("k2") == 0).alias("known"),
         "doc_id",
         "text_hash",
+        "more",
     )
     alike, met = Window.partitionBy("anchor", "whole"), Window.partitionBy("anchor")
     judged = dealt.select(
@@ -163,13 +225,18 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
         F.min("doc_id").over(met).alias("first"),
         F.max("doc_id").over(met).alias("last"),
         (F.min("whole").over(met) < F.max("whole").over(met)).alias("differ"),
-    ).filter("first < last AND (doc_id > low OR differ)")
+    ).filter("known OR first < last AND (doc_id > low OR differ)")
     return judged.select(
-        "doc_id", "text_hash", "place", "strings", F.when(F.col("doc_id") == F.col("low"), F.col("anchor")).alias("anchor")
+        "doc_id",
+        "text_hash",
+        F.when(~F.col("known"), F.col("place")).alias("place"),
+        "strings",
+        F.when(~F.col("known") & (F.col("doc_id") == F.col("low")), F.col("anchor")).alias("anchor"),
+        "more",
     )
 
 
-CONTEXT = "key long, doc_id long, text_hash long, place long, bytes binary"
+CONTEXT = "key long, doc_id long, text_hash long, place long, bytes binary, more binary"
 
 
 def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +248,7 @@ def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             listed = batch.column(3)[k].values.flatten()
             place, count, key = (np.asarray(listed[i]) for i in (0, 1, 2))
             apart = np.asarray(listed[3].cast(pa.int8())) == 1
+            more = listed[4].to_pylist()
             if apart.any():
                 size = count[apart]
                 inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -190,6 +258,12 @@ def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 place = np.concatenate([place[~apart], single])
                 count = np.concatenate([count[~apart], np.ones(len(single), count.dtype)])
                 key = np.concatenate([key[~apart], own])
+                moved = [
+                    (np.frombuffer(more[j], "<i8") + i).tobytes() if more[j] else None
+                    for j, n in zip(np.flatnonzero(apart).tolist(), size.tolist(), strict=True)
+                    for i in range(n)
+                ]
+                more = [more[j] for j in np.flatnonzero(~apart).tolist()] + moved
             size = count.astype(np.int64) + LENGTH - 1
             ends = np.zeros(len(size) + 1, np.int32)
             np.cumsum(size, out=ends[1:])
@@ -197,8 +271,8 @@ def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
             row = pa.array(np.full(len(size), k))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), batch.column(0).take(row), batch.column(1).take(row), pa.array(place), binary],
-                ["key", "doc_id", "text_hash", "place", "bytes"],
+                [pa.array(key), batch.column(0).take(row), batch.column(1).take(row), pa.array(place), binary, pa.array(more, pa.binary())],
+                ["key", "doc_id", "text_hash", "place", "bytes", "more"],
             )
 
 
@@ -245,13 +319,23 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         _, once = np.unique(np.array(rows["bytes"].take(pa.array(open_)).to_pylist(), object), return_index=True)
         carried = rows.take(pa.array(np.sort(open_[once])))  # the first of equal ones has the smallest doc_id
         waiting, held = [], 0
+        shift, size = inside[hit[run]], last - hit[run] + LENGTH
+        start = rows["place"].to_numpy()[who] + shift
+        # The same at the other places of the text.
+        again = np.flatnonzero(np.asarray(rows["more"].is_valid())[who])
+        if len(again):
+            others = [np.frombuffer(x, "<i8") for x in rows["more"].take(pa.array(who[again])).to_pylist()]
+            times = np.array([len(x) for x in others])
+            who = np.concatenate([who, np.repeat(who[again], times)])
+            size = np.concatenate([size, np.repeat(size[again], times)])
+            start = np.concatenate([start, np.concatenate(others) + np.repeat(shift[again], times)])
         at = pa.array(who)
         return pa.RecordBatch.from_arrays(
             [
                 rows["doc_id"].combine_chunks().take(at),
                 rows["text_hash"].combine_chunks().take(at),
-                pa.array(rows["place"].to_numpy()[who] + inside[hit[run]]),
-                pa.array(last - hit[run] + LENGTH),
+                pa.array(start),
+                pa.array(size),
             ],
             ["doc_id", "text_hash", "start", "size"],
         )
@@ -270,24 +354,42 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows for all places of ``more``, and for the own place."""
+    for batch in batches:
+        places, strings = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        starts, sizes = [], []
+        for place, n, raw in zip(places, strings, batch.column(4).to_pylist(), strict=True):
+            other = np.frombuffer(raw, "<i8")
+            starts.append(other[::2] if place is None else np.append(other, place))
+            sizes.append(other[1::2] if place is None else np.full(len(other) + 1, n))
+        row = pa.array(np.repeat(np.arange(len(starts)), [len(x) for x in starts]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(starts)), pa.array(np.concatenate(sizes) + LENGTH - 1)],
+            ["doc_id", "text_hash", "start", "size"],
+        )
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, size) of what goes; ``docs`` has doc_id, text_hash and text.
 
     Spans may overlap."""
     found = written(repeated_stretches(docs), "stretches")
-    whole = found.filter("anchor IS NULL").select(
+    gone = found.filter("anchor IS NULL").drop("anchor")
+    packed = gone.filter("more IS NOT NULL").mapInArrow(lambda b: released(_unpacked(b)), SPAN)
+    whole = gone.filter("more IS NULL").select(
         "doc_id", "text_hash", F.col("place").alias("start"), (F.col("strings") + LENGTH - 1).cast("long").alias("size")
     )
     border = found.filter("anchor IS NOT NULL")
     crowded = border.groupBy("anchor").count().filter(F.col("count") > CROWD).select("anchor", F.lit(True).alias("apart"))
     marked = border.join(crowded, "anchor", "left").select(
-        "doc_id", "text_hash", F.struct("place", "strings", "anchor", F.coalesce("apart", F.lit(False)).alias("apart")).alias("one")
+        "doc_id", "text_hash", F.struct("place", "strings", "anchor", F.coalesce("apart", F.lit(False)).alias("apart"), "more").alias("one")
     )
     lists = marked.groupBy("doc_id", "text_hash").agg(F.collect_list("one").alias("some"))  # at most a text's own
     asked = docs.join(lists, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "some")
     contexts = asked.mapInArrow(lambda b: released(_emit_contexts(b)), CONTEXT)
     ordered = contexts.repartition("key").sortWithinPartitions("key", "doc_id")
-    return whole.unionByName(ordered.mapInArrow(lambda b: released(_sorted_spans(b)), SPAN))
+    return whole.unionByName(packed).unionByName(ordered.mapInArrow(lambda b: released(_sorted_spans(b)), SPAN))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -326,7 +428,10 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    """doc_id, text_hash, text.  Without an alias where none is needed, or Spark would not see that the
+    texts dealt out to two joins are the same."""
+    doc_id = F.col("doc_id") if docs.schema["doc_id"].dataType == T.LongType() else F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(doc_id, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
 
 
 def removed(docs: DataFrame) -> DataFrame:
