@@ -12,7 +12,7 @@ from .. import streaming as S
 from ..operators import access, claims, devices, ingest, series, tables, views
 from ..session import shared_dir
 from ..sources.events import read_events, write_events
-from ..sources.points import compact_points, read_points, upsert_points
+from ..sources.points import purge_stored, read_points, upsert_points
 from . import flows
 from .input_sql import over
 from .inputs import AS_OF, BRIDGE, CLAIM_LIFE, UNALIGNED_AS_OF, Inputs
@@ -860,8 +860,8 @@ def load_points(x: Inputs) -> DataFrame:
     from ..sources.tables import load_table as load
 
     path = shared_dir(x.spark, "loaded-points")
-    upsert_points(instants(x.points(), "ts"), 0, path)
-    return plain(load(x.spark, "telemetry_points", {"format": "parquet", "path": f"{path}/log"}).drop("arrival_ts", "partition"))
+    upsert_points(instants(x.points(), "ts"), path)
+    return plain(load(x.spark, "telemetry_points", {"format": "parquet", "path": path}).filter("device_id IS NOT NULL").drop("arrival_ts", "partition"))
 
 
 @query(over("parsed", f"SELECT device_id AS key, {_ENCODED} AS value FROM parsed WHERE valid"), "write_events")
@@ -918,19 +918,19 @@ def run_ingest_dead_letters(x: Inputs) -> DataFrame:
 
 @query(over("writes", f"{_STORED} FROM writes GROUP BY device_id, ts"), "upsert_points")
 def upsert_points_table(x: Inputs) -> DataFrame:
-    """Two overlapping batches, the second written twice, and a compaction that is read without merging."""
+    """Two overlapping batches, the second written twice; each point is stored once."""
     path, writes = shared_dir(x.spark, "points"), instants(x.writes(), "ts")
-    upsert_points(writes.filter("heating_status = 0"), 0, path)
+    upsert_points(writes.filter("heating_status = 0"), path)
     for _ in range(2):
-        upsert_points(writes, 1, path)
-    compact_points(x.spark, path)
-    return plain(read_points(x.spark, path, compacted=True).drop("arrival_ts", "partition", "date"))
+        upsert_points(writes, path)
+    return plain(read_points(x.spark, path).drop("arrival_ts", "partition", "date"))
 
 
 @query(over("points latest_purges", f"{_STORED} FROM ({_PURGED}) w GROUP BY device_id, ts"))
 def run_purge(x: Inputs) -> DataFrame:
-    """The streaming purge job, applied to the points table."""
+    """The streaming purge job, which takes purged readings out of the points table."""
     folder = shared_dir(x.spark, "purge")
+    upsert_points(instants(x.points(), "ts"), f"{folder}/points")
     source = instants(x.purges(), "purge_ts").withColumnRenamed("purge_ts", "arrival_ts")
     write_events(source, "parquet", {"path": f"{folder}/events"})
     stream = read_events(x.spark, "parquet", {"path": f"{folder}/events"}, source.schema)
@@ -940,21 +940,20 @@ def run_purge(x: Inputs) -> DataFrame:
         f"{folder}/quarantine",
         f"{folder}/checkpoint",
         {"availableNow": True},
+        f"{folder}/points",
     ).awaitTermination()
-    upsert_points(instants(x.points(), "ts"), 0, f"{folder}/points")
-    purges = x.spark.read.parquet(f"{folder}/purges")
-    return plain(read_points(x.spark, f"{folder}/points", purges=purges).drop("arrival_ts", "partition", "date"))
+    return plain(read_points(x.spark, f"{folder}/points").drop("arrival_ts", "partition", "date"))
 
 
 @query(over("points latest_purges", f"{_STORED} FROM ({_PURGED}) w GROUP BY device_id, ts"))
 def compacted_after_purge(x: Inputs) -> DataFrame:
-    """Points compacted, then purged by a second compaction that rewrites the days it touches."""
+    """Points of two batches merged into days, then purged by writing the days of purged readings again."""
     folder = shared_dir(x.spark, "purged")
     purges = ingest.device_id_guard(ingest.parse_purges(instants(x.purges(), "purge_ts")))
-    upsert_points(instants(x.points(), "ts"), 0, folder)
-    compact_points(x.spark, folder)
-    compact_points(x.spark, folder, purges.filter("device_id_ok").select("device_id", "purge_ts"))
-    return plain(read_points(x.spark, folder, compacted=True).drop("arrival_ts", "partition", "date"))
+    for odd in (0, 1):
+        upsert_points(instants(x.points(), "ts").filter(f"arrival % 2 = {odd}"), folder)
+    purge_stored(x.spark, folder, purges.filter("device_id_ok").select("device_id", "purge_ts"))
+    return plain(read_points(x.spark, folder).drop("arrival_ts", "partition", "date"))
 
 
 def _log(x: Inputs, name: str) -> tuple[str, str]:
@@ -966,35 +965,35 @@ def _log(x: Inputs, name: str) -> tuple[str, str]:
 def stream_throttle(x: Inputs) -> DataFrame:
     log, checkpoint = _log(x, "throttle")
     views_ = stream_of(x).views()
-    S.stream_views(views_, log, checkpoint, trigger=S.AVAILABLE_NOW).awaitTermination()
-    return S.throttled(x.spark, log, views_.schema, "1 day")
+    S.stream_views(views_, log, checkpoint, gap="1 day", trigger=S.AVAILABLE_NOW).awaitTermination()
+    return S.view_history(x.spark, log, views_.schema)
 
 
 @query(_throttle_sql("1 day", "views active", _TRACKED))
 def stream_track_views(x: Inputs) -> DataFrame:
-    """Views of own devices chosen on the stream, then logged and throttled."""
+    """Views of own devices chosen on the stream, and the history that they leave."""
     log, checkpoint = _log(x, "track")
     views_ = stream_of(x).views()
     own = S.stream_trackable_views(views_, x.devices()).select(*views_.columns)
-    S.stream_views(own, log, checkpoint, trigger=S.AVAILABLE_NOW).awaitTermination()
-    return S.throttled(x.spark, log, views_.schema, "1 day")
+    S.stream_views(own, log, checkpoint, gap="1 day", trigger=S.AVAILABLE_NOW).awaitTermination()
+    return S.view_history(x.spark, log, views_.schema)
 
 
 @query(_throttle_sql("1 day", "views active", _TRACKED))
 def run_view_tracking(x: Inputs) -> DataFrame:
-    """The view-tracking job, and the view history read from its log."""
+    """The view-tracking job, and the view history that it keeps as a table."""
     log, checkpoint = _log(x, "tracking")
     views_ = stream_of(x).views()
-    S.run_view_tracking(views_, x.devices(), log, checkpoint, S.AVAILABLE_NOW).awaitTermination()
-    return S.throttled(x.spark, log, views_.schema, "1 day")
+    S.run_view_tracking(views_, x.devices(), log, checkpoint, "1 day", S.AVAILABLE_NOW).awaitTermination()
+    return S.view_history(x.spark, log, views_.schema)
 
 
 @query(over("resolved", "SELECT * FROM resolved"))
 def stream_claims(x: Inputs) -> DataFrame:
     log, checkpoint = _log(x, "claims")
     asked = claims.valid_claims(stream_of(x).claims())
-    S.stream_claims(stream_of(x).codes(), asked, log, checkpoint, S.AVAILABLE_NOW).awaitTermination()
-    return S.resolved(x.spark, log, asked.schema["claimed_at"].dataType, CLAIM_LIFE)
+    S.stream_claims(stream_of(x).codes(), asked, log, checkpoint, CLAIM_LIFE, S.AVAILABLE_NOW).awaitTermination()
+    return S.claim_answers(x.spark, log, asked.schema["claimed_at"].dataType)
 
 
 @query(
@@ -1037,7 +1036,7 @@ def stream_late_arrivals(x: Inputs) -> DataFrame:
 def history_from_store(x: Inputs) -> DataFrame:
     """The last day's history out of the points table; only its days are read."""
     path = shared_dir(x.spark, "stored")
-    upsert_points(instants(x.points(), "ts"), 0, path)
+    upsert_points(instants(x.points(), "ts"), path)
     return plain(series.telemetry_history(read_points(x.spark, path), "-24h", AS_OF))
 
 

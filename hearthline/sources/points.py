@@ -1,42 +1,24 @@
-"""The points table: a log of writes, a compacted base, and a manifest that tells which is which.
-
-* ``log/run=<writer>/batch=<n>/date=<day>``: a batch only ever replaces its own folder, so
-  writing costs as much as the batch and a retry changes nothing.  Writers have folders of
-  their own: a job that starts again with a fresh checkpoint overwrites nothing.
-* ``base/version=<n>/date=<day>``: days without repeated points, as ``compact_points`` wrote them.
-* ``manifest/version=<n>``: the version of each day, and up to which batch each writer is in the base.
-
-Reading takes each day of the base in its current version and what the log has beyond it, and merges
-the writes of a point (see ``merge_points``).  Merging is idempotent, so
-reading a write twice is harmless.  The manifest of a compaction is written last: until then
-readers see the table as it was, and a compaction that failed leaves nothing they read.
+"""The points table: plain Parquet files in one folder a day (see ``days``), each point (device_id, ts) once.
+
+A batch is merged with the days that it touches, and these days are replaced.  Merging is
+idempotent, so a batch that is written again changes nothing, whoever writes it.  Reading
+needs no merging and hence no shuffle, and prunes days.  A purge writes the days that hold readings
+of purged devices again, after which these are gone from the disk.
+
+Each write costs as much as its days: let a trigger wait until that pays, and give late data of many
+days a job of its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators.series import merge_points, purge_points
-from .events import read_folders
-
-_DATE = T.StructField("date", T.DateType())
-_LOG = T.StructType(
-    [*schemas.POINTS.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType()), _DATE]
-)
-_BASE = T.StructType([*schemas.POINTS.fields, T.StructField("version", T.LongType()), _DATE])
-#: A row is a day of the base (date, day_version) or a writer (run, up_to).
-_MANIFEST = T.StructType(
-    [
-        _DATE,
-        T.StructField("day_version", T.LongType()),
-        T.StructField("run", T.StringType()),
-        T.StructField("up_to", T.LongType()),
-        T.StructField("version", T.LongType()),
-    ]
-)
+from .days import days_of, read_days, replace_days, within
+
+_ORDER = ("device_id", "ts")
 
 
 def _rows(points: DataFrame) -> DataFrame:
@@ -49,134 +31,54 @@ def _rows(points: DataFrame) -> DataFrame:
     return points.select(*columns).withColumn("date", F.to_date("ts"))
 
 
-def upsert_points(batch: DataFrame, batch_id: int, path: str, run: str = "direct") -> None:
-    """Write one batch of points of the writer ``run``; later writes of a point win when it is read."""
-    # AQE merges small days into few files and splits a large day over several.
-    rows = _rows(batch).hint("rebalance", "date")
-    rows.write.mode("overwrite").partitionBy("date").parquet(f"{path}/log/run={run}/batch={batch_id}")
-
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return read_days(spark, path, schemas.POINTS, "device_id")
 
-def _manifest(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
-    """The current version and its rows: as many as there are days and writers."""
-    every = read_folders(spark, f"{path}/manifest", _MANIFEST)
-    version = every.agg(F.max("version").alias("v")).first()["v"] or 0
-    return version, every.filter(F.col("version") == version).drop("version")
 
+def upsert_points(batch: DataFrame, path: str, purges: DataFrame | None = None) -> None:
+    """Merge a batch of points into the table; later writes of a point win.
 
-def _base(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    days = manifest.filter("date IS NOT NULL").select("date", F.col("day_version").alias("version"))
-    return read_folders(spark, f"{path}/base", _BASE).join(days, ["date", "version"], "left_semi").drop("version")
+    With ``purges`` (device_id, purge_ts), what had arrived before a purge of its device is left out, on both
+    sides and before they are merged, so that a batch that runs again after a purge brings nothing back."""
+    rows = _rows(batch).filter("device_id IS NOT NULL AND ts IS NOT NULL")
+    days = days_of(rows)
+    if not days:
+        return
+    both = within(_stored(batch.sparkSession, path), days).unionByName(rows)
+    if purges is not None:
+        both = purge_points(both, purges, arrived_at="arrival_ts")
+    replace_days(_rows(merge_points(both)), days, path, *_ORDER)
 
 
-def _beyond(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Writes of the log that are not in the base yet, with run and batch."""
-    covered = manifest.filter("run IS NOT NULL").select("run", "up_to")
-    log = read_folders(spark, f"{path}/log", _LOG)
-    return log.join(covered, "run", "left").filter("up_to IS NULL OR batch > up_to").drop("up_to")
+def purge_stored(spark: SparkSession, path: str, purges: DataFrame) -> int:
+    """Take the readings that had arrived before a purge of their device off the disk; returns the number of
+    days written.  Other days are not touched."""
+    stored = _stored(spark, path)
+    latest = purges.groupBy("device_id").agg(F.max("purge_ts").alias("purge_ts"))
+    arrived = F.greatest("ts", F.coalesce("arrival_ts", "ts"))
+    days = days_of(stored.join(latest, "device_id").filter(arrived <= F.col("purge_ts")))
+    if days:
+        left = purge_points(within(stored, days), purges, arrived_at="arrival_ts")
+        replace_days(_rows(left), days, path, *_ORDER)
+    return len(days)
 
 
-def stored_writes(
+def read_points(
     spark: SparkSession,
     path: str,
     start: str | None = None,
     stop: str | None = None,
+    purges: DataFrame | None = None,
 ) -> DataFrame:
-    """All writes with ``start <= ts < stop``; only the days in between are read.
+    """Points with ``start <= ts < stop``; only the days in between are read.
 
+    With ``purges``, what had arrived before a purge is left out even if the table still has it.
     The day stays as column ``date``, so that operators that filter by time prune too."""
-    version, manifest = _manifest(spark, path)
-    if version:
-        stored = _base(spark, path, manifest).unionByName(_beyond(spark, path, manifest).drop("run", "batch"))
-    else:
-        stored = read_folders(spark, f"{path}/log", _LOG).drop("run", "batch")
+    points = _stored(spark, path)
     if start is not None:
         since = F.lit(start).cast("timestamp")
-        stored = stored.filter((F.col("ts") >= since) & (F.col("date") >= F.to_date(since)))
+        points = points.filter((F.col("ts") >= since) & (F.col("date") >= F.to_date(since)))
     if stop is not None:
         until = F.lit(stop).cast("timestamp")
-        stored = stored.filter((F.col("ts") < until) & (F.col("date") <= F.to_date(until)))
-    return stored
-
-
-def read_points(
-    spark: SparkSession,
-    path: str,
-    start: str | None = None,
-    stop: str | None = None,
-    purges: DataFrame | None = None,
-    compacted: bool = False,
-) -> DataFrame:
-    """Current points; with ``purges``, writes that came before a purge are gone.
-
-    ``compacted``: the base alone, which holds every point once and needs no
-    merging, hence no shuffle; what was written after the last compaction is not in it.
-    """
-    if compacted:
-        return _base(spark, path, _manifest(spark, path)[1])
-    writes = stored_writes(spark, path, start, stop)
-    if purges is not None:
-        writes = purge_points(writes, purges, arrived_at="arrival_ts")
-    return merge_points(writes)
-
-
-def compact_points(spark: SparkSession, path: str, purges: DataFrame | None = None) -> int:
-    """Bring the log, and ``purges``, into the base; returns the new version.
-
-    Only days with new writes, or with points of purged devices, are written again.  Files
-    cover ranges of (date, device, time), so a query on few devices can skip
-    most of them, and a device with many points is spread over several.  Run one at a time.
-    """
-    version, manifest = _manifest(spark, path)
-    new, base = _beyond(spark, path, manifest), _base(spark, path, manifest)
-    touched = new.select("date")
-    if purges is not None:
-        touched = touched.unionByName(base.join(purges.select("device_id").distinct(), "device_id", "left_semi").select("date"))
-    touched = touched.distinct()
-    rows = base.join(touched, "date", "left_semi").unionByName(new.drop("run", "batch"))
-    if purges is not None:
-        rows = purge_points(rows, purges, arrived_at="arrival_ts")
-    order = ["date", "device_id", "ts"]
-    merged = _rows(merge_points(rows)).repartitionByRange(*order).sortWithinPartitions(*order)
-    merged.write.mode("overwrite").partitionBy("date").parquet(f"{path}/base/version={version + 1}")
-    again = touched.select("date", F.lit(version + 1).cast("long").alias("day_version"))
-    kept = manifest.filter("date IS NOT NULL").join(touched, "date", "left_anti").select("date", "day_version")
-    writers = (
-        manifest.filter("run IS NOT NULL").select("run", "up_to")
-        .unionByName(new.select("run", F.col("batch").alias("up_to")))
-        .groupBy("run").agg(F.max("up_to").alias("up_to"))
-    )
-    listed = again.unionByName(kept).unionByName(writers, allowMissingColumns=True)
-    listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version + 1}")
-    return version + 1
-
-
-def forget_points(spark: SparkSession, path: str) -> int:
-    """Delete what no reader of the current version needs: batches that are in the base, days
-    in versions that are not theirs any more, and old manifests.  Returns the number of folders.
-
-    Purged readings are gone from disk after this.  Call it when readers of older versions are done.
-    """
-    version, manifest = _manifest(spark, path)
-    rows = manifest.collect()  # days and writers
-    live = {str(r.date): r.day_version for r in rows if r.date is not None}
-    covered = {r.run: r.up_to for r in rows if r.run is not None}
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def children(folder: str, key: str) -> list[tuple[str, str]]:
-        place = hadoop(folder)
-        names = [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
-        return [(f"{folder}/{n}", n.split("=", 1)[1]) for n in names if n.startswith(f"{key}=")]
-
-    gone = [
-        day
-        for folder, v in children(f"{path}/base", "version")
-        for day, name in children(folder, "date")
-        if int(v) <= version and live.get(name) != int(v)
-    ]
-    gone += [f for f, v in children(f"{path}/manifest", "version") if int(v) < version]
-    for run, name in children(f"{path}/log", "run"):
-        gone += [f for f, n in children(run, "batch") if int(n) <= covered.get(name, -1)]
-    for folder in gone:
-        files.delete(hadoop(folder), True)
-    return len(gone)
+        points = points.filter((F.col("ts") < until) & (F.col("date") <= F.to_date(until)))
+    return points if purges is None else purge_points(points, purges, arrived_at="arrival_ts")

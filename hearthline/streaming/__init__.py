@@ -3,28 +3,28 @@
 from .jobs import AVAILABLE_NOW, drain, run_ingest, run_purge, run_view_tracking, stream_trackable_views
 from .logs import (
     append_log,
+    claim_answers,
     history,
     lateness,
     online,
     read_log,
-    resolved,
     stream_claims,
     stream_history,
     stream_late_arrivals,
     stream_staleness,
     stream_views,
-    throttled,
+    view_history,
 )
 
 __all__ = [
     "AVAILABLE_NOW",
     "append_log",
+    "claim_answers",
     "drain",
     "history",
     "lateness",
     "online",
     "read_log",
-    "resolved",
     "run_ingest",
     "run_purge",
     "run_view_tracking",
@@ -34,5 +34,5 @@ __all__ = [
     "stream_staleness",
     "stream_trackable_views",
     "stream_views",
-    "throttled",
+    "view_history",
 ]

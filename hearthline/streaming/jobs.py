@@ -1,10 +1,11 @@
-"""Checkpointed jobs.  Each micro-batch writes under the id of its query and its own number, so a batch
-that is run again after a failure replaces its own output and nothing else."""
+"""Checkpointed jobs.  A micro-batch writes records under the id of its query and its own number, and merges
+points into the days it touches, so a batch that is run again after a failure changes nothing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import (
@@ -16,14 +17,15 @@ from ..operators.ingest import (
     to_points,
     valid_telemetry,
 )
-from ..operators.views import trackable_views, valid_views
+from ..operators.views import VIEW_GAP, trackable_views, valid_views
 from ..session import shared_dir
-from ..sources.events import run_of, write_events
-from ..sources.points import upsert_points
+from ..sources.events import read_folders, run_of, write_events
+from ..sources.points import purge_stored, upsert_points
 from .logs import start, stream_views
 
 Sink = tuple[str, dict[str, str]]
 AVAILABLE_NOW = {"availableNow": True}
+_PURGES = T.StructType().add("device_id", "string").add("purge_ts", "timestamp")
 
 
 def run_ingest(
@@ -33,11 +35,13 @@ def run_ingest(
     dlq: Sink,
     checkpoint: str,
     trigger: dict | None = None,
+    purges_path: str | None = None,
 ) -> StreamingQuery:
     """Raw JSON readings to the points table, keyed processed records and dead letters.
 
     ``source`` has (value, arrival) and may have arrival_ts.  There is no
-    watermark: late readings are stored like any others.
+    watermark: late readings are stored like any others.  With the log of ``run_purge`` at ``purges_path``, readings
+    that had arrived before a purge of their device are not stored.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -46,7 +50,8 @@ def run_ingest(
         try:
             events = valid_telemetry(parsed)
             run = run_of(batch.sparkSession)
-            upsert_points(to_points(events), batch_id, points_path, run)
+            purges = read_folders(batch.sparkSession, purges_path, _PURGES) if purges_path else None
+            upsert_points(to_points(events), points_path, purges)
             write_events(keyed_records(events), *processed, batch_id, run)
             write_events(dead_letters(parsed), *dlq, batch_id, run)
         finally:
@@ -66,11 +71,14 @@ def run_purge(
     quarantine_path: str,
     checkpoint: str,
     trigger: dict | None = None,
+    points_path: str | None = None,
 ) -> StreamingQuery:
-    """PURGE events to the purge log that ``read_points`` and ``compact_points`` apply.
+    """PURGE events to the purge log, and, with ``points_path``, to the points table: the days that hold purged
+    readings are written again without them.
 
     ``source`` has (value, arrival_ts); the purge takes effect at its arrival.
-    Ids that fail the guard are set aside instead of stopping the job.
+    Ids that fail the guard are set aside instead of stopping the job.  The log is written first: a batch that
+    fails and runs again purges the same.  The job that writes points must not run at the same time.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -80,19 +88,20 @@ def run_purge(
         bad = checked.filter("NOT device_id_ok").drop("device_id_ok")
         write_events(good, "parquet", {"path": purges_path}, batch_id)
         write_events(bad, "parquet", {"path": quarantine_path}, batch_id)
+        if points_path:
+            purge_stored(batch.sparkSession, points_path, good)
 
     return start(source, write, checkpoint, trigger)
 
 
 def run_view_tracking(
-    source: DataFrame, devices: DataFrame, log_path: str, checkpoint: str, trigger: dict | None = None
+    source: DataFrame, devices: DataFrame, path: str, checkpoint: str, gap: str = VIEW_GAP, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Valid views of own active devices to the log that ``throttled`` reads the view history from.
+    """Valid views of own active devices to the view history, a table that ``view_history`` reads.
 
-    Views may come in any order and in any batch: which ones are kept is decided over
-    all that is logged, by the sliced throttle.
+    Views may come in any order and in any batch: a late one changes the history from its time on.
     """
-    return stream_views(source, log_path, checkpoint, devices, trigger)
+    return stream_views(source, path, checkpoint, devices, gap, trigger)
 
 
 def stream_trackable_views(views: DataFrame, devices: DataFrame) -> DataFrame:

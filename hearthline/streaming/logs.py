@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +24,7 @@ from ..functions import interval
 from ..operators.claims import CLAIM_TTL, resolve_claims
 from ..operators.series import STALE_AFTER, join_spans, late_arrivals, mean_of, partial_means, slice_spans
 from ..operators.views import VIEW_GAP, throttle_views, trackable_views, valid_views
+from ..sources.days import read_days, revise_days
 from ..sources.events import read_folders, run_of, write_batch
 
 _PLACE = [
@@ -47,16 +48,10 @@ def append_log(
     return start(stream, write, checkpoint, trigger)
 
 
-def read_log(
-    spark: SparkSession, path: str, schema: T.StructType, since: str | None = None, until: str | None = None
-) -> DataFrame:
-    """All rows of the log, or those of the days from ``since`` to ``until``."""
+def read_log(spark: SparkSession, path: str, schema: T.StructType, days: Column | None = None) -> DataFrame:
+    """All rows of the log, or those of the days for which ``days``, a condition on ``date``, holds."""
     rows = read_folders(spark, path, T.StructType([*schema.fields, *_PLACE]))
-    if since is not None:
-        rows = rows.filter(F.col("date") >= F.lit(since).cast("date"))
-    if until is not None:
-        rows = rows.filter(F.col("date") <= F.lit(until).cast("date"))
-    return rows.select(*schema.fieldNames())
+    return (rows if days is None else rows.filter(days)).select(*schema.fieldNames())
 
 
 def start(stream: DataFrame, write, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -72,27 +67,74 @@ def start(stream: DataFrame, write, checkpoint: str, trigger: dict | None) -> St
 
 
 def stream_views(
-    views: DataFrame, path: str, checkpoint: str, devices: DataFrame | None = None, trigger: dict | None = None
+    views: DataFrame,
+    path: str,
+    checkpoint: str,
+    devices: DataFrame | None = None,
+    gap: str = VIEW_GAP,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Views to the log; with ``devices`` only valid ones of own active devices."""
+    """Views to a log, and after each micro-batch the view history as a table; with ``devices`` only valid
+    views of own active devices.
 
-    def own(batch: DataFrame) -> DataFrame:
-        return trackable_views(valid_views(batch), devices).select(*views.columns)
+    A batch changes the history of a (user, device) from its first new view on.  The view kept before that
+    and the logged views after it are throttled again, and days whose history came out
+    otherwise are written; a view in order costs its own day, a late one the days that it changes.
+    """
 
-    timed = views.filter(F.col("viewed_at").isNotNull())
-    return append_log(timed, path, checkpoint, "viewed_at", own if devices is not None else None, trigger)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = trackable_views(valid_views(batch), devices).select(*views.columns) if devices is not None else batch
+        rows = rows.withColumn("date", F.to_date("viewed_at")).persist()
+        try:
+            write_batch(rows, "parquet", {"path": f"{path}/log"}, batch_id, run_of(spark), by=["date"])
+            revise_history(spark, path, rows, views.schema, gap)
+        finally:
+            rows.unpersist()
+
+    return start(views.filter(F.col("viewed_at").isNotNull()), write, checkpoint, trigger)
+
+
+def revise_history(spark: SparkSession, path: str, rows: DataFrame, schema: T.StructType, gap: str = VIEW_GAP) -> None:
+    """Bring the history up to date with logged ``rows``, which may be logged again after a failure."""
+    first = rows.agg(F.min("viewed_at").alias("at")).first()["at"]
+    if first is None:
+        return
+    history = read_days(spark, f"{path}/history", schema, "viewed_at")
+    near = history.filter(F.col("date") >= F.to_date(F.lit(first) - interval(gap)))
+    log = read_log(spark, f"{path}/log", schema).filter(F.col("viewed_at") >= F.lit(first))
+    touched = rows.groupBy(F.col("user_id").alias("of_user"), F.col("device_id").alias("of_device")).agg(
+        F.min("viewed_at").alias("since")
+    )
+    same = F.col("user_id").eqNullSafe(F.col("of_user")) & F.col("device_id").eqNullSafe(F.col("of_device"))
+
+    def of_touched(views: DataFrame, when: Column) -> DataFrame:
+        return views.join(touched, same & when).drop("of_user", "of_device", "since")
 
+    at, since = F.col("viewed_at"), F.col("since")
+    before = of_touched(near, (at < since) & (at >= since - interval(gap)))
+    after = of_touched(log, at >= since)
+    chain = before.drop("date").withColumn("kept_before", F.lit(True)).unionByName(after.withColumn("kept_before", F.lit(False)))
+    new = throttle_views(chain, gap).filter("NOT kept_before").withColumn("date", F.to_date("viewed_at"))
+    revise_days(history, of_touched(near, at >= since), new, f"{path}/history", "user_id", "device_id", "viewed_at")
 
-def throttled(spark: SparkSession, path: str, schema: T.StructType, gap: str = VIEW_GAP) -> DataFrame:
-    """The view history: logged views none of which is within ``gap`` of the one kept before it."""
-    return throttle_views(read_log(spark, path, schema), gap)
+
+def view_history(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The view history as the batches so far have left it: none within the gap of the one kept before it."""
+    return read_days(spark, f"{path}/history", schema, "viewed_at").select(*schema.fieldNames())
 
 
 # Claims -----------------------------------------------------------------------
 
 
-def stream_claims(codes: DataFrame, claims: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Codes issued and claims made to one log."""
+def stream_claims(
+    codes: DataFrame, claims: DataFrame, path: str, checkpoint: str, ttl: str = CLAIM_TTL, trigger: dict | None = None
+) -> StreamingQuery:
+    """Codes issued and claims made to a log, and after each micro-batch the answers as a table.
+
+    An event can change what claims get in its own slice of ``ttl`` and in the next one.  These are resolved again,
+    and days with another answer are written: an answer that a late event has overtaken is taken back.
+    """
     issued = codes.select(
         "code", F.lit(False).alias("is_claim"), F.col("issue_id").alias("id"), "user_id", F.col("issued_at").alias("at")
     )
@@ -101,18 +143,63 @@ def stream_claims(codes: DataFrame, claims: DataFrame, path: str, checkpoint: st
         F.lit(None).cast("string").alias("user_id"), F.col("claimed_at").alias("at"),
     )
     both = issued.unionByName(asked).filter(F.col("at").isNotNull())
-    return append_log(both, path, checkpoint, "at", None, trigger)
+    schema = both.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("date", F.to_date("at")).persist()
+        try:
+            write_batch(rows, "parquet", {"path": f"{path}/log"}, batch_id, run_of(batch.sparkSession), by=["date"])
+            revise_claims(batch.sparkSession, path, rows, schema, ttl)
+        finally:
+            rows.unpersist()
 
+    return start(both, write, checkpoint, trigger)
 
-def resolved(spark: SparkSession, path: str, at: T.DataType, ttl: str = CLAIM_TTL) -> DataFrame:
-    """``resolve_claims`` over all that is logged."""
-    schema = T.StructType().add("code", "string").add("is_claim", "boolean").add("id", "long").add("user_id", "string").add("at", at)
-    log = read_log(spark, path, schema)
+
+def _answers(schema: T.StructType) -> T.StructType:
+    at = schema["at"].dataType
+    return (
+        T.StructType().add("claim_id", "long").add("code", "string").add("claimed_at", at)
+        .add("issue_id", "long").add("user_id", "string").add("status", "string")
+    )
+
+
+def revise_claims(spark: SparkSession, path: str, rows: DataFrame, schema: T.StructType, ttl: str = CLAIM_TTL) -> None:
+    """Bring the answers up to date with logged ``rows``, which may be logged again after a failure."""
+    ends = rows.agg(F.min("at").alias("first"), F.max("at").alias("last")).first()
+    if ends["first"] is None:
+        return
+    life = interval(ttl)
+    low, high = F.lit(ends["first"]) - life - life, F.lit(ends["last"]) + life + life
+    near = (F.col("date") >= F.to_date(low)) & (F.col("date") <= F.to_date(high))
+    stored = read_days(spark, f"{path}/answers", _answers(schema), "claimed_at")
+    own = rows.select(F.col("code").alias("of_code"), F.window("at", ttl).start.alias("of_slice"))
+    hit = own.unionByName(own.withColumn("of_slice", F.col("of_slice") + life)).distinct()
+    read = hit.unionByName(hit.withColumn("of_slice", F.col("of_slice") - life)).distinct()
+
+    def within_slices(events: DataFrame, time: str, slices: DataFrame) -> DataFrame:
+        sliced = events.withColumn("_slice", F.window(time, ttl).start)
+        same = F.col("code").eqNullSafe(F.col("of_code")) & (F.col("_slice") == F.col("of_slice"))
+        return sliced.join(slices, same, "left_semi").drop("_slice")
+
+    log = within_slices(read_log(spark, f"{path}/log", schema, near), "at", read)
+    new = within_slices(resolve_log(log, ttl), "claimed_at", hit).withColumn("date", F.to_date("claimed_at"))
+    old = within_slices(stored.filter(near), "claimed_at", hit)
+    revise_days(stored, old, new, f"{path}/answers", "code", "claimed_at")
+
+
+def resolve_log(log: DataFrame, ttl: str = CLAIM_TTL) -> DataFrame:
     codes = log.filter("NOT is_claim").select(F.col("id").alias("issue_id"), "code", "user_id", F.col("at").alias("issued_at"))
     claims = log.filter("is_claim").select(F.col("id").alias("claim_id"), "code", F.col("at").alias("claimed_at"))
     return resolve_claims(codes, claims, ttl)
 
 
+def claim_answers(spark: SparkSession, path: str, at: T.DataType) -> DataFrame:
+    """The answer to each claim as the batches so far have left it."""
+    schema = _answers(T.StructType().add("at", at))
+    return read_days(spark, f"{path}/answers", schema, "claimed_at").select(*schema.fieldNames())
+
+
 # Readings ---------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from hearthline.plans.catalog import instants
 from hearthline.plans.inputs import CLAIM_LIFE, Inputs
 from hearthline.session import shared_dir
 from hearthline.sources.events import read_events, write_events
-from hearthline.sources.points import compact_points, forget_points, read_points, stored_writes, upsert_points
+from hearthline.sources.points import purge_stored, read_points, upsert_points
 from tests.conftest import DATA, rows
 
 NOW = {"availableNow": True}
@@ -78,51 +78,68 @@ def plain_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def on_disk(spark, path):
+    """Rows of all files, by day, without the rows that mark a day."""
+    return spark.read.parquet(path).filter("device_id IS NOT NULL")
+
+
+def files(spark, path):
+    return {r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}
+
+
 def test_writing_a_batch_again_changes_nothing(spark, inputs):
     path = shared_dir(spark, "points")
     writes = instants(inputs.writes(), "ts")
-    upsert_points(writes.filter("arrival < 500"), 0, path)
-    upsert_points(writes.filter("arrival >= 400"), 1, path)
+    upsert_points(writes.filter("arrival < 500"), path)
+    upsert_points(writes.filter("arrival >= 400"), path)
     once = rows(read_points(spark, path))
-    upsert_points(writes.filter("arrival >= 400"), 1, path)
+    upsert_points(writes.filter("arrival < 500"), path)  # also an older batch
+    upsert_points(writes.filter("arrival >= 400"), path)
     assert rows(read_points(spark, path)) == once
     assert rows(read_points(spark, path).drop("arrival_ts", "partition", "date")) == rows(series.merge_points(writes))
+    assert "Aggregate" not in plain_plan(read_points(spark, path))
 
 
-def test_compaction_rewrites_touched_days_only(spark, inputs):
-    path = shared_dir(spark, "compact")
+def test_batches_of_any_writer_lose_nothing(spark, inputs):
+    """Six points, three at a time, by writers that count their batches from 0 each."""
+    path = shared_dir(spark, "six")
+    six = instants(inputs.points(), "ts").limit(6).persist()
+    at = six.orderBy("arrival").collect()[3]["arrival"]
+    for _ in range(2):
+        upsert_points(six.filter(F.col("arrival") < at), path)
+        upsert_points(six.filter(F.col("arrival") >= at), path)
+    assert read_points(spark, path).count() == 6
+
+
+def test_only_touched_days_are_written(spark, inputs):
+    path = shared_dir(spark, "touched")
     points = instants(inputs.points(), "ts")
     early = points.filter("ts < '2024-01-20'")
-    upsert_points(early.filter("arrival % 2 = 0"), 0, path, "a")
-    upsert_points(early.filter("arrival % 2 = 1"), 0, path, "b")
-    want = rows(read_points(spark, path))
-    columns = read_points(spark, path).columns
-    assert compact_points(spark, path) == 1
-    assert rows(read_points(spark, path).select(*columns)) == want
-    alone = read_points(spark, path, compacted=True).select(*columns)
-    assert rows(alone) == want and alone.count() == stored_writes(spark, path).count()
-    assert "Aggregate" not in plain_plan(alone)
-    # Two new days; the others keep their version, and batches of the base are not read again.
-    late = points.filter("ts >= '2024-01-20' AND ts < '2024-01-22'")
-    upsert_points(late, 1, path, "a")
-    both = rows(read_points(spark, path).select(*columns))
-    assert len(both) == len(want) + late.count()
-    assert compact_points(spark, path) == 2
-    assert {r[0] for r in spark.read.parquet(f"{path}/base/version=2").select(F.to_date("date").cast("string")).distinct().collect()} == {"2024-01-20", "2024-01-21"}
-    assert rows(read_points(spark, path).select(*columns)) == both
-    # A purge: only days of the device are written; then its readings leave the disk.
-    device = late.first()["device_id"]
-    purges = spark.createDataFrame([(device,)], "device_id string").withColumn("purge_ts", F.lit("2024-12-31").cast("timestamp"))
-    assert compact_points(spark, path, purges) == 3
-    left = [r for r in both if r[columns.index("device_id")] != device]
-    assert rows(read_points(spark, path).select(*columns)) == left
-    assert forget_points(spark, path) > 0
-    assert rows(read_points(spark, path).select(*columns)) == left
-    on_disk = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/base")
-    assert on_disk.count() == len(left)
-    upsert_points(early.limit(5), 2, path, "a")
-    assert rows(read_points(spark, path).select(*columns)) != []
-    assert compact_points(spark, path) == 4
+    upsert_points(early, path)
+    before = files(spark, path)
+    late = points.filter("ts >= '2024-01-19 12:00:00' AND ts < '2024-01-22'")
+    upsert_points(late, path)
+    new = files(spark, path) - before
+    assert {f.split("date=")[1][:10] for f in new} == {"2024-01-19", "2024-01-20", "2024-01-21"}
+    want = points.filter("ts < '2024-01-22'")
+    assert rows(read_points(spark, path).select("device_id", "ts")) == rows(want.select("device_id", "ts").distinct())
+    # A purge: only days of the device are written, and its readings leave the disk.
+    before, device = files(spark, path), late.first()["device_id"]
+    purges = spark.createDataFrame([(device,)], "device_id string").withColumn("purge_ts", F.lit("2024-01-19").cast("timestamp"))
+    gone = want.filter((F.col("device_id") == device) & (F.col("ts") <= "2024-01-19")).select("device_id", "ts").distinct()
+    assert purge_stored(spark, path, purges) == gone.select(F.to_date("ts")).distinct().count() > 0
+    kept = want.select("device_id", "ts").distinct().exceptAll(gone)
+    assert rows(on_disk(spark, path).select("device_id", "ts")) == rows(kept)
+    new = {f.split("date=")[1][:10] for f in files(spark, path) - before}
+    assert new == {str(r[0]) for r in gone.select(F.to_date("ts")).distinct().collect()}
+    assert purge_stored(spark, path, purges) == 0
+    # A day that loses all its rows, and a batch from before the purge that runs again.
+    all_of = purges.crossJoin(points.select(F.col("device_id").alias("d")).distinct()).select(F.col("d").alias("device_id"), "purge_ts")
+    purge_stored(spark, path, all_of)
+    assert on_disk(spark, path).filter("ts <= '2024-01-19'").count() == 0
+    left = rows(read_points(spark, path))
+    upsert_points(early, path, all_of)
+    assert len(rows(read_points(spark, path))) == len(left)
 
 
 def purges_at(devices, at):
@@ -135,29 +152,29 @@ def test_purge_job(spark, inputs):
     mine = purges_at(busy, "2024-01-15 00:00:00")
     events = instants(inputs.purges().unionByName(mine), "purge_ts").withColumnRenamed("purge_ts", "arrival_ts")
     write_events(events, "parquet", {"path": f"{folder}/events"})
+    points = instants(inputs.points(), "ts")
+    upsert_points(points, f"{folder}/points")
     S.run_purge(
         read_events(spark, "parquet", {"path": f"{folder}/events"}, events.schema),
-        f"{folder}/purges", f"{folder}/quarantine", f"{folder}/checkpoint", NOW,
+        f"{folder}/purges", f"{folder}/quarantine", f"{folder}/checkpoint", NOW, f"{folder}/points",
     ).awaitTermination()
     purges = spark.read.parquet(f"{folder}/purges").select("device_id", "purge_ts")
     quarantine = spark.read.parquet(f"{folder}/quarantine")
     assert quarantine.count() > 0 and quarantine.filter("device_id NOT LIKE 'dev-%'").count() == 0
-    points = instants(inputs.points(), "ts")
-    upsert_points(points, 0, f"{folder}/points")
+    columns = ["device_id", "ts", "current_temperature", "target_temperature", "heating_status", "arrival"]
+    left = series.merge_points(series.purge_points(points, purges)).select(*columns)
+    assert rows(on_disk(spark, f"{folder}/points").select(*columns)) == rows(left)
     # A reading that arrives after its device's purge comes back.
     device = purges.join(points, "device_id").first()["device_id"]
     again = points.filter(F.col("device_id") == device).withColumn("arrival_ts", F.lit("2024-06-01").cast("timestamp"))
-    upsert_points(again, 1, f"{folder}/points")
-    left = read_points(spark, f"{folder}/points", purges=purges).drop("arrival_ts", "partition", "date")
+    upsert_points(again, f"{folder}/points", purges)
+    left = read_points(spark, f"{folder}/points", purges=purges).select(*columns)
     want = series.purge_points(points, purges.filter(F.col("device_id") != device))
-    assert rows(left) == rows(series.merge_points(want).select(*left.columns))
-    compact_points(spark, f"{folder}/points", purges)
-    clean = read_points(spark, f"{folder}/points").drop("arrival_ts", "partition", "date")
-    assert rows(clean.select(*left.columns)) == rows(left)
+    assert rows(left) == rows(series.merge_points(want).select(*columns))
 
 
 def test_a_new_run_overwrites_nothing(spark, inputs):
-    """Compaction, then jobs with fresh checkpoints over the same folders."""
+    """Jobs with fresh checkpoints over the same folders."""
     folder, schema = shared_dir(spark, "again"), spark.read.parquet(f"{DATA}/events.parquet").schema
     halves = []
     for k in range(2):
@@ -165,15 +182,14 @@ def test_a_new_run_overwrites_nothing(spark, inputs):
         spark.read.parquet(f"{DATA}/events.parquet").filter(f"event_id % 2 = {k}").coalesce(1).write.parquet(part)
         halves.append(Inputs(spark, DATA, read_events(spark, "parquet", {"path": part}, schema)))
     points = f"{folder}/points"
-    upsert_points(instants(inputs.writes(), "ts"), 0, points)
-    compact_points(spark, points)
+    upsert_points(instants(inputs.writes(), "ts"), points)
     before = read_points(spark, points).count()
     for k, half in enumerate(halves):
         S.run_ingest(
             half.raw().select("value", "arrival"), points, ("parquet", {"path": f"{folder}/processed"}),
             ("parquet", {"path": f"{folder}/dlq"}), f"{folder}/checkpoint{k}", NOW,
         ).awaitTermination()
-        S.stream_views(half.views(), f"{folder}/views", f"{folder}/view-checkpoint{k}", trigger=NOW).awaitTermination()
+        S.stream_views(half.views(), f"{folder}/views", f"{folder}/view-checkpoint{k}", gap="1 day", trigger=NOW).awaitTermination()
     parsed = ingest.parse_telemetry(inputs.raw().select("value", "arrival"))
     events = ingest.valid_telemetry(parsed)
     new = ingest.to_points(events).select("device_id", "ts").distinct()
@@ -182,7 +198,7 @@ def test_a_new_run_overwrites_nothing(spark, inputs):
     assert read_points(spark, points).count() == both.count()
     assert spark.read.parquet(f"{folder}/processed").count() == events.count()
     assert spark.read.parquet(f"{folder}/dlq").count() == ingest.dead_letters(parsed).count()
-    kept = S.throttled(spark, f"{folder}/views", inputs.views().schema, "1 day")
+    kept = S.view_history(spark, f"{folder}/views", inputs.views().schema)
     assert rows(kept) == rows(views.throttle_views(inputs.views(), "1 day"))
 
 
@@ -191,23 +207,23 @@ def test_order_of_arrival_and_lost_order(spark, inputs):
     schema = "device_id string, ts timestamp, current_temperature double, target_temperature double, heating_status int, partition int, arrival long"
     at = instants(inputs.points(), "ts").first()["ts"]
     spark_rows = [("d", at, 1.0, None, 0, 0, 5), ("d", at, 2.0, None, 1, 1, 5), ("d", at, None, 9.0, 1, 0, 7), ("e", at, 4.0, 5.0, 1, None, None)]
-    upsert_points(spark.createDataFrame(spark_rows, schema), 0, path)
+    upsert_points(spark.createDataFrame(spark_rows, schema), path)
     got = {r.device_id: r for r in read_points(spark, path).collect()}
     assert (got["d"].current_temperature, got["d"].target_temperature) == (2.0, 9.0)
     assert (got["e"].current_temperature, got["e"].target_temperature, got["e"].heating_status) == (4.0, 5.0, 1)
     with pytest.raises(ValueError):
-        upsert_points(spark.createDataFrame(spark_rows, schema).drop("arrival"), 1, path)
+        upsert_points(spark.createDataFrame(spark_rows, schema).drop("arrival"), path)
 
 
 def test_history_over_the_store_reads_its_days_only(spark, inputs):
     path = shared_dir(spark, "days")
-    upsert_points(instants(inputs.points(), "ts"), 0, path)
+    upsert_points(instants(inputs.points(), "ts"), path)
     history = series.telemetry_history(read_points(spark, path), "-24h", "2024-01-31 00:00:00")
     plan = history._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan
 
 
-@pytest.fixture(scope="module", params=[(1, "64"), (80, "7"), (200, "64"), (12, "1")])
+@pytest.fixture(scope="module", params=[(1, "64"), (80, "20"), (200, "64")])
 def shuffled(request, spark):
     """The events as files in no order of time: (number of files, files per trigger)."""
     files, limit = request.param
@@ -225,9 +241,9 @@ def test_streams_do_not_depend_on_order_or_cuts(spark, shuffled, inputs):
     late = lambda x: x.replayed_points()
     asked = claims.valid_claims(shuffled().claims())
     for query in [
-        S.stream_views(shuffled().views(), *at("views"), trigger=NOW),
-        S.run_view_tracking(shuffled().views(), everyone, *at("tracking"), NOW),
-        S.stream_claims(shuffled().codes(), asked, *at("claims"), NOW),
+        S.stream_views(shuffled().views(), *at("views"), gap="1 day", trigger=NOW),
+        S.run_view_tracking(shuffled().views(), everyone, *at("tracking"), "1 day", NOW),
+        S.stream_claims(shuffled().codes(), asked, *at("claims"), CLAIM_LIFE, NOW),
         S.stream_history(instants(shuffled().points(), "ts"), "1 hour", *at("history"), NOW),
         S.stream_staleness(instants(shuffled().points(), "ts"), *at("spans"), "3 hours", "1 day", NOW),
         S.stream_late_arrivals(late(shuffled()), *at("late"), NOW),
@@ -236,10 +252,10 @@ def test_streams_do_not_depend_on_order_or_cuts(spark, shuffled, inputs):
     log = lambda name: at(name)[0]
     want = rows(views.throttle_views(inputs.views(), "1 day"))
     schema = inputs.views().schema
-    assert rows(S.throttled(spark, log("views"), schema, "1 day")) == want
-    assert rows(S.throttled(spark, log("tracking"), schema, "1 day")) == want
+    assert rows(S.view_history(spark, log("views"), schema)) == want
+    assert rows(S.view_history(spark, log("tracking"), schema)) == want
     resolved = claims.resolve_claims(inputs.codes(), claims.valid_claims(inputs.claims()), CLAIM_LIFE)
-    got = S.resolved(spark, log("claims"), asked.schema["claimed_at"].dataType, CLAIM_LIFE)
+    got = S.claim_answers(spark, log("claims"), asked.schema["claimed_at"].dataType)
     assert rows(got.select(*resolved.columns)) == rows(resolved)
     batch = instants(inputs.points(), "ts")
     assert rows(S.history(spark, log("history"))) == rows(series.bucket_means(batch, "1 hour"))
