@@ -11,6 +11,7 @@ its estimated size allows, and AQE splits skewed left partitions otherwise.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clock, interval, is_blank, parse_double, utf16_length
@@ -90,6 +91,40 @@ def enrich(points: DataFrame, devices: DataFrame) -> DataFrame:
     return points.join(known, "device_id", "left")
 
 
+def enrich_as_of(points: DataFrame, versions: DataFrame, slice_: str = "1 day") -> DataFrame:
+    """Points with the name and stored target that their device had at the time of the reading, if any.
+
+    ``versions`` has (device_id, valid_from, seq, name, target_temperature): what a device was called from then on;
+    of versions from the same moment that with the highest seq counts.  Points and versions of a device are put in order
+    within time slices; a slice begins with one row, the version that the slices before it leave.  So neither a busy
+    device nor one that is renamed often is worked on as a whole.
+    """
+    named = F.struct("seq", F.col("name").alias("known_name"), F.col("target_temperature").alias("stored_target"))
+    own = versions.filter(F.col("valid_from").isNotNull()).select(
+        "device_id", F.col("valid_from").alias("_at"), F.lit(0).alias("_row"), F.col("seq").alias("_seq"), named.alias("_version")
+    )
+    asked = points.withColumns({"_at": F.col("ts"), "_row": F.lit(1)})
+    untimed = asked.filter(F.col("_at").isNull()).drop("_at", "_row")
+    slice_start = F.window("_at", slice_).start
+    cut = own.withColumn("_slice", slice_start)
+    timed = asked.filter(F.col("_at").isNotNull()).withColumn("_slice", slice_start)
+    last = cut.groupBy("device_id", "_slice").agg(F.max_by("_version", F.struct("_at", "_seq")).alias("_version"))
+    slices = last.unionByName(timed.select("device_id", "_slice").distinct(), allowMissingColumns=True)
+    each = slices.groupBy("device_id", "_slice").agg(F.first("_version", ignorenulls=True).alias("_version"))
+    before = W.partitionBy("device_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    lead = each.select(
+        "device_id", "_slice", F.lit(-1).alias("_row"), F.last("_version", ignorenulls=True).over(before).alias("_version")
+    ).filter(F.col("_version").isNotNull())
+    order = W.partitionBy("device_id", "_slice").orderBy(F.col("_row") >= 0, "_at", "_row", "_seq")
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    every = timed.unionByName(cut, allowMissingColumns=True).unionByName(lead, allowMissingColumns=True)
+    found = every.withColumn("_known", F.last("_version", ignorenulls=True).over(so_far)).filter("_row = 1")
+    result = found.select(
+        *points.columns, F.col("_known.known_name").alias("name"), F.col("_known.stored_target").alias("stored_target")
+    )
+    return result.unionByName(untimed, allowMissingColumns=True)
+
+
 def hvac_status(enriched: DataFrame) -> DataFrame:
     """HEATING, COOLING or IDLE from the reading and its effective target."""
     stored = F.when(

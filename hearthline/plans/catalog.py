@@ -13,8 +13,9 @@ from ..operators import access, claims, devices, ingest, series, tables, views
 from ..session import shared_dir
 from ..sources.events import read_events, write_events
 from ..sources.points import purge_stored, read_points, upsert_points
+from ..sources.registry import change_registry, read_registry, write_registry
 from . import flows
-from .input_sql import over
+from .input_sql import _device, over
 from .inputs import AS_OF, BRIDGE, CLAIM_LIFE, UNALIGNED_AS_OF, Inputs
 
 
@@ -177,10 +178,30 @@ def devices_seen_count(x: Inputs) -> DataFrame:
     return ingest.devices_seen_count(x.messages())
 
 
-@query()
+@query(over("routed", "SELECT count(DISTINCT key) AS devices, true AS close FROM routed WHERE key <> ''"))
 def devices_seen_approximate(x: Inputs) -> DataFrame:
-    """The sketch's estimate of ``devices_seen_count``, within 5 % as a rule."""
-    return ingest.devices_seen_count(x.messages(), approximate=True)
+    """Whether the sketch's estimate is within 5 % of the exact number, or 1 of a small one."""
+    exact = ingest.devices_seen_count(x.messages())
+    about = ingest.devices_seen_count(x.messages(), approximate=True).select(F.col("devices").alias("about"))
+    return exact.crossJoin(about).select("devices", _close("about", "devices"))
+
+
+def _close(about: str, exact: str):
+    return (F.abs(F.col(about) - F.col(exact)) <= F.greatest(F.lit(1.0), 0.05 * F.col(exact))).alias("close")
+
+
+@query(
+    f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT {_device('user_id')}) AS devices, true AS close FROM events
+        WHERE event_id % 5 IN (0, 4) GROUP BY 1"""
+)
+def stream_devices_seen(x: Inputs) -> DataFrame:
+    """Sketches that a stream keeps by batch and day, merged by day, against exact numbers."""
+    folder, checkpoint = _log(x, "seen")
+    S.stream_devices_seen(stream_of(x).messages(), folder, checkpoint, S.AVAILABLE_NOW).awaitTermination()
+    about = S.devices_seen_by_day(x.spark, folder).select("day", F.col("devices").alias("about"))
+    seen = ingest.route_messages(x.messages()).filter("route = 'telemetry' AND key <> ''")
+    exact = seen.groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("key").alias("devices"))
+    return exact.join(about, "day", "left").select(F.col("day").cast("string").alias("day"), "devices", F.coalesce(_close("about", "devices"), F.lit(False)).alias("close"))
 
 
 # --- series ---------------------------------------------------------------
@@ -896,6 +917,7 @@ def _ingest(x: Inputs) -> str:
         ("parquet", {"path": f"{folder}/dlq"}),
         f"{folder}/checkpoint",
         {"availableNow": True},
+        metrics_path=f"{folder}/metrics",
     ).awaitTermination()
     return folder
 
@@ -906,6 +928,13 @@ def run_ingest(x: Inputs) -> DataFrame:
     return plain(read_points(x.spark, f"{_ingest(x)}/points").drop("arrival_ts", "partition", "date"))
 
 
+@query(over("parsed", "SELECT count(*) FILTER (valid) AS telemetry_valid, count(*) FILTER (NOT valid) AS telemetry_invalid FROM parsed"))
+def run_ingest_counts(x: Inputs) -> DataFrame:
+    """Valid and invalid records as the ingest job counts them, from the rows it keeps by batch."""
+    kept = x.spark.read.parquet(f"{_ingest(x)}/metrics")
+    return kept.agg(F.sum("telemetry_valid").alias("telemetry_valid"), F.sum("telemetry_invalid").alias("telemetry_invalid"))
+
+
 @query(over("parsed", f"SELECT device_id AS key, {_ENCODED} AS value FROM parsed WHERE valid"))
 def run_ingest_processed(x: Inputs) -> DataFrame:
     return x.spark.read.parquet(f"{_ingest(x)}/processed").select("key", "value")
@@ -1032,6 +1061,109 @@ def stream_late_arrivals(x: Inputs) -> DataFrame:
     return S.lateness(x.spark, log, points.schema, "10 minutes")
 
 
+@query(
+    over(
+        "points",
+        f"""SELECT * FROM ({_intervals_sql("3 hours")}) i
+            WHERE stale_from <= (SELECT date_trunc('millisecond', max(ts)) FROM points)""",
+    )
+)
+def stream_stale_alarms(x: Inputs) -> DataFrame:
+    """Devices that have gone silent, said by event-time timers when it happens."""
+    return plain(S.drain(x.spark, S.stale_alarms(instants(stream_of(x).points(), "ts"), "3 hours"), "alarms"))
+
+
+@query(over("replayed_points", _LATE))
+def stream_judged(x: Inputs) -> DataFrame:
+    """Readings on time and late ones, told apart on the stream, from both of their tables."""
+    folder, checkpoint = _log(x, "judged")
+    points = instants(stream_of(x).replayed_points(), "ts", "arrival_ts")
+    S.stream_judged(points, folder, checkpoint, "10 minutes", S.AVAILABLE_NOW).awaitTermination()
+    tables_ = [x.spark.read.parquet(f"{folder}/{name}").drop("run", "batch") for name in ("on_time", "late")]
+    return plain(tables_[0].unionByName(tables_[1]))
+
+
+@query(over("replayed_points", f"SELECT count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late FROM ({_LATE}) l"))
+def stream_judged_counts(x: Inputs) -> DataFrame:
+    """How many readings were on time and late, by the stream's own count of each batch."""
+    folder, checkpoint = _log(x, "counted")
+    points = instants(stream_of(x).replayed_points(), "ts", "arrival_ts")
+    S.stream_judged(points, folder, checkpoint, "10 minutes", S.AVAILABLE_NOW).awaitTermination()
+    return x.spark.read.parquet(f"{folder}/counts").agg(F.sum("on_time").alias("on_time"), F.sum("late").alias("late"))
+
+
+@query(
+    over(
+        "points",
+        f"""SELECT * FROM ({_history_sql("15 minutes")}) h WHERE "timestamp" <=
+            (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM points)""",
+    )
+)
+def stream_closed_means(x: Inputs) -> DataFrame:
+    """Bucket means that a stream gives out once the watermark has passed the bucket."""
+    means = S.closed_means(instants(stream_of(x).points(), "ts"), "15 minutes", "10 minutes")
+    return plain(S.drain(x.spark, means, "means"))
+
+
+_AS_OF_SQL = over(
+    "points devices",
+    """SELECT p.*, v.name, v.target_temperature AS stored_target
+       FROM points p ASOF LEFT JOIN versions v ON p.device_id = v.device_id AND p.ts >= v.valid_from""",
+    f"""versions AS (
+        SELECT device_id, valid_from, arg_max(name, seq) AS name, arg_max(target_temperature, seq) AS target_temperature
+        FROM (SELECT device_id, TIMESTAMP '2024-01-03 00:00:00' AS valid_from, -1 AS seq, name,
+                     coalesce(target_temperature, 0) AS target_temperature FROM devices
+              UNION ALL SELECT {_device('user_id')}, ts, event_id, 'Room ' || event_id, CAST(15 + event_id % 10 AS DOUBLE)
+              FROM events WHERE event_type = 'click') w
+        GROUP BY 1, 2)""",
+)
+
+
+@query(_AS_OF_SQL)
+def enrich_as_of(x: Inputs) -> DataFrame:
+    """Readings with the name and target of their device at that time."""
+    return devices.enrich_as_of(x.points(), x.device_versions())
+
+
+@query(_AS_OF_SQL)
+def run_enrich(x: Inputs) -> DataFrame:
+    """The same on a stream, against the stored versions of the registry."""
+    folder, checkpoint = _log(x, "enriched")
+    versions = f"{folder}/versions"
+    x.device_versions().write.parquet(versions)
+    S.run_enrich(stream_of(x).points(), versions, f"{folder}/out", checkpoint, S.AVAILABLE_NOW).awaitTermination()
+    return x.spark.read.parquet(f"{folder}/out").drop("run", "batch")
+
+
+def _changed_registry(x: Inputs, touched: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    path = shared_dir(x.spark, "registry")
+    write_registry(instants(x.devices(), "deactivated_at"), path)
+    change_registry(x.spark, path, touched, lambda old: instants(change(plain(old)), "deactivated_at"))
+    return plain(read_registry(x.spark, path))
+
+
+@query(CATALOG["soft_delete"].sql)
+def registry_soft_delete(x: Inputs) -> DataFrame:
+    """Soft deletion as a job: buckets of the stored registry that change are written again."""
+    return _changed_registry(x, x.commands(), lambda old: devices.soft_delete(old, x.commands(), AS_OF))
+
+
+@query(CATALOG["apply_commands"].sql)
+def registry_commands(x: Inputs) -> DataFrame:
+    return _changed_registry(x, x.commands(), lambda old: devices.apply_commands(old, x.commands()))
+
+
+@query(CATALOG["retain_devices"].sql)
+def registry_retention(x: Inputs) -> DataFrame:
+    gone = devices.expired_devices(x.devices(), AS_OF)
+    return _changed_registry(x, gone, lambda old: devices.retain_devices(old, AS_OF))
+
+
+@query(CATALOG["provision"].sql)
+def registry_provision(x: Inputs) -> DataFrame:
+    return _changed_registry(x, _claimed(x), lambda old: devices.provision(old, _claimed(x)))
+
+
 @query(over("points", _history_sql("15 minutes", f"TIMESTAMP '{AS_OF}' - INTERVAL '24 hours'", f"TIMESTAMP '{AS_OF}'")))
 def history_from_store(x: Inputs) -> DataFrame:
     """The last day's history out of the points table; only its days are read."""

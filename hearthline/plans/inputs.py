@@ -245,6 +245,24 @@ class Inputs:
             F.col("event_id").alias("seq"),
         )
 
+    def device_versions(self) -> DataFrame:
+        """What devices were called and set to: as in the registry from the third day on, renamed by each click."""
+        loaded = self.devices().select(
+            "device_id",
+            F.lit("2024-01-03 00:00:00").cast("timestamp_ntz").alias("valid_from"),
+            F.lit(-1).cast("long").alias("seq"),
+            "name",
+            F.coalesce("target_temperature", F.lit(0.0)).alias("target_temperature"),
+        )
+        renamed = self.events.filter("event_type = 'click'").select(
+            device_id("user_id").alias("device_id"),
+            F.col("ts").alias("valid_from"),
+            F.col("event_id").alias("seq"),
+            F.concat(F.lit("Room "), F.col("event_id").cast("string")).alias("name"),
+            F.expr("CAST(15 + event_id % 10 AS DOUBLE)").alias("target_temperature"),
+        )
+        return loaded.unionByName(renamed)
+
     def purges(self) -> DataFrame:
         """Purge events: those of expired devices, and faulty ones of other customers."""
         cutoff = F.lit(AS_OF).cast("timestamp_ntz") - F.expr("INTERVAL '30' DAY")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.devices import enrich_as_of
 from ..operators.ingest import (
     dead_letters,
     device_id_guard,
@@ -16,10 +17,11 @@ from ..operators.ingest import (
     parse_telemetry,
     to_points,
     valid_telemetry,
+    validity_counts,
 )
 from ..operators.views import VIEW_GAP, trackable_views, valid_views
 from ..session import shared_dir
-from ..sources.events import read_folders, run_of, write_events
+from ..sources.events import read_folders, run_of, write_batch, write_events
 from ..sources.points import purge_stored, upsert_points
 from .logs import start, stream_views
 
@@ -36,12 +38,14 @@ def run_ingest(
     checkpoint: str,
     trigger: dict | None = None,
     purges_path: str | None = None,
+    metrics_path: str | None = None,
 ) -> StreamingQuery:
     """Raw JSON readings to the points table, keyed processed records and dead letters.
 
     ``source`` has (value, arrival) and may have arrival_ts.  There is no
     watermark: late readings are stored like any others.  With the log of ``run_purge`` at ``purges_path``, readings
-    that had arrived before a purge of their device are not stored.
+    that had arrived before a purge of their device are not stored.  With ``metrics_path``, the numbers of valid
+    and invalid records of each batch are kept there, counted while the batch is written.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -54,6 +58,8 @@ def run_ingest(
             upsert_points(to_points(events), points_path, purges)
             write_events(keyed_records(events), *processed, batch_id, run)
             write_events(dead_letters(parsed), *dlq, batch_id, run)
+            if metrics_path:
+                write_batch(validity_counts(parsed), "parquet", {"path": metrics_path}, batch_id, run)
         finally:
             parsed.unpersist()
 
@@ -109,6 +115,22 @@ def stream_trackable_views(views: DataFrame, devices: DataFrame) -> DataFrame:
     return trackable_views(valid_views(views), devices)
 
 
+def run_enrich(
+    points: DataFrame, versions_path: str, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Readings with the name and target that the registry's versions give for their time.
+
+    ``versions_path`` is a Parquet table as ``enrich_as_of`` needs it; it is read anew for each batch, so what is
+    added to it counts from the next batch on."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = enrich_as_of(batch, spark.read.parquet(versions_path))
+        write_batch(known, "parquet", {"path": path}, batch_id, run_of(spark))
+
+    return start(points, write, checkpoint, trigger)
+
+
 def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run ``stream`` over all available input and return what it wrote."""
     folder = shared_dir(spark, name)
