@@ -7,12 +7,12 @@ are never kept and part no stretch.  Such parts are told by their element, or by
 role; a word does not count on headings, paragraphs, articles and main parts.  Nor
 does it on what is wrapped around one, but for comments (where other text is marked), and for
 articles outside a main part.  Where a page marks an article or main part, lines
-outside weigh nothing and link text inside counts too.  Over the lines runs a window of ``WINDOW``
+outside weigh nothing and are not kept, and link text inside counts too.  Over the lines runs a window of ``WINDOW``
 lines whose weights are summed.  A surge is where the sum rises from nothing, the
 dive where it is nothing again: the lines in between, from the first to the last
 that weighs something, are a stretch.  The stretches kept are those whose
 highest sum reaches ``SURGE`` characters, or half the page's highest sum where that is
-less; in a marked article, all of them.  Of a shorter stretch those lines are kept, with what
+less; where an article is marked, all of them.  Of a shorter stretch those lines are kept, with what
 is between them, that lie in a container with a kept stretch: directly, or as headings
 anywhere below it (below body only directly).  Containers of a stretch are the innermost element
 around most of its weight, and those right around its lines that weigh enough to be kept alone.
@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .html import Element, Line, lines
-from .tables import long_texts, table
+from .html import Element, parsed
+from .tables import free_name, long_texts, quoted, table
 
 WINDOW = 3
 SURGE = 86
@@ -71,34 +71,42 @@ TEXT = {"html", "body", "p"} | HEADINGS
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "center", "td", "details"}
 
 
-def _in_main(path: tuple[Element, ...]) -> bool:
-    return any(e.name == "article" or e.is_main for e in path)
-
-
-def _of_comments(path: tuple[Element, ...]) -> bool:
-    return any(e.words & COMMENTS and e.name not in TEXT and not (e.is_main or e.holds_main) for e in path)
-
-
-def _is_aside(path: tuple[Element, ...], main: bool, article: bool) -> bool:
-    """``main``: the page has a main part; ``article``: it has a main part or article that is not of comments."""
-    inside = inside_main = False
-    for e in path:
-        inside_main = inside_main or e.is_main
-        inside = inside or inside_main or e.name == "article"
-        if e.is_main or e.holds_main:
-            continue
-        if e.name in ASIDE or e.name == "header" and not inside:
-            if not (e.holds_article and e.name in WRAPS):
-                return True
-        elif e.name == "article" or e.holds_article:
-            # Comments may be articles, and so may teasers in a sidebar beside the main part.
-            if e.words & COMMENTS and article:
-                return True
-            if e.name != "article" and (e.hidden or e.words & MARKS) and main and not inside_main and e.name not in TEXT:
-                return True
-        elif e.hidden and e.name not in ("html", "body") or e.words & MARKS and e.name not in TEXT:
+class Place:
+    """What holds for the lines in an element, by the elements around it."""
+
+    __slots__ = ("aside", "container", "depth", "first", "heading", "in_main", "inside", "inside_main", "jump", "last", "of_comments", "parent", "whole")
+
+    def __init__(self, e: Element, parent: Place | None) -> None:
+        self.parent = parent
+        up = parent or self
+        self.depth = parent.depth + 1 if parent else 0
+        # Jumps that let any place above be found in a few steps.
+        self.jump = up.jump.jump if parent and up.depth - up.jump.depth == up.jump.depth - up.jump.jump.depth else up
+        self.inside_main = e.is_main or bool(parent and parent.inside_main)
+        self.in_main = self.inside = self.inside_main or e.name == "article" or bool(parent and parent.in_main)
+        self.of_comments = bool(parent and parent.of_comments) or bool(
+            e.words & COMMENTS and e.name not in TEXT and not (e.is_main or e.holds_main)
+        )
+        self.heading = e.name in HEADINGS or bool(parent and parent.heading)
+        self.container = self if e.name in CONTAINERS or not parent else parent.container
+        self.aside = self.whole = False
+        self.first = self.last = -1
+
+
+def _is_aside(e: Element, at: Place, main: bool, article: bool) -> bool:
+    """Whether the element itself is an aside.  ``main``: the page has a main part; ``article``: it has a main
+    part or article that is not of comments."""
+    if e.is_main or e.holds_main:
+        return False
+    if e.name in ASIDE or e.name == "header" and not at.inside:
+        return not (e.holds_article and e.name in WRAPS)
+    if e.name == "article" or e.holds_article:
+        # Comments may be articles, and so may teasers in a sidebar beside the main part.
+        if e.words & COMMENTS and article:
             return True
-    return False
+        marked = e.name != "article" and (e.hidden or e.words & MARKS)
+        return bool(marked and main and not at.inside_main and e.name not in TEXT)
+    return bool(e.hidden and e.name not in ("html", "body") or e.words & MARKS and e.name not in TEXT)
 
 
 def stretches(weights: list[int], least: float) -> list[tuple[int, int]]:
@@ -119,60 +127,67 @@ def stretches(weights: list[int], least: float) -> list[tuple[int, int]]:
     return found
 
 
-def _around(line: Line) -> list[Element | None]:
-    """The containers around a line, outermost first; None is the page."""
-    return [None, *(e for e in line.path if e.name in CONTAINERS)]
-
-
-def _joined(got: list[Line], weights: list[int], kept: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
+def _joined(
+    at: list[Place], places: list[tuple[Element, Place]], weights: list[int], kept: list[tuple[int, int]], least: float
+) -> list[tuple[int, int]]:
     """[first, end) of what shorter stretches have in containers of ``kept`` ones."""
     if not kept:
         return []
-    shared: set[Element | None] = set()
+    total = np.concatenate([[0], np.cumsum(weights)])
+    for i, p in enumerate(at):
+        p.first, p.last = (i if p.first < 0 else p.first), i
+    for _, p in reversed(places[1:]):
+        if p.first >= 0:
+            up = p.parent
+            up.first, up.last = (p.first if up.first < 0 else min(up.first, p.first)), max(up.last, p.last)
+    shared: set[Place] = set()
     for a, b in kept:
-        inside: dict[Element | None, int] = {}
-        for i in range(a, b):
-            around = _around(got[i])
-            for e in around:
-                inside[e] = inside.get(e, 0) + weights[i]
-            if weights[i] > least:
-                shared.add(around[-1])
-        # Outer ones come first: the last that holds more than half is the innermost.
-        half = sum(weights[a:b]) / 2
-        shared.add([e for e, w in inside.items() if w > half][-1])
-    whole = {e for e in shared if e and e.name not in ("html", "body")}
+        shared.update(at[i].container for i in range(a, b) if weights[i] > least)
+        half = (total[b] - total[a]) / 2
+
+        def most(p: Place, a: int = a, b: int = b, half: float = half) -> bool:
+            return total[min(b, p.last + 1)] - total[max(a, p.first)] > half
+
+        # What holds more than half of the weight holds the line in the middle of it.
+        p = at[int(np.searchsorted(total, total[a] + half, "right")) - 1]
+        while not most(p):
+            p = p.parent if most(p.jump) else p.jump
+        shared.add(p.container)
+    for e, p in places[1:]:
+        p.whole = p.parent.whole or (p in shared and e.name not in ("html", "body"))
     found, known = [], set(kept)
     for a, b in stretches(weights, 0):
-        if (a, b) in known:
-            continue
-        near = []
-        for i in range(a, b):
-            around = _around(got[i])
-            heading = any(e.name in HEADINGS for e in got[i].path) and any(e in whole for e in around)
-            if weights[i] and (around[-1] in shared or heading):
-                near.append(i)
-        if near:
-            found.append((near[0], near[-1] + 1))
+        if (a, b) not in known:
+            near = [i for i in range(a, b) if weights[i] and (at[i].container in shared or at[i].heading and at[i].whole)]
+            if near:
+                found.append((near[0], near[-1] + 1))
     return found
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    got: list[Line] = lines(page)
-    has_main = any(e.is_main for x in got for e in x.path)
-    has_article = any(_in_main(x.path) and not _of_comments(x.path) for x in got)
-    got = [x for x in got if not _is_aside(x.path, has_main, has_article)]
-    main = [x for x in got if _in_main(x.path)]
-    if main:
-        # Every line weighs something: all are one stretch.
-        return "\n".join(x.text for x in main)
-    weights = [max(0, len(x.text) - x.link_chars) for x in got]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    least = min(SURGE - 1, max(sums, default=0) / 2)
+    got, elements = parsed(page)
+    of: dict[Element, Place] = {}
+    for e in elements:
+        of[e] = Place(e, of.get(e.parent))
+    lines = [(x, of[x.at]) for x in got]
+    has_main = any(p.inside_main for _, p in lines)
+    has_article = any(p.in_main and not p.of_comments for _, p in lines)
+    for e, p in of.items():
+        p.aside = bool(p.parent and p.parent.aside) or _is_aside(e, p, has_main, has_article)
+    lines = [(x, p) for x, p in lines if not p.aside]
+    marked = any(p.in_main for _, p in lines)
+    if marked:
+        weights = [len(x.text) if p.in_main else 0 for x, p in lines]
+    else:
+        weights = [max(0, len(x.text) - x.link_chars) for x, _ in lines]
+    sums = np.convolve(weights, np.ones(WINDOW, np.int64)) if weights else [0]
+    least = 0 if marked else min(SURGE - 1, max(sums) / 2)
     kept = stretches(weights, least)
-    kept = sorted(kept + _joined(got, weights, kept, least))
-    return "\n".join(got[i].text for a, b in kept for i in range(a, b))
+    if not marked:
+        kept = sorted(kept + _joined([p for _, p in lines], list(of.items()), weights, kept, least))
+    return "\n".join(lines[i][0].text for a, b in kept for i in range(a, b) if lines[i][1].in_main or not marked)
 
 
 def _texts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -186,10 +201,11 @@ def article(html: Column) -> Column:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``pages`` with text and n_chars."""
+    """``pages`` with text and n_chars, in the place of columns of these names."""
+    text = free_name(pages, "text")
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    return pages.withColumn("text_", article(F.col("html"))).select(
-        *kept, F.col("text_").alias("text"), F.char_length("text_").cast("long").alias("n_chars")
+    return pages.withColumn(text, article(F.col("html"))).select(
+        *[quoted(c) for c in kept], F.col(text).alias("text"), F.char_length(text).cast("long").alias("n_chars")
     )
 
 

@@ -2,7 +2,9 @@
 
 A block element begins and ends a line.  Character references are decoded,
 white space inside a line becomes one space.  Comments, scripts, styles and the
-like have no text.  Broken markup (unclosed or stray tags) is read as it stands.
+like have no text, nor have drawings and what stands in for objects; these end with the element around them
+if they are not closed.  Formulas have text.  A quote opens a string only where a value begins.  Broken markup
+(unclosed or stray tags) is read as it stands, in time in proportion to the page however deep it nests.
 A link is an a with href.  It ends at its end tag, at the next a, or with the block around it;
 where the next a comes before any end tag, it ends with the line.
 """
@@ -11,16 +13,19 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([a-zA-Z_:][\w:.-]*)", re.S)
 # Element names of the HTML standard.
-RAW = {"script", "style", "noscript", "template", "iframe", "object", "textarea", "title", "svg", "math", "canvas"}
+RAW = {"script", "style", "iframe", "textarea", "title"}
+#: Elements whose content is markup that is not shown.
+UNSHOWN = {"noscript", "template", "object", "svg", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details",
@@ -32,12 +37,14 @@ BLOCK = {
 #: An open p ends where one of these begins.
 ENDS_P = BLOCK - {"button", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "head", "body"}
 SPACE = re.compile(r"\s+")
+CLOSE = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 
 
 @dataclass(eq=False)
 class Element:
     name: str
+    parent: Element | None = None
     #: Words of class, id and role.
     words: frozenset[str] = frozenset()
     #: Marked as not shown.
@@ -55,8 +62,8 @@ class Element:
 class Line:
     text: str
     link_chars: int
-    #: The open elements, outermost first.
-    path: tuple[Element, ...]
+    #: The innermost open element.
+    at: Element
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -73,8 +80,17 @@ def tidy(parts: list[str]) -> str:
 
 def lines(page: str) -> list[Line]:
     """All lines with text, in page order."""
+    return parsed(page)[0]
+
+
+def parsed(page: str) -> tuple[list[Line], list[Element]]:
+    """All lines with text in page order, and all elements, outer ones first; the first stands for the page."""
     out: list[Line] = []
-    path: list[Element] = []
+    root = Element("")
+    elements, path = [root], [root]
+    opened: Counter[str] = Counter()
+    #: Place in the path of the outermost element that is not shown, or 0.
+    unshown = 0
     parts: list[str] = []
     linked: list[str] = []
     at, end = 0, len(page)
@@ -85,16 +101,24 @@ def lines(page: str) -> list[Line]:
         if parts:
             text = tidy(parts)
             if text:
-                out.append(Line(text, len(tidy(linked)), tuple(path)))
+                out.append(Line(text, len(tidy(linked)), path[-1]))
             parts.clear()
             linked.clear()
 
     def add(text: str) -> None:
-        if text:
+        if text and not unshown:
             parts.append(text)
             if link >= 0:
                 linked.append(text)
 
+    def push(new: Element) -> None:
+        elements.append(new)
+        path.append(new)
+        opened[new.name] += 1
+
+    def pop() -> None:
+        opened[path.pop().name] -= 1
+
     while at < end:
         m = TOKEN.search(page, at)
         if not m:
@@ -109,49 +133,55 @@ def lines(page: str) -> list[Line]:
         if m.group(1):
             if name == "a":
                 link = -1
-            if name in BLOCK:
-                flush()
-                for k in range(len(path) - 1, -1, -1):
-                    if path[k].name == name:
-                        del path[k:]
-                        break
-                if len(path) < link or not closed:
+            if name in BLOCK or name in UNSHOWN:
+                if opened[name]:
+                    k = len(path) - 1
+                    while path[k].name != name:
+                        k -= 1
+                else:
+                    k = len(path)
+                if name in BLOCK and not (unshown and k > unshown):
+                    flush()
+                while len(path) > k:
+                    pop()
+                if len(path) <= unshown:
+                    unshown = 0
+                if name in BLOCK and (len(path) - 1 < link or not closed):
                     link = -1
         elif name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            close = CLOSE[name].search(page, at)
             if not m.group(3).rstrip().endswith("/"):
                 at = close.end() if close else end
+        elif name in UNSHOWN:
+            if not m.group(3).rstrip().endswith("/"):
+                push(Element(name, path[-1]))
+                unshown = unshown or len(path) - 1
         elif name == "br":
             add(" ")
         elif name == "a":
             link = -1
             if "href" in attributes(m.group(3)):
                 after = ANCHOR.search(page, at)
-                link, closed = len(path), bool(after and after.group(1))
+                link, closed = len(path) - 1, bool(after and after.group(1))
         elif name in BLOCK:
-            flush()
-            if name in ENDS_P and path and path[-1].name == "p":
-                path.pop()
-            if name == "li" and path and path[-1].name == "li":
-                path.pop()
-            if len(path) < link or not closed:
+            if not unshown:
+                flush()
+            if name in ENDS_P and path[-1].name == "p":
+                pop()
+            if name == "li" and path[-1].name == "li":
+                pop()
+            if len(path) - 1 < link or not closed:
                 link = -1
             if name not in VOID:
                 found = attributes(m.group(3)) if m.group(3) else {}
                 marks = " ".join(found.get(k, "") for k in ("class", "id", "role"))
                 words = frozenset(marks.lower().replace("_", "-").split())
-                new = Element(name, words, "hidden" in found or found.get("aria-hidden") == "true")
-                if new.is_main:
-                    for e in path:
-                        e.holds_main = True
-                elif name == "article":
-                    for e in reversed(path):
-                        if e.name == "article":
-                            break
-                        e.holds_article = True
-                path.append(new)
+                push(Element(name, path[-1], words, "hidden" in found or found.get("aria-hidden") == "true"))
     flush()
-    return out
+    for e in reversed(elements[1:]):
+        e.parent.holds_main |= e.is_main or e.holds_main
+        e.parent.holds_article |= (e.name == "article" and not e.is_main) or (e.holds_article and e.name != "article")
+    return out, elements
 
 
 def links(page: str) -> list[tuple[str, str, str]]:
@@ -174,8 +204,8 @@ def links(page: str) -> list[tuple[str, str, str]]:
                 out.append((f"{name.upper()}@/{key}", found[key].strip(), found.get("alt", "") if name == "img" else ""))
                 if name == "a" and key == "href":
                     open_link, start = len(out) - 1, m.end()
-        if name in RAW and name not in ("iframe", "object"):
-            close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, m.end())
+        if name in RAW and name != "iframe":
+            close = CLOSE[name].search(page, m.end())
             at = close.end() if close else len(page)
     return out
 

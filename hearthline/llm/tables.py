@@ -10,6 +10,19 @@ from ..session import shared_dir
 def long_texts(spark: SparkSession) -> None:
     """Whole texts go to Python in small batches: what a task holds is bounded by their number."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that begins so and that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

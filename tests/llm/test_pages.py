@@ -1,7 +1,9 @@
 import base64
 import hashlib
 import json
+import random
 import re
+import time
 from html import unescape
 
 from hearthline.llm import extraction, warc
@@ -155,3 +157,56 @@ def test_short_stretches_of_a_kept_container():
     page = f"<div><div><h1>Head</h1></div>{share}<p>{long * 9}</p><p>{long}</p>{share}<p>Last words.</p></div>{share}<p>Stray"
     assert extraction.main_text(f"<body>{page}").split("\n") == ["Head", (long * 9).strip(), long.strip(), "Last words."]
     assert extraction.main_text(f"<h1>Head</h1>{share}<p>{long}</p>").split("\n") == ["Head", long.strip()]
+
+
+def test_window_by_window():
+    rng = random.Random(1)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 0, 1, 5, 40, 90]) for _ in range(rng.randrange(25))]
+        least = rng.choice([0, 4, 50, 85])
+        n, w = len(weights), extraction.WINDOW
+        sums = {i: sum(weights[max(0, i) : i + w]) for i in range(-w + 1, n)}
+        want, i = [], -w + 1
+        while i < n:
+            if sums[i] == 0:
+                i += 1
+                continue
+            j = i
+            while j < n and sums[j] > 0:
+                j += 1
+            inside = [k for k in range(max(0, i), min(n, j + w - 1)) if weights[k]]
+            if max(sums[k] for k in range(i, j)) > least:
+                want.append((inside[0], inside[-1] + 1))
+            i = j
+        assert extraction.stretches(weights, least) == want
+
+
+def test_stray_quotes_formulas_and_unclosed_elements():
+    assert extraction.main_text("<article><p class=x don't>One.</p><p title=\"a>b\" alt='c>'>Two.</p></article>") == "One.\nTwo."
+    assert extraction.main_text("<article><p>We have <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here</p></article>") == "We have x=1 here"
+    for name in ("svg", "object", "noscript", "canvas", "template"):
+        for close in (f"</{name}>", ""):
+            page = f"<article><div><p>One <{name} a=b><b>lost</b>{close}</p></div><p>Two.</p></article>"
+            assert extraction.main_text(page) == "One\nTwo.", name
+        assert extraction.main_text(f"<article><p>One <{name}><p>lost</p><div>lost</div></{name}> more</p></article>") == "One more"
+        assert extraction.main_text(f"<article><p>One <{name} /> more</p></article>") == "One more"
+
+
+def test_time_is_in_proportion_to_the_page():
+    for part in ("<div><p>x", "<div>x</p></b></div></div>", "<div><h2>some words</h2><a href=x>y", "<a href=x><svg><p>z", "<main><article>t"):
+        page = part * (1_000_000 // len(part))
+        start = time.process_time()
+        extraction.main_text(page)
+        assert time.process_time() - start < 12, part
+
+
+def test_containers_of_most_weight():
+    long = "A paragraph of the text that is long enough to be one. " * 3
+    deep = "<div>" * 300 + f"<p>{long}</p><p>{long}</p>" + "</div>" * 300
+    assert extraction.main_text(f"<body><div><a href=x>Home</a></div>{deep}").split("\n") == [long.strip()] * 2
+
+
+def test_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>hi", "a", "b", 5)], "page_id long, url string, html string, text_ string, `x.y` string, n_chars int")
+    got = extraction.extract(pages)
+    assert [tuple(r) for r in got.collect()] == [(1, "u", "<p>hi", "a", "b", "hi", 2)]
