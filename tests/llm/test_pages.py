@@ -62,6 +62,49 @@ def digest(raw: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
+def plain_lines(page):
+    """Text of the given pages by hand: all that is no markup, a line for each block."""
+    page = re.sub(r"<(script|style|title)\b.*?</\1>|<!--.*?-->|<!DOCTYPE[^>]*>", "", page, flags=re.S)
+    blocks = re.split(r"</?(?:html|head|body|nav|ul|li|div|article|p|h1|footer|main|section|aside|header)\b[^>]*>", page)
+    text = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " ")))).strip() for b in blocks]
+    return "\n".join(t for t in text if t)
+
+
+def test_any_codec_and_coding(spark):
+    import codecs
+    import encodings.aliases
+    import gzip
+    import zlib
+
+    import zstandard
+
+    for name in sorted({*encodings.aliases.aliases.values(), "utf-7", "unicode_escape", "raw_unicode_escape", "nonsense", "idna", "undefined"}):
+        for body in (b"caf\xe9 +2AA- \\ud800 \xed\xa0\x80", b"plain"):
+            warc.decoded(body, name).encode()
+    assert warc.decoded("日本".encode("shift_jis"), "Shift_JIS") == "日本" and codecs.lookup("latin-1").name in warc.ENCODINGS
+    page = b"<p>One &amp; two</p>" * 50
+    raw = zlib.compressobj(wbits=-15)
+    chunks = b"5;x=y\r\n" + page[:5] + b"\r\n" + f"{len(page) - 5:X}".encode() + b"\r\n" + page[5:] + b"\r\n0\r\n\r\n"
+    cases = [
+        (b"Content-Encoding: gzip", gzip.compress(page)), (b"content-encoding: Deflate", zlib.compress(page)),
+        (b"Content-Encoding: deflate", raw.compress(page) + raw.flush()), (b"Content-Encoding: zstd", zstandard.compress(page)),
+        (b"Transfer-Encoding: chunked", chunks), (b"Content-Encoding: identity", page),
+        (b"Content-Encoding: deflate, gzip", gzip.compress(zlib.compress(page))),
+        (b"Content-Encoding: gzip", b"no gzip"), (b"Content-Encoding: br", page), (b"Transfer-Encoding: chunked", b"zz\r\n"),
+        (b"Content-Encoding: zstd", b"no zstd"), (b"Transfer-Encoding: chunked", b"ff\r\nshort\r\n0\r\n\r\n"),
+    ]
+    rows = [(f"<{k}>", "u", "d", [("WARC-Block-Digest", f"md5:{k}")], b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + h + b"\r\n\r\n" + b) for k, (h, b) in enumerate(cases)]
+    responses = spark.createDataFrame(rows, "record_id string, target_uri string, date string, warc_headers array<struct<name:string,value:string>>, block binary")
+    got = warc.derivatives(responses).collect()
+    text = {r.refers_to: r.block for r in got if r.warc_type == "conversion"}
+    assert text == {f"<{k}>": "\n".join(["One & two"] * 50) for k in range(7)}
+    meta = {r.refers_to: r for r in got if r.warc_type == "metadata"}
+    assert len(meta) == len(cases)
+    for k, (_, body) in enumerate(cases):
+        r = meta[f"<{k}>"]
+        assert (r.payload_digest, r.source_block_digest) == (digest(body), f"md5:{k}") and r.source_headers[0].value == f"md5:{k}"
+
+
 def test_derivatives_of_pages(spark, table):
     pages = table("pages")
     sources = {r.record_id: r for r in warc.responses_of(pages).collect()}
@@ -75,8 +118,9 @@ def test_derivatives_of_pages(spark, table):
         assert (r.target_uri, r.date) == (source.target_uri, source.date)
         assert (r.block_digest, r.content_length, r.payload_digest) == (digest(raw), len(raw), digest(body))
         assert [f"{h.name}: {h.value}" for h in r.headers] == head.decode().split("\r\n")[1:]
+        assert [tuple(h) for h in r.source_headers] == [tuple(h) for h in source.warc_headers]
         if r.warc_type == "conversion":
-            assert r.block == "\n".join(x.text for x in lines(body.decode()))
+            assert r.block == plain_lines(body.decode())
         else:
             meta = json.loads(r.block)
             http = meta["HTTP-Response-Metadata"]
