@@ -6,10 +6,10 @@ words after it in its piece, padded with nulls at the end of the piece.  Spark's
 window's columns then sums the counts of longer windows to those of their beginnings, so a
 word, a pair and a triple are counted from the same rows.
 
-1. Words are counted.  A phrase is no more frequent than its rarest word, so words below
-   ``LEAST`` occurrences end windows like the end of a piece does.  Tasks know them from a
-   Bloom filter of the frequent words, of a fixed size: what it lets through wrongly, and with a very large
-   vocabulary that may be much, is more work and changes no count.
+1. A phrase is no more frequent than its parts, so runs of one, then two, then three words are counted before,
+   words as they are and longer runs of frequent parts as numbers only, and windows end where they get below ``LEAST``, like at the
+   end of a piece.  Tasks know the frequent runs from Bloom filters of a fixed size: what these let through
+   wrongly, and with very many frequent runs that may be much, is more work and changes no count.
 2. Windows of what is left are counted, first within blocks of texts, and rolled up.
 3. Phrases with a >= ``LEAST`` occurrences are candidates.  Cut after its first k words, a phrase
    scores floor(1000000 a a / (l r)) with l and r the counts of its parts; the lowest cut
@@ -40,7 +40,7 @@ LEAST = 10
 HALF = 50  # percent
 TOP = 2000
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
-#: Bits of the filter of frequent words: 8 MB, whatever the size of the corpus.
+#: Bits of each filter: 8 MB, whatever the size of the corpus.
 FILTER_BITS = 1 << 26
 _FILTER_PART = 1 << 15  # bytes
 BLOCK = 1 << 20  # bytes of text counted at once, unless one text is longer
@@ -122,58 +122,87 @@ def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & low).astype(np.int64), ((hashes >> np.uint64(32)) & low).astype(np.int64)
 
 
-def frequent_filter(words: DataFrame) -> np.ndarray:
-    """The filter of all (lang, word), made in tasks and put together from parts of equal bits."""
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of the given hashes, in parts that have any."""
+    bits = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        for own in _bits(batch.column(0).to_numpy().view(np.uint64)):
+            bits[own] = True
+    parts = np.packbits(bits).reshape(-1, _FILTER_PART)
+    some = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["part", "bits"]
+    )
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bits = _hasher(), np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            hashes = mixed(_word_hashes(hasher, batch.column(1)) ^ _lang_hashes(hasher, batch.column(0)))
-            for own in _bits(hashes):
-                bits[own] = True
-        parts = np.packbits(bits).reshape(-1, _FILTER_PART)
-        some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["part", "bits"]
-        )
 
-    def merge(group: pa.Table) -> pa.Table:
-        bits = np.bitwise_or.reduce([np.frombuffer(b.as_py(), np.uint8) for b in group["bits"]])
-        return pa.table({"part": group["part"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+def _merged_marks(group: pa.Table) -> pa.Table:
+    bits = np.bitwise_or.reduce([np.frombuffer(b.as_py(), np.uint8) for b in group["bits"]])
+    return pa.table({"part": group["part"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
 
+def bloom_filter(hashes: DataFrame) -> np.ndarray:
+    """A filter of all ``hashes`` (one column), marked in tasks and put together from parts of equal bits."""
     kind = "part int, bits binary"
-    marked = words.select("lang", "word").mapInArrow(lambda b: released(mark(b)), kind)
+    marked = hashes.mapInArrow(lambda b: released(_marks(b)), kind)
     out = np.zeros((FILTER_BITS // 8 // _FILTER_PART, _FILTER_PART), np.uint8)
-    for row in marked.groupBy("part").applyInArrow(merge, kind).toLocalIterator():  # 8 MB in all
+    for row in marked.groupBy("part").applyInArrow(_merged_marks, kind).toLocalIterator():  # 8 MB in all
         out[row.part] = np.frombuffer(row.bits, np.uint8)
     return out.ravel()
 
 
-def _word_hashes(hasher: Hasher, words: pa.Array) -> np.ndarray:
-    data, at = utf8(words)
-    sums = hasher.sums(data)
-    return mixed((sums[at[1:]] - sums[at[:-1]]) * hasher.inverse[at[:-1]])
+def _in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    one, two = _bits(hashes)
+    return ((bits[one >> 3] >> (7 - (one & 7)).astype(np.uint8)) & (bits[two >> 3] >> (7 - (two & 7)).astype(np.uint8)) & 1) == 1
 
 
-def _count_windows(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes that ``_Block`` gives (lang, word)."""
+    hasher = _hasher()
+    for batch in batches:
+        data, at = utf8(batch.column(1))
+        sums = hasher.sums(data)
+        words = mixed((sums[at[1:]] - sums[at[:-1]]) * hasher.inverse[at[:-1]])
+        hashes = mixed(words ^ _lang_hashes(hasher, batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["hash"])
+
+
+def _runs(block: _Block, filters: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each size that has a filter, where a run of so many words begins whose parts and which itself
+    may be frequent; and the hashes of the runs one longer whose parts may be."""
+    words = block.hashes[block.ids]
+    fine = [_in_filter(filters[0], block.hashes)[block.ids]]
+    hashes = words
+    for size in range(2, len(filters) + 2):
+        may = np.zeros(len(words), bool)
+        may[:-1] = block.goes_on[:-1] & fine[-1][:-1] & fine[-1][1:]
+        first = np.flatnonzero(may)
+        longer = mixed(hashes[first] * np.uint64(0x9E3779B97F4A7C15) + words[first + size - 1])
+        if size > len(filters):
+            return fine, longer
+        may[first] = _in_filter(filters[size - 1], longer)
+        hashes = np.zeros(len(words), np.uint64)
+        hashes[first] = longer
+        fine.append(may)
+    raise AssertionError
+
+
+def _count_runs(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for block, _ in _blocks(batches):
+        runs, counts = np.unique(_runs(block, filters)[1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(counts.astype(np.int64))], ["hash", "n"])
+
+
+def _count_windows(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for block, langs in _blocks(batches):
-        good = np.ones(len(block.hashes), bool)
-        for bit in _bits(block.hashes):
-            good &= (frequent[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-        kept = good[block.ids]
+        fine, _ = _runs(block, filters)
+        if not fine[0].any():
+            continue
         ids = block.ids.astype(np.int64) + 1  # 0 pads
         lead = np.zeros((len(ids), LONGEST), np.int64)
         lead[:, 0] = ids
-        more = block.goes_on
-        for k in range(1, LONGEST):  # the word k places on, if the piece and the frequent words last so long
-            on = np.zeros(len(ids), bool)
-            on[:-k] = more[:-k] & kept[k:]
-            lead[:-k, k] = np.where(on[:-k], ids[k:], 0)
-            more = on.copy()
-            more[:-k] &= block.goes_on[k:]
-        lead = lead[kept]
-        if not len(lead):
-            continue
+        for k in range(1, LONGEST):  # the word k places on, if the run so far may be frequent
+            lead[:-k, k] = np.where(fine[k][:-k], ids[k:], 0)
+        lead = lead[fine[0]]
         base = len(block.hashes) + 1
         key = lead[:, 0]
         for k in range(1, LONGEST):
@@ -202,18 +231,24 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     kept = F.when(F.col("n") >= least, F.col("word"))
     counted = written(words.groupBy("lang", kept.alias("word")).agg(F.sum("n").alias("n")), "words")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_filter(counted.filter("word IS NOT NULL")))
-
-    windows = texts.mapInArrow(lambda b: released(_count_windows(b, frequent.value)), WINDOW)
+    share = docs.sparkSession.sparkContext.broadcast
+    frequent = counted.filter("word IS NOT NULL").select("lang", "word")
+    filters = [share(bloom_filter(frequent.mapInArrow(lambda b: released(_hash_words(b)), "hash long")))]
+    for _ in range(1, LONGEST):
+        known = list(filters)
+        met = texts.mapInArrow(lambda b, known=known: released(_count_runs(b, [f.value for f in known])), "hash long, n long")
+        runs = met.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("hash")
+        filters.append(share(bloom_filter(runs)))
+
+    windows = texts.mapInArrow(lambda b: released(_count_windows(b, [f.value for f in filters])), WINDOW)
     rolled = (
-        windows.select(F.struct("lang", "w1").alias("head"), "w2", "w3", "n")
-        .rollup("head", "w2", "w3")
+        windows.rollup("lang", "w1", "w2", "w3")
         .agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
         .filter(F.col("n") >= least)
     )
     # Level 0 holds triples, 1 pairs, 3 words; padded windows count only in what they begin with.
     size = F.when(F.col("level") == 0, 3).when(F.col("level") == 1, 2).when(F.col("level") == 3, 1)
-    real = rolled.select("head.lang", size.alias("size"), "head.w1", "w2", "w3", "n").filter(
+    real = rolled.select("lang", size.alias("size"), "w1", "w2", "w3", "n").filter(
         "size = 1 OR size = 2 AND w2 IS NOT NULL OR size = 3 AND w3 IS NOT NULL"
     )
     return written(real, "phrases"), totals
