@@ -6,15 +6,14 @@ that the automaton holds, and the next begins where the match broke off (a lette
 that the language does not have closes the phrase it ends).  With c phrases over
 n characters and m characters of labelled text, c * log2(m) / n estimates the bits
 a character costs; the language with the lowest cost wins, ties go to the lower
-code.  The whole text is parsed.  To read many stretches at once, the parse starts
-a phrase at every ``STRETCH`` normalised characters.
+code.  The whole text is parsed, many texts side by side.
 
 Texts are lower-cased; a run of anything but letters counts as one space.  All letters of
 the labelled texts count, however many the languages have together.
 
-The labelled text is a bounded sample: ``DOCS`` documents a language, those with
-the smallest hash of doc_id and text, and ``CHARS`` characters of each, which is some
-40 000 characters a language.  Only these go to the driver and into the tasks.
+The labelled text is a bounded sample: ``DOCS`` whole documents a language, those with
+the smallest hash of doc_id and text of up to ``SHORT`` characters, then the shortest longer ones; what is
+longer than ``LONGEST`` is not learned from.  Only these go to the driver and into the tasks.
 
 Null text, and text without a letter, is ``und`` with score 0.  Rows without a
 language are not learned from.  Where nothing can be learned from, every text is
@@ -32,12 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import long_texts, table
+from .tables import free_name, long_texts, quoted, table
 from .workers import released
 
-DOCS = 48
-CHARS = 800
-STRETCH = 1024
+#: Bounds of what is learned from, for each language: so many texts, whole; the first by hash of those up to
+#: SHORT characters, then the shortest; none beyond LONGEST.
+DOCS, SHORT, LONGEST = 32, 2_000, 100_000
+STRETCH = 1024  # characters of each text that are laid out at once
 LANES = 1 << 20  # normalised characters read at once
 UNKNOWN = "und"
 SPACE, ODD, _BREAK = 1, 0, 2
@@ -175,24 +175,26 @@ class CrossParser:
         return codes[_keep(codes == SPACE)]
 
     def phrases(self, stretches: list[np.ndarray]) -> np.ndarray:
-        """[language, stretch] numbers of phrases."""
+        """[language, text] numbers of phrases; the state of a text is carried on to its end."""
         order = sorted(range(len(stretches)), key=lambda i: -len(stretches[i]))
         sizes = np.array([len(stretches[i]) for i in order])
-        lanes = np.zeros((sizes[0], len(order)), np.int32)
-        for k, i in enumerate(order):
-            lanes[: sizes[k], k] = stretches[i]
         state = np.repeat(np.array(self.roots, self.steps.dtype)[:, None], len(order), 1)
         count = np.zeros((len(self.langs), len(order)), np.int32)
-        active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # stretches longer than t
-        for t in range(sizes[0]):
-            k = active[t]
-            if self.table:
-                state[:, :k], ended = self.table.step(state[:, :k], lanes[t, :k])
-                count[:, :k] += ended
-                continue
-            step = self.steps.take(state[:, :k] + lanes[t, :k])
-            count[:, :k] += step & 1
-            np.right_shift(step, 1, out=state[:, :k])
+        for t0 in range(0, sizes[0], STRETCH):
+            k = int(np.searchsorted(-sizes, -t0, "left"))  # texts longer than t0
+            lanes = np.zeros((min(STRETCH, sizes[0] - t0), k), np.int32)
+            for j, i in enumerate(order[:k]):
+                part = stretches[i][t0 : t0 + STRETCH]
+                lanes[: len(part), j] = part
+            active = np.searchsorted(-sizes[:k], -(t0 + np.arange(len(lanes))), "left")
+            for t, k in enumerate(active.tolist()):
+                if self.table:
+                    state[:, :k], ended = self.table.step(state[:, :k], lanes[t, :k])
+                    count[:, :k] += ended
+                    continue
+                step = self.steps.take(state[:, :k] + lanes[t, :k])
+                count[:, :k] += step & 1
+                np.right_shift(step, 1, out=state[:, :k])
         count += state != np.array(self.roots)[:, None]
         out = np.empty_like(count)
         out[:, order] = count
@@ -202,24 +204,17 @@ class CrossParser:
         """(which texts, [language, text] costs) in portions of about ``LANES`` characters."""
         kept: list[int] = []
         stretches: list[np.ndarray] = []
-        owner: list[int] = []
-        sizes: list[int] = []
         load = 0
         for i, text in enumerate(texts):
             codes = self.normal(text) if text else np.zeros(0, np.uint8)
             if (codes != SPACE).any():
-                for a in range(0, len(codes), STRETCH):
-                    stretches.append(codes[a : a + STRETCH])
-                    owner.append(len(kept))
+                stretches.append(codes)
                 kept.append(i)
-                sizes.append(len(codes))
                 load += len(codes)
             if load >= LANES or (i == len(texts) - 1 and kept):
-                each = self.phrases(stretches)
-                first = np.searchsorted(owner, np.arange(len(kept)))
-                total = np.add.reduceat(each, first, axis=1)
-                yield kept, total * np.array(self.bits)[:, None] / np.array(sizes)
-                kept, stretches, owner, sizes, load = [], [], [], [], 0
+                sizes = np.array([len(c) for c in stretches])
+                yield kept, self.phrases(stretches) * np.array(self.bits)[:, None] / sizes
+                kept, stretches, load = [], [], 0
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -256,14 +251,15 @@ def _answers(parts: Iterator[pa.Array], sample: dict[str, list[str]]) -> Iterato
 
 
 def labelled_sample(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
-    """At most ``DOCS`` texts of ``CHARS`` characters for each language of ``docs``."""
-    has_letter = F.col(text).rlike(r"\p{L}")
-    chosen = docs.filter(F.col(lang).isNotNull() & has_letter).select(
+    """At most ``DOCS`` texts, as they are, of each language of ``docs``."""
+    size = F.char_length(text)
+    chosen = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (size <= LONGEST)).select(
         F.col(lang).alias("lang"),
-        F.substring(text, 1, CHARS).alias("part"),
-        F.xxhash64("doc_id", F.substring(text, 1, CHARS)).alias("order"),
+        F.col(text).alias("part"),
+        F.greatest(size, F.lit(SHORT)).alias("size"),
+        F.xxhash64("doc_id", text).alias("order"),
     )
-    by_hash = Window.partitionBy("lang").orderBy("order", "part")
+    by_hash = Window.partitionBy("lang").orderBy("size", "order", "part")
     rows = chosen.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= DOCS)
     sample: dict[str, list[str]] = {}
     for r in rows.orderBy("lang", "place").collect():
@@ -286,11 +282,12 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, sample: dict[str, list[str]]) -> DataFrame:
-    """``docs`` with lang_pred and score."""
-    found = docs.withColumn("found_", language_of(F.col("text"), sample))
+    """``docs`` with lang_pred and score, in the place of columns of these names."""
+    own = free_name(docs, "found")
+    found = docs.withColumn(own, language_of(F.col("text"), sample))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return found.select(
-        *kept, F.col("found_.lang").alias("lang_pred"), F.col("found_.score").alias("score")
+        *map(quoted, kept), F.col(f"{own}.lang").alias("lang_pred"), F.col(f"{own}.score").alias("score")
     )
 
 

@@ -11,20 +11,20 @@ def costs(sample, parser, text):
     for lang in parser.langs:
         known = bytes(c for t in sample[lang] for c in [2, *parser.normal(t).tolist()])
         phrases = 0
-        for a in range(0, len(codes), langid.STRETCH):
-            now = b""
-            for c in codes[a : a + langid.STRETCH]:
-                if now + bytes([c]) in known:
-                    now += bytes([c])
-                else:
-                    phrases += 1
-                    now = bytes([c]) if bytes([c]) in known else b""
-            phrases += now != b""
+        now = b""
+        for c in codes:
+            if now + bytes([c]) in known:
+                now += bytes([c])
+            else:
+                phrases += 1
+                now = bytes([c]) if bytes([c]) in known else b""
+        phrases += now != b""
         out.append(phrases * np.log2(len(known)) / len(codes))
     return out
 
 
-def test_phrases_equal_brute_force(spark, table):
+def test_phrases_equal_brute_force(spark, table, monkeypatch):
+    monkeypatch.setattr(langid, "STRETCH", 100)  # texts go on over many blocks
     docs = table("documents")
     sample = langid.labelled_sample(docs)
     assert set(sample) == {"en", "fr", "de", "es"} and max(map(len, sample.values())) <= langid.DOCS
@@ -64,6 +64,16 @@ def test_edges(spark):
     assert nothing == {} and {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_whole_texts_are_learned_from_and_columns_kept(spark):
+    texts = ["ab " * 900, "cd " * 300, "x" * (langid.LONGEST + 1), "ef " * 2000] + ["gh"] * (langid.DOCS - 3)
+    docs = spark.createDataFrame([(i, t, "en", "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, lang string, found_ string, `l.p` string")
+    (sample,) = langid.labelled_sample(docs).values()
+    assert sorted(sample, key=len)[-3:] == [texts[1], texts[0], texts[3]] and len(sample) == langid.DOCS
+    got = langid.identify(docs.withColumn("lang_pred", docs.lang), {"en": sample})
+    assert got.columns == ["doc_id", "text", "lang", "found_", "l.p", "lang_pred", "score"]
+    assert {(r.found_, r["l.p"]) for r in got.collect()} == {("a", "b")}
+
+
 def test_alphabets_of_any_size(monkeypatch):
     rng = np.random.default_rng(1)
 
@@ -87,14 +97,13 @@ def test_alphabets_of_any_size(monkeypatch):
         for i, lang in enumerate(parser.langs):
             known = "".join(chr(c) for t in sample[lang] for c in [2, *parser.normal(t).tolist()])
             phrases = 0
-            for a in range(0, len(codes), langid.STRETCH):
-                now = ""
-                for c in map(chr, codes[a : a + langid.STRETCH]):
-                    if now + c in known:
-                        now += c
-                    else:
-                        phrases, now = phrases + 1, c if c in known else ""
-                phrases += now != ""
+            now = ""
+            for c in map(chr, codes):
+                if now + c in known:
+                    now += c
+                else:
+                    phrases, now = phrases + 1, c if c in known else ""
+            phrases += now != ""
             assert np.isclose(want[i, k], phrases * np.log2(len(known)) / len(codes))
     assert parser.table is None
     monkeypatch.setattr(langid, "DENSE", 0)
