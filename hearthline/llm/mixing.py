@@ -13,8 +13,9 @@ The order goes by size class first, so the sampled sizes follow the source's
 sizes and the words taken come near the target.  A place in that order is a rank
 within (source, size class, salt) plus the rows of the groups before it, so a
 source with a third of all rows is ranked by many tasks.  What is summed up in one
-place are the counts of these groups, at most 64 salts by a few hundred classes
-for a source, and one row per source.
+place are the counts of these groups, at most 1024 salts by a few hundred classes
+for a source, and one row per source.  Salts and order within a group come from doc_id and text, so reruns
+take the same, and rows without doc_id are as well dealt out as others.
 
 Null or empty text has size 0, and so has a source of such documents (target 0).
 A null source is a source of its own.  A null doc_id is kept like any other.
@@ -28,10 +29,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import table, written
 
 MAX_COPIES = 3
-SALTS = 64
+SALTS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,7 +96,7 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
     original row as "mix row"."""
     bits = F.bin(F.col("size"))
     held = docs.select(F.struct(*docs.columns).alias("mix row"), "doc_id", "text", "source")
-    sized = held.withColumn(
+    sized = held.withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")))).withColumn(
         "size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     ).withColumn(
         "group_",
@@ -103,7 +104,7 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
             F.length(bits).alias("bits"),
             F.rpad(F.substring(bits, 1, 4), 4, "0").alias("head"),
             F.conv(
-                F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2), 16, 10
+                F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("text_md5"))), 1, 4), 16, 10
             )
             .cast("int")
             .alias("salt"),
@@ -111,8 +112,8 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
     )
     sized = sized.withColumn("group_", F.col("group_").withField("salt", F.col("group_.salt") % SALTS))
     # Two scans of the table: the sizes are worked out again, rather than held.
-    groups = sized.groupBy("source", "group_").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")
+    groups = written(
+        sized.groupBy("source", "group_").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")), "mix-groups"
     )
     sources = groups.groupBy("source").agg(F.sum("words").alias("source_size"))
     ahead = (
@@ -127,7 +128,7 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
     goals = goals.select(*[F.col(c).alias(f"goal_{c}") for c in goals.columns])
     places = places.join(goals, F.col("of_source").eqNullSafe(F.col("goal_source")))
     # Ranked and joined by one key, so the rows are shuffled once.
-    own = Window.partitionBy("key_").orderBy("doc_id", "size")
+    own = Window.partitionBy("key_").orderBy("doc_id", "size", "text_md5")
     ranked = sized.withColumn("key_", _key()).withColumn("own_rank", F.row_number().over(own))
     placed = ranked.join(places, F.col("key_") == F.col("of_key"))
     rank = F.col("rows_before") + F.col("own_rank")
@@ -157,7 +158,7 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-    SELECT doc_id, source,
+    SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5,
            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
     FROM documents
 ), totals AS (
@@ -189,7 +190,8 @@ WITH sized AS (
     SELECT *, row_number() OVER (
         PARTITION BY source
         ORDER BY length(bin(size)), rpad(substr(bin(size), 1, 4), 4, '0'),
-                 ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2))::INT % 64, doc_id NULLS FIRST, size
+                 ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || text_md5), 1, 4))::INT % 1024,
+                 doc_id NULLS FIRST, size, text_md5
     ) AS place
     FROM sized
 ), rated AS (

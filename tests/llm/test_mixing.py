@@ -70,3 +70,10 @@ def test_empty_and_one_source(spark):
     assert [(r.size, r.target, r.taken) for r in only] == [(0, 0.0, 0)] * 2
     one = mixing.mix(docs(spark, [(i, "a b c", "x") for i in range(10)])).collect()
     assert all(r.copies == 1 and r.target == 30.0 for r in one)
+
+
+def test_rows_without_doc_id_are_dealt_out_and_taken_alike_in_reruns(spark):
+    rows = [(None, f"{i} " * 12, "hot") for i in range(400)] + [(None, "same words", "hot")] * 20 + [(9, "a b", "x")] * 40
+    table = docs(spark, rows)
+    runs = [sorted(r.text for r in mixing.emitted(table.repartition(n)).collect()) for n in (1, 7)]
+    assert runs[0] == runs[1] and len(set(runs[0])) > 100
