@@ -158,14 +158,11 @@ class _Chunk:
         where, low, owner = where[light], low[light], owner[light]
         order = np.argsort(where, kind="stable")  # owners stay in order within a range
         where, low, owner = where[order], low[order], owner[order]
-        cuts = np.searchsorted(where, np.arange(self.ranges + 1))
         heavy_range = (heavy >> np.uint64(40)).astype(np.int64)
-        heavy_cuts = np.searchsorted(heavy_range, np.arange(self.ranges + 1))
-        for r in range(self.ranges):
-            a, b = cuts[r], cuts[r + 1]
-            c, d = heavy_cuts[r], heavy_cuts[r + 1]
-            if a == b and c == d:
-                continue
+        some = np.union1d(where, heavy_range)  # a chunk has no row for a range that it has nothing of
+        cuts = np.stack([np.searchsorted(where, some, side) for side in ("left", "right")], axis=1).tolist()
+        heavy_cuts = np.stack([np.searchsorted(heavy_range, some, side) for side in ("left", "right")], axis=1).tolist()
+        for r, (a, b), (c, d) in zip(some.tolist(), cuts, heavy_cuts, strict=True):
             own = owner[a:b]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if b > a else np.zeros(0, int)
             yield {
