@@ -3,7 +3,8 @@
 Directions are turned by ``ROTATIONS`` rotations, learned on a bounded sample (``SAMPLE``
 vectors, those with the smallest hash of their id) so that the signs of the turned
 components lose as little as they can (iterative quantization).  The signs of all rotations
-are a vector's code.  It is split into substrings of ``BITS`` bits, and each block
+are a vector's code.  Cells of the whole table (``vectors``) that can have nothing as near as the
+k-th best found are left out.  A code is split into substrings of ``BITS`` bits, and each block
 of vectors has an index of each substring.  A query probes in every index the
 buckets within a small radius of its own substring.  By the pigeonhole principle,
 m indexes probed at radius r give every vector whose code differs in less than m * (r + 1) bits,
@@ -115,7 +116,7 @@ class Block:
         ahead = np.cumsum(size) - size
         return self.order[np.repeat(first - ahead, size) + np.arange(size.sum())]
 
-    def search(self, ids: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def search(self, ids: np.ndarray, v: np.ndarray, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         sub = codes(directions(v, self.longest, True), self.turns)
         length = np.sqrt((v * v).sum(axis=1))
         slack = 1e-5 * self.longest
@@ -135,10 +136,12 @@ class Block:
                 new = np.flatnonzero(fresh)
                 rough[new] = self.near[new] @ query
                 found = np.flatnonzero(seen)
-                if len(found) < K:
+                least = floor[i]  # the k-th best of what the query has met before
+                if len(found) >= K:
+                    best = rough[found]
+                    least = max(least, np.partition(best, len(best) - K)[len(best) - K])
+                if least == -np.inf:
                     continue
-                best = rough[found]
-                least = np.partition(best, len(best) - K)[len(best) - K]
                 angle = np.arccos(np.clip(least / (length[i] * self.longest), -1, 1))
                 if self.chances[r][int(round(angle * 180 / np.pi))] >= SURE:
                     break
@@ -177,7 +180,7 @@ def nearest(vectors: DataFrame, is_query: str) -> DataFrame:
         got = np.load(io.BytesIO(index))
         return Block(got["ids"], got["v"], got["sub"], turns, longest).search
 
-    return search(rows, is_query, K, prepare, searcher, "double")
+    return search(rows, is_query, K, longest**2, prepare, searcher, "double")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

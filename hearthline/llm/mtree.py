@@ -4,7 +4,7 @@ Components become floor(64 x).  One more component, sqrt(M^2 - |y|^2) with M the
 vector of all, gives every vector y the length M; a query q has 0 there.  Then
 distance^2 = |q|^2 + M^2 - 2 q.y: the highest inner products are the nearest points of a metric.
 
-Each block of vectors is an M-tree of pages.  An entry of an inner page has a routing vector, a
+Cells of the whole table (``vectors``) are ruled out as far as their bounds allow; each block of a cell is an M-tree of pages.  An entry of an inner page has a routing vector, a
 covering radius, the distance to its page's own routing vector (its parent) and
 a child page; a leaf page has vectors and their distances to its routing vector.  A
 search takes pages from a queue by the least distance that anything in them can
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table, written
-from .vectors import search, top, usable
+from .vectors import lifted, search, top, usable
 
 K = 20
 SCALE = 64
@@ -39,12 +39,6 @@ FAN = 16
 SLACK = 1e-6
 
 
-def lifted(y: np.ndarray, longest2: float) -> np.ndarray:
-    """Vectors with the component that makes them equally long."""
-    rest = np.sqrt(np.maximum(0.0, longest2 - (y * y).sum(axis=1)))
-    return np.concatenate([y, rest[:, None]], axis=1)
-
-
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of the rows of a from the one row b."""
     return np.sqrt(((a - b) ** 2).sum(axis=1))
@@ -116,16 +110,18 @@ class Tree:
         self.start = z[0]  # the routing vector of the root page
         self.computed = 0
 
-    def search(self, ids: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for query_id, q in zip(ids.tolist(), v, strict=True):
-            yield (query_id, *self.best(query_id, q))
+    def search(self, ids: np.ndarray, v: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for query_id, q, floor in zip(ids.tolist(), v, least.tolist(), strict=True):
+            yield (query_id, *self.best(query_id, q, floor))
 
-    def best(self, own: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, own: int, q: np.ndarray, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the best that reach ``floor``."""
         base = float(q @ q) + self.longest2
         slack = SLACK * (1 + np.sqrt(base))
         far = lambda dots: np.sqrt(np.maximum(0.0, base - 2 * dots))
         found_ids, found = np.zeros(0, np.int64), np.zeros(0)
-        limit = np.inf  # distance of the k-th best
+        # Distance of the k-th best, here or in what the query has met before.
+        limit = float(far(floor)) + slack if floor > -np.inf else np.inf
         queue = [(0.0, self.root, float(far(self.start[:-1] @ q)))]
         while queue:
             least, page, to_routing = heapq.heappop(queue)
@@ -144,16 +140,15 @@ class Tree:
             self.computed += len(y)
             dots = y @ q
             if self.leaf[page]:
-                if len(found) == K:
-                    good = dots >= found[-1]
-                    dots, of = dots[good], of[good]
+                good = dots >= (max(floor, found[-1]) if len(found) == K else floor)
+                dots, of = dots[good], of[good]
                 other = of != own
                 if other.any():
                     found_ids, found = top(
                         np.concatenate([found_ids, of[other]]), np.concatenate([found, dots[other]]), K
                     )
                     if len(found) == K:
-                        limit = float(far(found[-1])) + slack
+                        limit = min(limit, float(far(found[-1])) + slack)
             else:
                 d = far(dots)
                 radius, child = self.radius[a:b], self.child[a:b]
@@ -174,7 +169,7 @@ def highest(vectors: DataFrame, is_query: str) -> DataFrame:
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     longest2 = float(rows.agg(F.max(square)).first()[0] or 0.0)
     return search(
-        rows, is_query, K, lambda ids, v: tree(ids, v, longest2), lambda raw: Tree(raw, longest2).search, "long"
+        rows, is_query, K, longest2, lambda ids, v: tree(ids, v, longest2), lambda raw: Tree(raw, longest2).search, "long"
     )
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from hearthline.llm import hashing, mtree, vectors
 
@@ -9,7 +10,11 @@ def rows_of(table):
     return {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
 
 
-def test_hashing_recall_and_scores(spark, table):
+@pytest.mark.parametrize("cell", [4096, 40])
+def test_hashing_recall_and_scores(spark, table, monkeypatch, cell):
+    """In one cell and in several, some of several blocks."""
+    monkeypatch.setattr(vectors, "CELL", cell)
+    monkeypatch.setattr(vectors, "BLOCK", min(16_384, cell))
     rows = table("embeddings")
     known = rows_of(rows)
     got = {}
@@ -54,6 +59,7 @@ def brute(known, k=20):
 
 def test_mtree_is_exact_over_many_pages_and_blocks(spark, table, monkeypatch, duck):
     monkeypatch.setattr(vectors, "BLOCK", 90)
+    monkeypatch.setattr(vectors, "CELL", 50)
     monkeypatch.setattr(vectors, "PACK", 4)
     monkeypatch.setattr(mtree, "LEAF", 8)
     monkeypatch.setattr(mtree, "FAN", 4)
@@ -103,3 +109,24 @@ def test_equal_vectors_tie_by_id(spark):
     for search in (hashing.nearest, mtree.highest):
         got = [r.vec_id for r in search(table, "vec_id = 200").orderBy("rank").collect()]
         assert got == list(range(1, 21))
+
+
+def test_cells_rule_out_others_where_vectors_lie_in_groups(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(64, 16))
+    centres /= np.sqrt((centres**2).sum(axis=1))[:, None]
+    share = {}
+    for n in (2_000, 16_000):
+        v = centres[rng.integers(0, 64, n)] + rng.normal(0, 0.03, (n, 16))
+        longest2 = float((v * v).sum(axis=1).max())
+        cells = vectors.Cells(v[:2000], 64, longest2)
+        cell, far = cells.nearest(vectors.lifted(v, longest2))
+        np.maximum.at(cells.radii, cell, far)
+        bounds = cells.bounds(v[::50])
+        scores = v[::50] @ v.T
+        for c in range(64):
+            if (cell == c).any():
+                assert (scores[:, cell == c].max(axis=1) <= bounds[:, c]).all()
+        kth = np.sort(scores, axis=1)[:, -21]
+        share[n] = (bounds >= kth[:, None]).mean()
+    assert share[16_000] <= share[2_000] < 0.25
