@@ -16,8 +16,9 @@ documents are linked when their sets' similarity is ``SHARE`` percent or more.
 3. Prefix tokens that occur in at most ``FREQUENT`` sets are indexed one by one.  If two
    linked sets share none of these in their prefixes, all they share is frequent, and the first two
    tokens they share are both among the first p + 1: so pairs of the frequent tokens
-   there are indexed.  A key carries its room: the most tokens two sets can share of which
-   those of the key are the first.
+   there are indexed.  Pairs grow with the square of a set's prefix: from ``LONG`` shingles on, frequent tokens are
+   indexed one by one too, and sets whose partners may be on the other side of that size are indexed both ways.  A
+   key carries its room: the most tokens two sets can share of which those of the key are the first.
 4. Candidates are verified on their shared tokens, which hold every possible
    intersection.  First the set with the fewest unshared tokens on each index key is
    compared with the others there.  What is linked by then needs no more
@@ -54,6 +55,8 @@ from .workers import release, released
 WORDS = 4
 SHARE = 85
 FREQUENT = 1024
+#: Shingles from which on a set's frequent tokens are not paired: up to there they make some 2000 pairs at most.
+LONG = 400
 #: Bytes of text for each range of hashes: some 2 million shingles.
 RANGE_BYTES = 12_000_000
 CHUNK = 1_000_000  # shingles
@@ -320,18 +323,27 @@ def _sets(group: pa.Table) -> pa.Table:
     owner, token, df = owner[order], token[order], df[order]
     cut = np.searchsorted(owner, np.arange(m + 1))
     shared: list[bytes | None] = [None] * m
-    keys: list[list[dict] | None] = [None] * m
+    found: list[np.ndarray] = []
+    found_rooms: list[np.ndarray] = []
+    number = np.zeros(m + 1, np.int32)
     for i in np.flatnonzero(may):
         t, d = token[cut[i] : cut[i + 1]], df[cut[i] : cut[i + 1]]
         k = p[i] - u[i]
-        rare = np.searchsorted(d[:k], FREQUENT, "right")
-        one, two = np.triu_indices(len(t[: k + 1]) - rare, 1)
+        rare = int(np.searchsorted(d[:k], FREQUENT, "right"))
+        # Of two linked sets both or none have at least LONG shingles, or else both are near it.
+        alone = min(k, len(t)) if 100 * n[i] >= SHARE * LONG else rare
+        one, two = np.triu_indices(len(t[: k + 1]) - rare, 1) if SHARE * n[i] <= 100 * LONG else np.zeros((2, 0), np.int64)
         pairs = mixed(t[rare + one] * np.uint64(_FACTORS[2]) + mixed(t[rare + two]))
-        rooms = np.concatenate([len(t) - np.arange(rare), len(t) - rare - two + 1])
+        rooms = np.concatenate([len(t) - np.arange(alone), len(t) - rare - two + 1])
         fits = 100 * rooms >= SHARE * n[i]  # a partner of the best size would do
-        key = np.concatenate([t[:rare], pairs]).view(np.int64)[fits]
-        keys[i] = [{"key": a, "room": b} for a, b in zip(key.tolist(), rooms[fits].tolist(), strict=True)]
+        found.append(np.concatenate([t[:alone], pairs]).view(np.int64)[fits])
+        found_rooms.append(rooms[fits])
+        number[i + 1] = len(found[-1])
         shared[i] = np.sort(t).tobytes()
+    flat = [pa.array(np.concatenate([*x, np.zeros(0, np.int64)]), pa.int64()) for x in (found, found_rooms)]
+    keys = pa.ListArray.from_arrays(
+        pa.array(np.cumsum(number, dtype=np.int32)), pa.StructArray.from_arrays(flat, ["key", "room"]), mask=pa.array(~may)
+    )
     return pa.table(
         {
             "doc_id": pa.array(head["ids"], pa.int64(), mask=head["has_id"] == 0),
@@ -340,7 +352,7 @@ def _sets(group: pa.Table) -> pa.Table:
             "s2": pa.array(head["s2"]),
             "u": pa.array(u),
             "shared": pa.array(shared, pa.binary()),
-            "keys": pa.array(keys, pa.list_(pa.struct([("key", pa.int64()), ("room", pa.int64())]))),
+            "keys": keys,
         }
     )
 

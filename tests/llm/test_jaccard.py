@@ -44,10 +44,11 @@ def texts(seed=4):
     return [(i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("frequent", [1024, 3])
-def test_brute_force(spark, monkeypatch, frequent):
-    """Also with nearly all shared shingles taken as frequent, so pairs of them are indexed."""
+@pytest.mark.parametrize("frequent,long", [(1024, 400), (3, 10_000), (3, 60)])
+def test_brute_force(spark, monkeypatch, frequent, long):
+    """Also with nearly all shared shingles taken as frequent, so pairs of them are indexed, for sets of some sizes."""
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "LONG", long)
     monkeypatch.setattr(jaccard, "CHUNK", 1500)
     monkeypatch.setattr(jaccard, "HEAVY", 4)
     rows = texts()
@@ -81,3 +82,19 @@ def test_row_kept_of_a_doc_id_does_not_depend_on_order(spark):
         for some in (rows, rows[::-1])
     ]
     assert kept[0] == kept[1] and [r[0] for r in kept[0]] == list(range(5))
+
+
+def test_keys_grow_with_the_text_and_not_its_square(spark, monkeypatch):
+    """Long near copies, all of whose shingles are frequent."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 4)
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(6000)]
+    rows = []
+    for i in range(12):
+        now = list(words)
+        now[500 * i // 2] = f"x{i}"
+        rows.append((i, " ".join(now)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    most = jaccard.sets(docs).selectExpr("max(size(keys)) AS n").first().n
+    assert 0 < most <= 0.15 * 6000 + 2
+    assert {r.component_id for r in jaccard.join(docs).collect()} == {0}
