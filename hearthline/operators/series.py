@@ -315,6 +315,12 @@ def slice_spans(points: DataFrame, gap: str = STALE_AFTER, slice_: str = "10 min
     return _join_runs(sliced, ["device_id", "_slice"], interval(gap)).drop("_slice")
 
 
+def merge_spans(spans: DataFrame, gap: str = STALE_AFTER, slice_: str = "10 minutes") -> DataFrame:
+    """Spans of several parts of the readings that touch within a time slice, as one."""
+    sliced = spans.withColumn("_slice", F.window("online_from", slice_).start)
+    return _join_runs(sliced, ["device_id", "_slice"], interval(gap)).drop("_slice")
+
+
 def join_spans(
     spans: DataFrame, gap: str = STALE_AFTER, slice_: str = "10 minutes", joined: bool = False
 ) -> DataFrame:

@@ -1,7 +1,7 @@
 """Streams whose answers do not depend on how the input is cut into batches, or on its order.
 
-A stream appends to a log of folders what each micro-batch adds: partial sums, spans, or
-the rows themselves.  The answer is read from the log by the batch operator, or by
+A stream appends to a log of folders what each micro-batch adds, or keeps what batches add, partial sums or
+spans, merged by day.  The answer is a table that batches revise, or is read from the log by the batch operator, or by
 merging the partials.  A late row is a row like any other: nothing is dropped, no
 watermark is needed, and no state is kept between batches, so a device or code with
 a third of all rows is handled by the slices of the batch operators.
@@ -22,9 +22,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import interval
 from ..operators.claims import CLAIM_TTL, resolve_claims
-from ..operators.series import STALE_AFTER, join_spans, late_arrivals, mean_of, partial_means, slice_spans
+from ..operators.series import STALE_AFTER, join_spans, late_arrivals, mean_of, merge_spans, partial_means, slice_spans
 from ..operators.views import VIEW_GAP, throttle_views, trackable_views, valid_views
-from ..sources.days import read_days, revise_days
+from ..sources.days import days_of, read_days, replace_days, revise_days, within
 from ..sources.events import read_folders, run_of, write_batch
 
 _PLACE = [
@@ -48,6 +48,33 @@ def append_log(
     return start(stream, write, checkpoint, trigger)
 
 
+def merge_log(
+    stream: DataFrame, path: str, checkpoint: str, time: str, add: Step, merge: Step, schema: T.StructType, trigger: dict | None = None
+) -> StreamingQuery:
+    """Keep ``merge`` of all ``add(batch)`` by days of the column ``time``: a table that grows with what it says and
+    not with the number of batches.
+
+    The rows of the last batch stay apart, with its query and number, so a batch that runs again replaces its own."""
+    place = T.StructType(_PLACE[:2])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        run = run_of(batch.sparkSession)
+        rows = add(batch).select(*schema.fieldNames()).withColumn("date", F.to_date(time)).persist()
+        try:
+            days = days_of(rows)
+            if not days:
+                return
+            stored = within(read_days(batch.sparkSession, path, T.StructType([*schema.fields, *place.fields]), "readings"), days)
+            other = stored.filter((F.col("run") != run) | (F.col("batch") != batch_id)).drop("run", "batch")
+            merged = merge(other).withColumns({"date": F.to_date(time), "run": F.lit(""), "batch": F.lit(-1).cast("long")})
+            own = rows.withColumns({"run": F.lit(run), "batch": F.lit(batch_id).cast("long")})
+            replace_days(merged.select(*own.columns).unionByName(own), days, path, "device_id", time)
+        finally:
+            rows.unpersist()
+
+    return start(stream, write, checkpoint, trigger)
+
+
 def read_log(spark: SparkSession, path: str, schema: T.StructType, days: Column | None = None) -> DataFrame:
     """All rows of the log, or those of the days for which ``days``, a condition on ``date``, holds."""
     rows = read_folders(spark, path, T.StructType([*schema.fields, *_PLACE]))
@@ -203,15 +230,27 @@ def claim_answers(spark: SparkSession, path: str, at: T.DataType) -> DataFrame:
 # Readings ---------------------------------------------------------------------
 
 
+_SUMS = (
+    T.StructType().add("device_id", "string").add("timestamp", "timestamp").add("total", "decimal(38,6)")
+    .add("readings", "long").add("last", "timestamp")
+)
+_SPANS = T.StructType().add("device_id", "string").add("online_from", "timestamp").add("last_seen", "timestamp").add("readings", "long")
+
+
 def stream_history(points: DataFrame, bucket: str, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Sums and counts of each bucket that a batch touches to the log."""
-    return append_log(points, path, checkpoint, "timestamp", lambda batch: partial_means(batch, bucket), trigger)
+    """Sums and counts of each bucket that a batch touches to the table of all of them."""
+
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("device_id", "timestamp").agg(
+            F.sum("total").cast("decimal(38,6)").alias("total"), F.sum("readings").alias("readings"), F.max("last").alias("last")
+        )
+
+    return merge_log(points, path, checkpoint, "timestamp", lambda batch: partial_means(batch, bucket), merge, _SUMS, trigger)
 
 
 def history(spark: SparkSession, path: str, delay: str | None = None) -> DataFrame:
     """Bucket means of all readings; with ``delay`` only of buckets that ended that long before the last one."""
-    schema = "device_id string, timestamp timestamp, total decimal(38,6), readings long, last timestamp"
-    parts = read_log(spark, path, T.StructType.fromDDL(schema))
+    parts = read_days(spark, path, _SUMS, "readings")
     means = mean_of(parts)
     if delay is not None:
         last = parts.agg((F.date_trunc("MILLISECOND", F.max("last")) - interval(delay)).alias("at")).first()["at"]
@@ -222,16 +261,19 @@ def history(spark: SparkSession, path: str, delay: str | None = None) -> DataFra
 def stream_staleness(
     points: DataFrame, path: str, checkpoint: str, gap: str = STALE_AFTER, slice_: str = "10 minutes", trigger: dict | None = None
 ) -> StreamingQuery:
-    """The spans of each batch within time slices to the log; read it with the same ``gap`` and ``slice_``."""
-    return append_log(points, path, checkpoint, "online_from", lambda batch: slice_spans(batch, gap, slice_), trigger)
+    """The spans of each batch within time slices to the table of all of them; read it with the same ``gap`` and ``slice_``."""
+    return merge_log(
+        points, path, checkpoint, "online_from", lambda batch: slice_spans(batch, gap, slice_),
+        lambda spans: merge_spans(spans, gap, slice_), _SPANS, trigger,
+    )
 
 
 def online(spark: SparkSession, path: str, gap: str = STALE_AFTER, slice_: str = "10 minutes", closed: bool = False) -> DataFrame:
     """Online spans of all readings; ``closed``: only those that the last reading of all is ``gap`` past."""
-    schema = "device_id string, online_from timestamp, last_seen timestamp, readings long"
-    spans = join_spans(read_log(spark, path, T.StructType.fromDDL(schema)), gap, slice_)
+    parts = read_days(spark, path, _SPANS, "readings").select(*_SPANS.fieldNames())
+    spans = join_spans(parts, gap, slice_)
     if closed:
-        last = read_log(spark, path, T.StructType.fromDDL(schema)).agg(F.date_trunc("MILLISECOND", F.max("last_seen")).alias("at")).first()["at"]
+        last = parts.agg(F.date_trunc("MILLISECOND", F.max("last_seen")).alias("at")).first()["at"]
         spans = spans.filter(F.col("stale_from") <= F.lit(last))
     return spans
 
