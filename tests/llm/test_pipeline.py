@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from hearthline.llm import jaccard, langid, mixing, packing, toxicity
 from hearthline.llm.tables import written
+from hearthline.session import shared_dir
 from tests.llm.conftest import DATA
 from tests.llm.test_jaccard import brute
 from tests.llm.test_packing import whole
@@ -51,3 +52,26 @@ def test_stages_against_brute_force(spark, table):
 def test_run_is_repeatable(spark):
     a, b = ({(r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, DATA).collect()} for _ in range(2))
     assert a == b and a
+
+
+def test_edges_through_all_stages(spark):
+    """Null texts, languages and sources, null and repeated doc_ids, an extra column, labels of nobody; an empty table."""
+    folder = shared_dir(spark, "odd")
+    text = "the words of this document say the same again and "
+    rows = [(i, text + f"number {i} " * (5 + i), "en" if i % 3 else None, f"s{i % 2}" if i % 5 else None) for i in range(60)]
+    rows += [(3, rows[3][1], "en", "s1"), (4, "other words for the same name " * 4, "en", "s0"), (None, text * 2, "en", "s0"), (None, None, None, None)]
+    rows += [(70, None, "en", "s0"), (71, "", "en", "s0"), (72, "1234 !", "en", "s0"), (73, text * 3000, "en", "s0")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score string")
+    labels = spark.createDataFrame([(999, 0, 1)], "doc_id long, quality long, toxic long")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.sequence_id] += r.length
+    assert got and max(sizes.values()) <= packing.CAPACITY
+    assert {70, 71, 72}.isdisjoint({r.doc_id for r in got}) and {r.doc_id for r in got} <= {r[0] for r in rows}
+    empty = shared_dir(spark, "none")
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    labels.limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
