@@ -6,7 +6,7 @@ that the automaton holds, and the next begins where the match broke off (a lette
 that the language does not have closes the phrase it ends).  With c phrases over
 n characters and m characters of labelled text, c * log2(m) / n estimates the bits
 a character costs; the language with the lowest cost wins, ties go to the lower
-code.  The whole text is parsed, many texts side by side.
+code.  The whole text is parsed; stretches are read side by side and then put together as one parse.
 
 Texts are lower-cased; a run of anything but letters counts as one space.  All letters of
 the labelled texts count, however many the languages have together.
@@ -37,7 +37,7 @@ from .workers import released
 #: Bounds of what is learned from, for each language: so many texts, whole; the first by hash of those up to
 #: SHORT characters, then the shortest; none beyond LONGEST.
 DOCS, SHORT, LONGEST = 32, 2_000, 100_000
-STRETCH = 1024  # characters of each text that are laid out at once
+STRETCH, SYNC = 1024, 128  # characters that are read side by side, and of these, kept to see where parses meet
 LANES = 1 << 20  # normalised characters read at once
 UNKNOWN = "und"
 SPACE, ODD, _BREAK = 1, 0, 2
@@ -174,31 +174,70 @@ class CrossParser:
             codes = self.code[points]
         return codes[_keep(codes == SPACE)]
 
-    def phrases(self, stretches: list[np.ndarray]) -> np.ndarray:
-        """[language, text] numbers of phrases; the state of a text is carried on to its end."""
-        order = sorted(range(len(stretches)), key=lambda i: -len(stretches[i]))
-        sizes = np.array([len(stretches[i]) for i in order])
-        state = np.repeat(np.array(self.roots, self.steps.dtype)[:, None], len(order), 1)
-        count = np.zeros((len(self.langs), len(order)), np.int32)
-        for t0 in range(0, sizes[0], STRETCH):
-            k = int(np.searchsorted(-sizes, -t0, "left"))  # texts longer than t0
-            lanes = np.zeros((min(STRETCH, sizes[0] - t0), k), np.int32)
-            for j, i in enumerate(order[:k]):
-                part = stretches[i][t0 : t0 + STRETCH]
-                lanes[: len(part), j] = part
-            active = np.searchsorted(-sizes[:k], -(t0 + np.arange(len(lanes))), "left")
-            for t, k in enumerate(active.tolist()):
-                if self.table:
-                    state[:, :k], ended = self.table.step(state[:, :k], lanes[t, :k])
-                    count[:, :k] += ended
-                    continue
-                step = self.steps.take(state[:, :k] + lanes[t, :k])
-                count[:, :k] += step & 1
-                np.right_shift(step, 1, out=state[:, :k])
-        count += state != np.array(self.roots)[:, None]
-        out = np.empty_like(count)
-        out[:, order] = count
-        return out
+    def _step(self, state: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states [language, text], and whether a phrase ended."""
+        if self.table:
+            return self.table.step(state, letters)
+        step = self.steps.take(state + letters)
+        return step >> 1, step & 1
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """[language, text] numbers of phrases.
+
+        Texts are cut into stretches that are parsed side by side, each as if a phrase began there.
+        Then all but first stretches are entered again with the state that the one before has left.
+        Soon both ways are at the same point of the same phrase, and from there on they agree; where they do not and the
+        stretch ends otherwise than before, the next one is entered once more."""
+        first = np.cumsum([0] + [-(-len(t) // STRETCH) for t in texts])
+        parts = [t[a : a + STRETCH] for t in texts for a in range(0, len(t), STRETCH)]
+        order = np.argsort([-len(x) for x in parts], kind="stable")
+        sizes = np.array([len(parts[i]) for i in order])
+        lanes = np.zeros((sizes[0], len(parts)), np.int32)
+        for j, i in enumerate(order.tolist()):
+            lanes[: sizes[j], j] = parts[i]
+        roots = np.array(self.roots, self.steps.dtype)[:, None]
+        state = np.repeat(roots, len(parts), 1)
+        count = np.zeros((len(self.langs), len(parts)), np.int32)
+        trail = np.zeros((min(SYNC, sizes[0]), *state.shape), state.dtype)
+        counts = np.zeros(trail.shape, np.int16)
+        active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # stretches longer than t
+        for t, k in enumerate(active.tolist()):
+            state[:, :k], ended = self._step(state[:, :k], lanes[t, :k])
+            count[:, :k] += ended
+            if t < len(trail):
+                trail[t], counts[t] = state, count
+        lane = np.empty(len(parts), np.int64)
+        lane[order] = np.arange(len(parts))
+        count, end, sizes = count[:, lane].astype(np.int64), state[:, lane], sizes[lane]
+        left, whole = end.copy(), count.copy()
+        heads = np.zeros(len(parts) + 1, bool)
+        heads[first] = True
+        todo = np.flatnonzero(~heads[:-1])
+        while len(todo):
+            now, seen = left[:, todo - 1], np.zeros((len(roots), len(todo)), np.int64)
+            stop, live, own = now.copy(), np.ones(now.shape, bool), np.arange(len(todo))
+            for t in range(int(sizes[todo].max())):
+                own = own[live[:, own].any(axis=0) & (t < sizes[todo[own]])]
+                if not len(own):
+                    break
+                part = todo[own]
+                after, ended = self._step(now[:, own], lanes[t, lane[part]])
+                now[:, own] = after
+                going = live[:, own]
+                more = np.where(going, ended, 0)
+                if t < len(trail):
+                    met = going & (after == trail[t][:, lane[part]])
+                    more += np.where(met, count[:, part] - counts[t][:, lane[part]], 0)
+                    stop[:, own] = np.where(met, end[:, part], stop[:, own])
+                    live[:, own] = going & ~met
+                seen[:, own] += more
+            stop = np.where(live, now, stop)
+            whole[:, todo] = seen
+            other = todo[(stop != left[:, todo]).any(axis=0)]
+            left[:, todo] = stop
+            todo = other[~heads[other + 1]] + 1
+        total = np.add.reduceat(whole, first[:-1], axis=1)
+        return total + (left[:, first[1:] - 1] != roots)
 
     def costs(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray]]:
         """(which texts, [language, text] costs) in portions of about ``LANES`` characters."""

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from hearthline.llm import langid
 
@@ -23,8 +24,10 @@ def costs(sample, parser, text):
     return out
 
 
-def test_phrases_equal_brute_force(spark, table, monkeypatch):
-    monkeypatch.setattr(langid, "STRETCH", 100)  # texts go on over many blocks
+@pytest.mark.parametrize("stretch,sync", [(1024, 128), (100, 128), (7, 3), (40, 0)])
+def test_phrases_equal_brute_force(spark, table, monkeypatch, stretch, sync):
+    monkeypatch.setattr(langid, "STRETCH", stretch)  # texts go on over many stretches
+    monkeypatch.setattr(langid, "SYNC", sync)
     docs = table("documents")
     sample = langid.labelled_sample(docs)
     assert set(sample) == {"en", "fr", "de", "es"} and max(map(len, sample.values())) <= langid.DOCS
