@@ -150,7 +150,7 @@ def bloom_filter(hashes: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     one, two = _bits(hashes)
     return ((bits[one >> 3] >> (7 - (one & 7)).astype(np.uint8)) & (bits[two >> 3] >> (7 - (two & 7)).astype(np.uint8)) & 1) == 1
 
@@ -170,7 +170,7 @@ def _runs(block: _Block, filters: list[np.ndarray]) -> tuple[list[np.ndarray], n
     """For each size that has a filter, where a run of so many words begins whose parts and which itself
     may be frequent; and the hashes of the runs one longer whose parts may be."""
     words = block.hashes[block.ids]
-    fine = [_in_filter(filters[0], block.hashes)[block.ids]]
+    fine = [in_filter(filters[0], block.hashes)[block.ids]]
     hashes = words
     for size in range(2, len(filters) + 2):
         may = np.zeros(len(words), bool)
@@ -179,7 +179,7 @@ def _runs(block: _Block, filters: list[np.ndarray]) -> tuple[list[np.ndarray], n
         longer = mixed(hashes[first] * np.uint64(0x9E3779B97F4A7C15) + words[first + size - 1])
         if size > len(filters):
             return fine, longer
-        may[first] = _in_filter(filters[size - 1], longer)
+        may[first] = in_filter(filters[size - 1], longer)
         hashes = np.zeros(len(words), np.uint64)
         hashes[first] = longer
         fine.append(may)

@@ -86,3 +86,21 @@ def test_repeated_rows_do_not_fill_the_sample(spark, monkeypatch):
         model = toxicity.trained(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         scores.append(model.scorer().score(pa.array(["zzbad asst", *(t for _, t, _ in corpus(20, 9)[0])])))
     assert np.array_equal(*scores) and scores[0].max() > 0.5
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """A toxic word that only long documents hold, more rows than one shard has, and the same net from any order."""
+    monkeypatch.setattr(toxicity, "TOXIC", 100)
+    monkeypatch.setattr(toxicity, "OTHER", 200)
+    monkeypatch.setattr(toxicity, "RUN", 1000, raising=False)
+    rows, labels = corpus()
+    for i in range(1000, 1080):
+        rows.append((i, "bs bt " * 3000 + ("bs qqvile" if i % 2 else "bs bt") + " bu" * (i % 7), "b"))
+        labels.append((i, i % 2))
+    scores = []
+    for some, parts in ((rows, 1), (rows[::-1], 5)):
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string").repartition(parts)
+        model = toxicity.trained(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        scores.append(model.scorer().score(pa.array(["bs bt qqvile bs", "bs bt bu bs", "zzbad bs", *(t for _, t, _ in corpus(20, 9)[0])])))
+    assert np.array_equal(*scores)
+    assert scores[0][0] > 0.5 and scores[0][1] < 0.5 and scores[0][2] > 0.5
