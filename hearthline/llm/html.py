@@ -36,8 +36,10 @@ BLOCK = {
 }
 #: An open p ends where one of these begins.
 ENDS_P = BLOCK - {"button", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "head", "body"}
-SPACE = re.compile(r"\s+")
 CLOSE = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
+#: Attributes that hold addresses, and what markup that has one of them holds.
+ADDRESSES = ("href", "src", "action", "poster", "data")
+ADDRESS = re.compile("|".join(ADDRESSES), re.I)
 ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 
 
@@ -75,7 +77,7 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def tidy(parts: list[str]) -> str:
-    return SPACE.sub(" ", html.unescape("".join(parts))).strip()
+    return " ".join(html.unescape("".join(parts)).split())
 
 
 def lines(page: str) -> list[Line]:
@@ -101,7 +103,7 @@ def parsed(page: str) -> tuple[list[Line], list[Element]]:
         if parts:
             text = tidy(parts)
             if text:
-                out.append(Line(text, len(tidy(linked)), path[-1]))
+                out.append(Line(text, len(tidy(linked)) if linked else 0, path[-1]))
             parts.clear()
             linked.clear()
 
@@ -198,8 +200,8 @@ def links(page: str) -> list[tuple[str, str, str]]:
             open_link = -1
         if m.group(1):
             continue
-        found = attributes(m.group(3)) if m.group(3) else {}
-        for key in ("href", "src", "action", "poster", "data"):
+        found = attributes(m.group(3)) if ADDRESS.search(m.group(3)) else {}
+        for key in ADDRESSES if found else ():
             if found.get(key, "").strip():
                 out.append((f"{name.upper()}@/{key}", found[key].strip(), found.get("alt", "") if name == "img" else ""))
                 if name == "a" and key == "href":

@@ -6,7 +6,7 @@ import re
 import time
 from html import unescape
 
-from hearthline.llm import extraction, warc
+from hearthline.llm import extraction, html, warc
 from hearthline.llm.html import lines
 
 ARTICLE = """<html><head><title>T</title><style>p{}</style></head><body>
@@ -254,3 +254,11 @@ def test_columns_of_any_name(spark):
     pages = spark.createDataFrame([(1, "u", "<p>hi", "a", "b", 5)], "page_id long, url string, html string, text_ string, `x.y` string, n_chars int")
     got = extraction.extract(pages)
     assert [tuple(r) for r in got.collect()] == [(1, "u", "<p>hi", "a", "b", "hi", 2)]
+
+
+def test_spaces_and_addresses_of_any_kind():
+    """White space as Python's regular expressions have it, and addresses whatever the case of their attribute."""
+    spaces = "".join(c for c in map(chr, range(0x110000)) if re.fullmatch(r"\s", c))
+    assert html.tidy([spaces, "a", spaces, "&nbsp;b", "​", spaces]) == "a b​"
+    page = "<p data-x=1 class=hrefs>x</p><IMG SRC=' y ' ALT=z><a\nHRef=u>t t</a><form ACTION=f><object data=d><video poster=p><p title=q>"
+    assert html.links(page) == [("IMG@/src", "y", "z"), ("A@/href", "u", "t t"), ("FORM@/action", "f", ""), ("OBJECT@/data", "d", ""), ("VIDEO@/poster", "p", "")]
