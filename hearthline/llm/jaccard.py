@@ -62,6 +62,9 @@ RANGE_BYTES = 12_000_000
 CHUNK = 1_000_000  # shingles
 #: From so many sets of a chunk on, a shingle is sent once for the chunk.
 HEAVY = 16
+#: Links and labels are written as a file for so many shared tokens of all sets, and ``FILES`` at least.
+FILE_TOKENS = 20_000_000
+FILES = 8
 _LOW = np.uint64((1 << 40) - 1)
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
@@ -395,7 +398,7 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.arrow_udf(count, T.LongType(), F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(a, b)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, files: int) -> DataFrame:
     """The pairs (a, b) of ids that are linked."""
     side = lambda x: classes.select(
         F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"shared_{x}")
@@ -405,6 +408,7 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return written(
         both.filter(100 * F.col("both") >= SHARE * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"),
         "linked",
+        files,
     )
 
 
@@ -427,19 +431,19 @@ def _star(index: DataFrame) -> DataFrame:
     )
 
 
-def links(classes: DataFrame) -> DataFrame:
+def links(classes: DataFrame, files: int) -> DataFrame:
     """Links (a, b) of classes that join all that are linked into the same components.
 
-    ``classes``: id, n, u, shared, keys of the sets that may have a partner.
+    ``classes``: id, n, u, shared, keys of the sets that may have a partner.  ``files``: of links and labels.
     """
     labelled = lambda index, labels: index.join(labels, "id", "left").withColumn(
         "label", F.coalesce("label", "id")
     )
     few = classes.select("id", "n", "u", F.inline(F.slice("keys", 1, 4)))
-    found = _verified(_star(few.withColumn("label", F.col("id"))), classes)
+    found = _verified(_star(few.withColumn("label", F.col("id"))), classes, files)
     index = classes.select("id", "n", "u", F.inline("keys"))
-    found = found.unionByName(_verified(_star(labelled(index, components(found))), classes))
-    rest = written(labelled(index, components(found)), "index")
+    found = found.unionByName(_verified(_star(labelled(index, components(found, files))), classes, files))
+    rest = written(labelled(index, components(found, files)), "index")
     open_keys = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
     rest = rest.join(open_keys.select("key"), "key", "left_semi")
     x, y = rest.alias("x"), rest.alias("y")
@@ -448,12 +452,14 @@ def links(classes: DataFrame) -> DataFrame:
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
     )
-    return found.unionByName(_verified(pairs, classes))
+    return found.unionByName(_verified(pairs, classes, files))
 
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     rows = written(sets(docs), "sets")
+    tokens = rows.agg(F.sum(F.col("n") - F.col("u"))).first()[0] or 0
+    files = max(FILES, -(-tokens // FILE_TOKENS))
     slim = rows.select("doc_id", "n", "s1", "s2")
     kinds = (
         slim.filter("n > 0 AND doc_id IS NOT NULL")
@@ -474,7 +480,7 @@ def join(docs: DataFrame) -> DataFrame:
         .select("a", F.explode("all").alias("b"))
         .filter("a < b")
     )
-    labels = components(links(classes).unionByName(twice))
+    labels = components(links(classes, files).unionByName(twice), files)
     return placed.join(labels, "id", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

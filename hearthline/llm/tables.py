@@ -29,10 +29,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, so that a lost
-    executor costs a read and not the work before it."""
+    executor costs a read and not the work before it.
+
+    ``files``: how many are written, for small tables out of many partitions.  Where Hadoop's native library is missing each file makes the
+    executor's JVM start three processes to set modes, and until each has started its memory counts twice.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     return spark.read.parquet(path)

@@ -1,10 +1,11 @@
 import random
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from hearthline.llm import jaccard
+from hearthline.llm import components, jaccard, tables
 
 
 def brute(rows):
@@ -98,3 +99,30 @@ def test_keys_grow_with_the_text_and_not_its_square(spark, monkeypatch):
     most = jaccard.sets(docs).selectExpr("max(size(keys)) AS n").first().n
     assert 0 < most <= 0.15 * 6000 + 2
     assert {r.component_id for r in jaccard.join(docs).collect()} == {0}
+
+
+def test_few_links_are_written_as_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are: each file makes the executor's JVM start processes."""
+    paths = []
+
+    def shared_dir(session, name, make=tables.shared_dir):
+        paths.append(make(session, name))
+        return paths[-1]
+
+    monkeypatch.setattr(tables, "shared_dir", shared_dir)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = texts()
+        got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+        files = {p: len(list(Path(p.removeprefix("file:")).glob("*.parquet"))) for p in paths}
+        assert len(files) > 10 and max(n for p, n in files.items() if "/links-" in p or "/label" in p or "/linked-" in p) <= jaccard.FILES
+        graph = spark.range(300).selectExpr("id AS a", "id + 1 AS b").filter("a % 3 < 2")
+        whole = {r.id: r.label for r in components.components(graph, 5).collect()}
+        assert whole == {i: i - i % 3 for i in range(300)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
