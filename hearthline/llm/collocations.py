@@ -2,15 +2,15 @@
 
 Texts (A-Z as a-z) are cut into pieces at ``.,;:!?`` and line ends, and pieces into words
 at spaces and tabs.  Only the longest windows are counted: each word with the ``LONGEST - 1``
-words after it in its piece, padded with nulls at the end of the piece.  Spark's ROLLUP over the
-window's columns then sums the counts of longer windows to those of their beginnings, so a
-word, a pair and a triple are counted from the same rows.
+words after it in its piece, padded with nulls at the end of the piece.  Spark's GROUPING SETS over the
+window's columns then sum the counts of longer windows to those of their beginnings, so a
+pair and a triple are counted from the same rows.
 
 1. A phrase is no more frequent than its parts, so runs of one, then two, then three words are counted before,
-   words as they are and longer runs of frequent parts as numbers only, and windows end where they get below ``LEAST``, like at the
-   end of a piece.  Tasks know the frequent runs from Bloom filters of a fixed size: what these let through
+   words as they are and longer runs of frequent parts as numbers only, which go packed by range to the tasks that add them up,
+   and windows end where they get below ``LEAST``, like at the end of a piece.  Tasks know the frequent runs from Bloom filters of a fixed size: what these let through
    wrongly, and with very many frequent runs that may be much, is more work and changes no count.
-2. Windows of what is left are counted, first within blocks of texts, and rolled up.
+2. Windows of what is left, of two words at least, are counted, first within blocks of texts, and summed to their beginnings.
 3. Phrases with a >= ``LEAST`` occurrences are candidates.  Cut after its first k words, a phrase
    scores floor(1000000 a a / (l r)) with l and r the counts of its parts; the lowest cut
    counts, the smallest k among equal ones.  Numbers are decimals, and exact to 10^14 words a language.
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .jaccard import _five, _from_five
 from .tables import long_texts, table, written
 from .words import Hasher, mixed, utf8
 from .workers import released
@@ -44,9 +45,14 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 FILTER_BITS = 1 << 26
 _FILTER_PART = 1 << 15  # bytes
 BLOCK = 1 << 20  # bytes of text counted at once, unless one text is longer
+#: Bytes of text for each range of hashes: some 2 million runs.
+RANGE_BYTES = 12_000_000
+CHUNK = 2_000_000  # runs that a task counts before it sends them
+_LOW = np.uint64((1 << 40) - 1)
 
 WORD = "lang string, word string, n long"
 WINDOW = "lang string, w1 string, w2 string, w3 string, n long"
+PACKED = "range long, once binary, runs binary, counts binary"
 
 
 def _hasher() -> Hasher:
@@ -179,30 +185,66 @@ def _runs(block: _Block, filters: list[np.ndarray]) -> tuple[list[np.ndarray], n
         longer = mixed(hashes[first] * np.uint64(0x9E3779B97F4A7C15) + words[first + size - 1])
         if size > len(filters):
             return fine, longer
-        may[first] = in_filter(filters[size - 1], longer)
+        may[first] = in_filter(filters[size - 1], mixed(longer & _LOW))
         hashes = np.zeros(len(words), np.uint64)
         hashes[first] = longer
         fine.append(may)
     raise AssertionError
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _packed(runs: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """How often each run occurs, in a row for each range of hashes that has any.  Within a range
+    40 bits of a hash are left; what these take for one run only lets the filter pass more."""
+    runs, counts = np.unique(runs, return_counts=True)
+    where = ((runs >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)  # in order like the runs
+    begin = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+    once, more, often = [], [], []
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(runs)], strict=True):
+        low, number = runs[a:b] & _LOW, counts[a:b]
+        once.append(_five(low[number == 1]))
+        more.append(_five(low[number > 1]))
+        often.append(number[number > 1].astype("<u4").tobytes())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(where[begin].astype(np.int64)), *(pa.array(x, pa.binary()) for x in (once, more, often))],
+        ["range", "once", "runs", "counts"],
+    )
+
+
+def _count_runs(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray], ranges: int) -> Iterator[pa.RecordBatch]:
+    met: list[np.ndarray] = []
     for block, _ in _blocks(batches):
-        runs, counts = np.unique(_runs(block, filters)[1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(counts.astype(np.int64))], ["hash", "n"])
+        met.append(_runs(block, filters)[1])
+        if sum(map(len, met)) >= CHUNK:
+            yield _packed(np.concatenate(met), ranges)
+            met = []
+    if any(map(len, met)):
+        yield _packed(np.concatenate(met), ranges)
+
+
+def _frequent_runs(group: pa.Table, least: int) -> pa.Table:
+    """Of one range, what the filter holds of the runs that occur ``least`` times."""
+    once, more = (_from_five(b"".join(group[name].to_pylist())) for name in ("once", "runs"))
+    often = np.frombuffer(b"".join(group["counts"].to_pylist()), "<u4")
+    runs = np.concatenate([once, more])
+    counts = np.concatenate([np.ones(len(once), np.int64), often])
+    order = np.argsort(runs)
+    runs = runs[order]
+    begin = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+    frequent = np.add.reduceat(counts[order], begin) >= least
+    return pa.table({"hash": mixed(runs[begin[frequent]]).view(np.int64)})
 
 
 def _count_windows(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for block, langs in _blocks(batches):
         fine, _ = _runs(block, filters)
-        if not fine[0].any():
+        if not fine[1].any():
             continue
         ids = block.ids.astype(np.int64) + 1  # 0 pads
         lead = np.zeros((len(ids), LONGEST), np.int64)
         lead[:, 0] = ids
         for k in range(1, LONGEST):  # the word k places on, if the run so far may be frequent
             lead[:-k, k] = np.where(fine[k][:-k], ids[k:], 0)
-        lead = lead[fine[0]]
+        lead = lead[fine[1]]  # single words are counted already
         base = len(block.hashes) + 1
         key = lead[:, 0]
         for k in range(1, LONGEST):
@@ -226,6 +268,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     """(lang, size, w1, w2, w3, n) of all runs of words with at least ``least`` occurrences, and
     (lang, total) of all words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    ranges = max(16, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     words = texts.mapInArrow(lambda b: released(_count_words(b)), WORD).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # Rare words are needed for the totals only.
     kept = F.when(F.col("n") >= least, F.col("word"))
@@ -236,22 +279,25 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     filters = [share(bloom_filter(frequent.mapInArrow(lambda b: released(_hash_words(b)), "hash long")))]
     for _ in range(1, LONGEST):
         known = list(filters)
-        met = texts.mapInArrow(lambda b, known=known: released(_count_runs(b, [f.value for f in known])), "hash long, n long")
-        runs = met.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("hash")
+        met = texts.mapInArrow(lambda b, known=known: released(_count_runs(b, [f.value for f in known], ranges)), PACKED)
+        runs = met.groupBy("range").applyInArrow(lambda g: _frequent_runs(g, least), "hash long")
         filters.append(share(bloom_filter(runs)))
 
     windows = texts.mapInArrow(lambda b: released(_count_windows(b, [f.value for f in filters])), WINDOW)
-    rolled = (
-        windows.rollup("lang", "w1", "w2", "w3")
+    lang, w1, w2, w3 = (F.col(c) for c in ("lang", "w1", "w2", "w3"))
+    summed = (
+        windows.groupingSets([[lang, w1, w2, w3], [lang, w1, w2]], lang, w1, w2, w3)
         .agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
         .filter(F.col("n") >= least)
     )
-    # Level 0 holds triples, 1 pairs, 3 words; padded windows count only in what they begin with.
-    size = F.when(F.col("level") == 0, 3).when(F.col("level") == 1, 2).when(F.col("level") == 3, 1)
-    real = rolled.select("lang", size.alias("size"), "w1", "w2", "w3", "n").filter(
-        "size = 1 OR size = 2 AND w2 IS NOT NULL OR size = 3 AND w3 IS NOT NULL"
+    # Level 0 holds triples, 1 pairs; padded windows count only in what they begin with.
+    size = F.when(F.col("level") == 0, 3).otherwise(2)
+    real = summed.select("lang", size.alias("size"), "w1", "w2", "w3", "n").filter("size = 2 OR w3 IS NOT NULL")
+    none = F.lit(None).cast("string")
+    single = counted.filter("word IS NOT NULL").select(
+        "lang", F.lit(1).alias("size"), F.col("word").alias("w1"), none.alias("w2"), none.alias("w3"), "n"
     )
-    return written(real, "phrases"), totals
+    return written(real, "phrases").unionByName(single), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, half: int = HALF, top: int = TOP) -> DataFrame:

@@ -3,6 +3,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from hearthline.llm import collocations
@@ -75,6 +77,30 @@ def test_products_beyond_64_bits(spark, monkeypatch):
     assert row.score == 1000000 * (big - 3) ** 2 // (big * (big - 1)) and row.n == 3 * big
 
 
+def test_runs_are_counted_packed(spark, monkeypatch):
+    """By range and in any chunks, and not as a row each."""
+    rng = np.random.default_rng(3)
+    runs = rng.integers(0, 1 << 63, 4000, np.uint64) * np.uint64(2)
+    met = np.concatenate([np.repeat(runs[:500], 5), runs, runs[:40], runs[-40:]])
+    rng.shuffle(met)
+    parts = [collocations._packed(x, 16) for x in np.array_split(met, 7)]
+    assert sum(p.num_rows for p in parts) <= 7 * 16 and sum(p.nbytes for p in parts) < 7 * len(met)
+    found = []
+    for r in range(16):
+        group = pa.Table.from_batches(parts).filter(pc.field("range") == r)
+        found += collocations._frequent_runs(group, 6)["hash"].to_pylist()
+    assert sorted(found) == sorted(collocations.mixed(runs[:500] & collocations._LOW).view(np.int64).tolist())
+    monkeypatch.setattr(collocations, "CHUNK", 100)
+    monkeypatch.setattr(collocations, "BLOCK", 300)
+    monkeypatch.setattr(collocations, "RANGE_BYTES", 100)
+    rows = some()
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert sorted(map(tuple, collocations.collocations(docs, 3).select(*COLUMNS).collect())) == brute(rows, 3, 50, 2000)
+    counts, _ = collocations.phrase_counts(docs, 3)
+    words = {(r.lang, r.w1): r.n for r in counts.filter("size = 1").collect()}
+    assert words["en", "new"] >= 3 and counts.filter("size > 1 AND w2 IS NULL OR n < 3").isEmpty()
+
+
 def test_windows_end_at_rare_words_and_pieces():
     text = np.frombuffer(b"a b a b. a b x a b", np.uint8)
     block = collocations._Block(collocations._hasher(), text, np.array([0, len(text)]), np.zeros(1, np.uint64))
