@@ -371,11 +371,16 @@ def sets(docs: DataFrame) -> DataFrame:
         return released(_chunks(batches, ranges))
 
     def shared(group: pa.Table) -> pa.Table:
-        release()
-        return _shared(group)
+        try:
+            return _shared(group)
+        finally:
+            release()
 
     def collected(group: pa.Table) -> pa.Table:
-        return _sets(group)
+        try:
+            return _sets(group)
+        finally:
+            release()
 
     packed = texts.mapInArrow(chunks, PACKED)
     counted = packed.groupBy("range").applyInArrow(shared, PACKED)
@@ -385,7 +390,7 @@ def sets(docs: DataFrame) -> DataFrame:
 def _overlap(a: Column, b: Column) -> Column:
     """Tokens that two sorted lists share."""
 
-    def count(lists: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def sizes(lists: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for ones, twos in lists:
             yield pa.array(
                 [
@@ -395,6 +400,9 @@ def _overlap(a: Column, b: Column) -> Column:
                 pa.int64(),
             )
 
+    def count(lists: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return released(sizes(lists))
+
     return F.arrow_udf(count, T.LongType(), F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(a, b)
 
 

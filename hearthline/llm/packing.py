@@ -147,6 +147,10 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        # Each thread keeps a model's cache of words beyond the model's end, some MB for each task of a
+        # worker; what is worth remembering is in the tables below.  Not every kind of model has a cache.
+        if resize := getattr(self.whole.model, "_resize_cache", None):
+            resize(0)
         self.letters = Tokenizer(self.whole.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence(
             [
