@@ -4,8 +4,9 @@ Directions are turned by ``ROTATIONS`` rotations, learned on a bounded sample (`
 vectors, those with the smallest hash of their id) so that the signs of the turned
 components lose as little as they can (iterative quantization).  The signs of all rotations
 are a vector's code.  Cells of the whole table (``vectors``) that can have nothing as near as the
-k-th best found are left out.  A code is split into substrings of ``BITS`` bits, and each block
-of vectors has an index of each substring.  A query probes in every index the
+k-th best found are left out.  A code is split into substrings, and each block
+of vectors has an index of each substring.  They have as many bits as number the block's vectors, and at most
+``BITS``: an index has about a bucket for each vector, so that probing meets few empty ones.  A query probes in every index the
 buckets within a small radius of its own substring.  By the pigeonhole principle,
 m indexes probed at radius r give every vector whose code differs in less than m * (r + 1) bits,
 and many beyond.  What is found is reranked by the inner product of the vectors.
@@ -39,7 +40,7 @@ K = 20
 SAMPLE = 4096
 ROTATIONS = 6
 BITS = 16
-SURE = 0.9
+SURE = 0.97
 ROUNDS = 15
 
 
@@ -66,10 +67,15 @@ def learned_rotations(sample: np.ndarray, count: int = ROTATIONS) -> np.ndarray:
     return np.stack(out)
 
 
-def codes(v: np.ndarray, turns: np.ndarray) -> np.ndarray:
-    """[substring, vector] numbers of ``BITS`` bits, or of all bits where there are fewer."""
+def width(n: int, d: int) -> int:
+    """Bits of the substrings for ``n`` vectors of ``d`` components."""
+    return max(1, min(BITS, d, n.bit_length() - 1))
+
+
+def codes(v: np.ndarray, turns: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """[substring, vector] numbers of so many bits, or of all bits where there are fewer."""
     d = turns.shape[1]
-    bits = min(BITS, d)
+    bits = min(bits, d)
     per = d // bits
     weights = (1 << np.arange(bits)).astype(np.int64)
     return np.concatenate(
@@ -93,31 +99,33 @@ def chance(bits: int, tables: int, r: int, angle: float) -> float:
 class Block:
     """The vectors of a block and the indexes of their substrings."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray, sub: np.ndarray, turns: np.ndarray, longest: float) -> None:
+    def __init__(
+        self, ids: np.ndarray, v: np.ndarray, sub: np.ndarray, turns: np.ndarray, longest: float, bits: int = BITS
+    ) -> None:
         self.ids, self.v, self.turns, self.longest = ids, v, turns, longest
-        self.bits = min(BITS, turns.shape[1])
+        self.bits = min(bits, turns.shape[1])
         self.near = v.astype(np.float32)
         m, n = sub.shape
         self.order = np.concatenate([np.argsort(s, kind="stable") for s in sub])
-        counts = np.stack([np.bincount(s, minlength=1 << self.bits) for s in sub])
-        self.ends = (np.cumsum(counts, axis=1) + (np.arange(m) * n)[:, None]).ravel()
-        self.sizes = counts.ravel()
+        counts = np.concatenate([np.bincount(s, minlength=1 << self.bits) for s in sub])
+        self.filled = counts > 0
+        self.first = np.concatenate([[0], np.cumsum(counts)])  # of each bucket, and of the one behind it
         self.rings = [masks(self.bits, r) for r in range(self.bits + 1)]
         grid = np.linspace(0, np.pi, 181)
         self.chances = np.array([[chance(self.bits, m, r, a) for a in grid] for r in range(self.bits + 1)])
 
     def probe(self, code: np.ndarray, r: int) -> np.ndarray:
         """Places of the vectors whose substrings differ from the query's in exactly r bits."""
-        base = (np.arange(len(code)) << self.bits)[:, None]
-        at = (base + (code[:, None] ^ self.rings[r])).ravel()
-        size = self.sizes[at]
-        at, size = at[size > 0], size[size > 0]
-        first = self.ends[at] - size
+        base = np.arange(len(code)) << self.bits
+        at = ((base | code)[:, None] ^ self.rings[r]).ravel()
+        at = at[self.filled[at]]
+        first = self.first[at]
+        size = self.first[at + 1] - first
         ahead = np.cumsum(size) - size
         return self.order[np.repeat(first - ahead, size) + np.arange(size.sum())]
 
     def search(self, ids: np.ndarray, v: np.ndarray, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        sub = codes(directions(v, self.longest, True), self.turns)
+        sub = codes(directions(v, self.longest, True), self.turns, self.bits)
         length = np.sqrt((v * v).sum(axis=1))
         slack = 1e-5 * self.longest
         for i in range(len(ids)):
@@ -134,7 +142,7 @@ class Block:
                     fresh[own] = False
                 seen |= fresh
                 new = np.flatnonzero(fresh)
-                rough[new] = self.near[new] @ query
+                rough[new] = self.near.take(new, axis=0) @ query
                 found = np.flatnonzero(seen)
                 least = floor[i]  # the k-th best of what the query has met before
                 if len(found) >= K:
@@ -166,19 +174,28 @@ def fitted(vectors: DataFrame) -> tuple[np.ndarray, float]:
     return learned_rotations(directions(np.array([r.v for r in sample]), longest)), longest
 
 
+def index_of(ids: np.ndarray, v: np.ndarray, turns: np.ndarray, longest: float) -> bytes:
+    bits = width(len(ids), turns.shape[1])
+    out = io.BytesIO()
+    np.savez(out, ids=ids, v=v, sub=codes(directions(v, longest), turns, bits), bits=bits)
+    return out.getvalue()
+
+
+def opened(index: bytes, turns: np.ndarray, longest: float) -> Block:
+    got = np.load(io.BytesIO(index))
+    return Block(got["ids"], got["v"], got["sub"], turns, longest, int(got["bits"]))
+
+
 def nearest(vectors: DataFrame, is_query: str) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``K`` nearest found for each row that is a query."""
     rows = written(usable(vectors, zero=False), "vectors")
     turns, longest = fitted(rows)
 
     def prepare(ids: np.ndarray, v: np.ndarray) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, ids=ids, v=v, sub=codes(directions(v, longest), turns))
-        return out.getvalue()
+        return index_of(ids, v, turns, longest)
 
     def searcher(index: bytes):
-        got = np.load(io.BytesIO(index))
-        return Block(got["ids"], got["v"], got["sub"], turns, longest).search
+        return opened(index, turns, longest).search
 
     return search(rows, is_query, K, longest**2, prepare, searcher, "double")
 

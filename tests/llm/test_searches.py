@@ -48,6 +48,28 @@ def test_pigeonhole_probing_finds_every_code_within_the_radius():
         assert all((np.bitwise_count(sub[:, i] ^ sub[:, q]) <= radius).any() for i in found)
 
 
+def test_probed_buckets_grow_with_the_block_and_not_beyond_it(monkeypatch):
+    """A small block has short substrings: a query looks up no more buckets than a few for each vector."""
+    rng = np.random.default_rng(6)
+    asked = []
+    probe = hashing.Block.probe
+    monkeypatch.setattr(hashing.Block, "probe", lambda b, code, r: asked.append(len(code) * len(b.rings[r])) or probe(b, code, r))
+    for n in (300, 4000):
+        v = rng.normal(size=(n, 64))
+        v /= np.sqrt((v * v).sum(axis=1))[:, None]
+        longest = 1.0 + 1e-9
+        turns = hashing.learned_rotations(hashing.directions(v, longest), 6)
+        block = hashing.opened(hashing.index_of(np.arange(n), v, turns, longest), turns, longest)
+        asked.clear()
+        hits = 0
+        for q, found, _ in block.search(np.arange(0, n, 20), v[::20], np.full(len(v[::20]), -np.inf)):
+            scores = v @ v[q]
+            scores[q] = -2
+            hits += len(set(np.argsort(-scores)[: hashing.K]) & set(found))
+        assert hits >= 0.97 * hashing.K * len(v[::20])
+        assert sum(asked) < 8 * n * len(v[::20])
+
+
 def brute(known, k=20):
     whole = {i: np.floor(64 * v) for i, v in known.items()}
     out = []
