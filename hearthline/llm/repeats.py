@@ -53,6 +53,8 @@ PART = 1 << 19
 CROWD = 20_000
 #: Bytes of stretches that are sorted at once, besides those of an anchor that is not finished.
 BLOCK = 1 << 18
+#: Stretches whose bytes are taken out at once.
+CONTEXTS = 1 << 13
 
 STRETCH = "k1 long, k2 long, doc_id long, text_hash long, base long, more binary"
 _PLACE_BITS = 25
@@ -239,40 +241,54 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
 CONTEXT = "key long, doc_id long, text_hash long, place long, bytes binary, more binary"
 
 
+def _contexts(
+    batch: pa.RecordBatch, row: np.ndarray, data: np.ndarray, at: np.ndarray, place: np.ndarray, count: np.ndarray, key: np.ndarray, more: pa.Array
+) -> Iterator[pa.RecordBatch]:
+    """The bytes of stretches, some at once; ``at``: where in ``data`` the text of each begins."""
+    for a in range(0, len(row), CONTEXTS):
+        some = slice(a, a + CONTEXTS)
+        size = count[some].astype(np.int64) + LENGTH - 1
+        ends = np.zeros(len(size) + 1, np.int32)
+        np.cumsum(size, out=ends[1:])
+        raw = data[np.repeat(at[some] + place[some] - ends[:-1], size) + np.arange(ends[-1])]
+        binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        who = pa.array(row[some])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[some]), batch.column(0).take(who), batch.column(1).take(who), pa.array(place[some]), binary, more[some]],
+            ["key", "doc_id", "text_hash", "place", "bytes", "more"],
+        )
+
+
 def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the listed stretches; of crowded anchors each string by itself."""
     hasher = _Bytes()
     for batch in batches:
-        for k in range(batch.num_rows):
-            data, _ = utf8(batch.column(2).slice(k, 1))
-            listed = batch.column(3)[k].values.flatten()
-            place, count, key = (np.asarray(listed[i]) for i in (0, 1, 2))
-            apart = np.asarray(listed[3].cast(pa.int8())) == 1
-            more = listed[4].to_pylist()
-            if apart.any():
-                size = count[apart]
-                inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                single = np.repeat(place[apart], size) + inside
-                sums = hasher.sums(data)
-                own = mixed((sums[single + LENGTH] - sums[single]) * hasher.inverse[single]).view(np.int64)
-                place = np.concatenate([place[~apart], single])
-                count = np.concatenate([count[~apart], np.ones(len(single), count.dtype)])
-                key = np.concatenate([key[~apart], own])
-                moved = [
-                    (np.frombuffer(more[j], "<i8") + i).tobytes() if more[j] else None
-                    for j, n in zip(np.flatnonzero(apart).tolist(), size.tolist(), strict=True)
-                    for i in range(n)
-                ]
-                more = [more[j] for j in np.flatnonzero(~apart).tolist()] + moved
-            size = count.astype(np.int64) + LENGTH - 1
-            ends = np.zeros(len(size) + 1, np.int32)
-            np.cumsum(size, out=ends[1:])
-            raw = data[np.repeat(place - ends[:-1], size) + np.arange(ends[-1])]
-            binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
-            row = pa.array(np.full(len(size), k))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), batch.column(0).take(row), batch.column(1).take(row), pa.array(place), binary, pa.array(more, pa.binary())],
-                ["key", "doc_id", "text_hash", "place", "bytes", "more"],
+        data, at = utf8(batch.column(2))
+        lists = batch.column(3)
+        row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+        listed = lists.flatten().flatten()
+        place, count, key = (np.asarray(listed[i]) for i in (0, 1, 2))
+        apart = np.asarray(listed[3].cast(pa.int8())) == 1
+        more = listed[4]
+        whole = np.flatnonzero(~apart)
+        yield from _contexts(batch, row[whole], data, at[row[whole]], place[whole], count[whole], key[whole], more.take(pa.array(whole)))
+        apart = np.flatnonzero(apart)
+        for k in np.unique(row[apart]).tolist():
+            own = apart[row[apart] == k]
+            text = data[at[k] : at[k + 1]]
+            size = count[own]
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            single = np.repeat(place[own], size) + inside
+            sums = hasher.sums(text)
+            keys = mixed((sums[single + LENGTH] - sums[single]) * hasher.inverse[single]).view(np.int64)
+            moved = [
+                (np.frombuffer(other, "<i8") + i).tobytes() if other else None
+                for other, n in zip(more.take(pa.array(own)).to_pylist(), size.tolist(), strict=True)
+                for i in range(n)
+            ]
+            one = np.ones(len(single), count.dtype)
+            yield from _contexts(
+                batch, np.full(len(single), k), text, np.zeros(len(single), np.int64), single, one, keys, pa.array(moved, pa.binary())
             )
 
 

@@ -2,8 +2,9 @@
 
 Multikey quicksort takes suffixes apart by words of eight bytes down to a shallow depth, all
 groups of a block at once: each has a pivot of its own and falls into what is below, like
-and above it.  What is still alike at that depth tends to stay alike for long, and
-comparing it word by word would read the same bytes again and again.  Such a group is
+and above it.  What is still alike at that depth tends to stay alike for long.  Groups of few such
+suffixes, and most are of two or three, are ordered by the words that follow, all groups of a block at once.
+In a larger group that would read the same bytes again and again.  It is
 ordered by a blind trie: a suffix descends by its branching bytes alone, is compared
 once with the leaf it reaches, and goes where the two part.
 """
@@ -14,11 +15,12 @@ import numpy as np
 
 WORD = 8  # bytes that the quicksort compares at once
 SHALLOW = 16  # bytes; a multiple of WORD
+FEW = 64  # suffixes alike at that depth that do not need a trie
 
 
 def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The eight bytes at each place as numbers in the order of the bytes."""
-    return np.ascontiguousarray(text[at[:, None] + np.arange(WORD)]).view(">u8").ravel().astype(np.uint64)
+    return np.ndarray(len(text) - WORD + 1, ">u8", text, strides=(1,))[at].astype(np.uint64)
 
 
 def shallow_sort(
@@ -114,8 +116,20 @@ def deep_shallow_sort(
     order, fresh = shallow_sort(text, starts, groups, shallow)
     begin = np.flatnonzero(fresh)
     size = np.diff(np.append(begin, len(order)))
-    raw, rest = text.tobytes(), depth - shallow
-    for a, n in zip(begin[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+    many = size > FEW
+    few = np.repeat((size > 1) & ~many, size)
+    if few.any():
+        live = np.flatnonzero(few)
+        at = starts[order[live]]
+        # The last word ends where the depth does, so it may repeat some bytes.
+        words = [_words(text, at + k) for k in [*range(shallow, depth - WORD, WORD), depth - WORD]]
+        moved = np.lexsort([*words[::-1], np.cumsum(fresh[live])])
+        order[live] = order[live][moved]
+        for word in words:
+            word = word[moved]
+            fresh[live[1:]] |= word[1:] != word[:-1]
+    raw, rest = text.tobytes() if many.any() else b"", depth - shallow
+    for a, n in zip(begin[many].tolist(), size[many].tolist(), strict=True):
         members = order[a : a + n].tolist()
         trie = BlindTrie(rest)
         for m, s in zip(members, (starts[order[a : a + n]] + shallow).tolist(), strict=True):

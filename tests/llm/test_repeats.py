@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hearthline.llm import repeats, suffixes
@@ -69,6 +70,53 @@ def test_deep_shallow_order(letters):
     assert fresh.tolist() == [True] + [a != b for a, b in zip(seen, seen[1:])]
 
 
+def test_small_groups_need_no_trie(monkeypatch):
+    """Pairs and triples that are alike beyond the shallow depth are ordered all at once; a crowd by a trie."""
+    rng = np.random.default_rng(3)
+    heads = rng.integers(0, 256, (300, 50)).astype(np.uint8)
+    rows = np.repeat(heads, 3, axis=0)
+    for k in range(16, 50):
+        rows[3 * k + 1, k] ^= 1  # parts at byte k, the second of its group
+        rows[3 * k + 2, k] ^= 255
+    text, starts, groups = rows.ravel(), np.arange(900) * 50, np.repeat(np.arange(150), 6)
+    made = []
+    trie = suffixes.BlindTrie
+    monkeypatch.setattr(suffixes, "BlindTrie", lambda size: made.append(size) or trie(size))
+    crowd = 200
+    for t, at, g, tries in ((text, starts, groups, 0), (np.tile(heads[0], crowd), np.arange(crowd) * 50, np.zeros(crowd, int), 1)):
+        order, fresh = suffixes.deep_shallow_sort(t, at, g, 50)
+        seen = [(g[i], t[at[i] : at[i] + 50].tobytes()) for i in order]
+        assert sorted(order.tolist()) == list(range(len(at))) and seen == sorted(seen)
+        assert fresh.tolist() == [True] + [a != b for a, b in zip(seen, seen[1:])]
+        assert len(made) == tries
+
+
+def test_bytes_of_stretches_are_taken_out_of_many_texts_at_once(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abé ") for _ in range(200)) for _ in range(100)]
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("strings", pa.int32()), ("anchor", pa.int64()), ("apart", pa.bool_()), ("more", pa.binary())]))
+    lists = [
+        [{"place": 9 * j, "strings": j + 1, "anchor": 100 * i + j, "apart": i == 51 and j == 2, "more": b"12345678" if j == 1 else None} for j in range(i % 4)]
+        for i in range(100)
+    ]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(range(100)), pa.array(texts), pa.array(lists, kind)], ["d", "h", "t", "some"])
+    lists[51] = [x for x in lists[51] if not x["apart"]]  # its strings have keys of their own
+    want = [
+        (x["anchor"], i, i, x["place"], texts[i].encode()[x["place"] : x["place"] + x["strings"] + 49], x["more"])
+        for i, some in enumerate(lists)
+        for x in some
+    ]
+    for at_once, batches in ((8192, 1), (40, 4)):
+        monkeypatch.setattr(repeats, "CONTEXTS", at_once)
+        for part in (batch.slice(0, 51), batch.slice(52)):
+            rows = [r for b in repeats._emit_contexts(iter([part])) for r in b.to_pylist()]
+            assert [tuple(r.values()) for r in rows] == [w for w in want if w[1] in part.column(0).to_pylist()]
+        made = list(repeats._emit_contexts(iter([batch])))
+        assert len(made) == batches + 1
+        raw = texts[51].encode()
+        assert [(r["doc_id"], r["place"], r["bytes"]) for r in made[-1].to_pylist()] == [(51, k, raw[k : k + 50]) for k in (18, 19, 20)]
+
+
 def test_stretches_hold_each_string_once():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
