@@ -44,7 +44,8 @@ def joined(first: np.ndarray, last: np.ndarray, n: np.ndarray, gap: int) -> list
 
 
 class Presence(StatefulProcessor):
-    """The spans of a device that may still go on; each has a timer for the moment its silence is too long."""
+    """The spans of a device that may still go on, in order of time, and one timer, for the moment when the silence after the first
+    of them is too long.  When it is due, all spans that the watermark has passed are said, and the next one has the timer."""
 
     def __init__(self, gap: int) -> None:
         self.gap = gap
@@ -67,31 +68,32 @@ class Presence(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self._spans()
-        spans = before
-        for part in rows:
-            at = part["micros"].to_numpy().astype(np.int64)
-            old = np.array(spans, np.int64).reshape(-1, 3)
-            first, last = np.concatenate([old[:, 0], at]), np.concatenate([old[:, 1], at])
-            spans = joined(first, last, np.concatenate([old[:, 2], np.ones(len(at), np.int64)]), self.gap)
-        for t in {self._expiry(s) for s in before} - {self._expiry(s) for s in spans}:
-            self.handle.deleteTimer(t)
-        for t in {self._expiry(s) for s in spans} - {self._expiry(s) for s in before}:
-            self.handle.registerTimer(t)
+        parts = [part["micros"].to_numpy().astype(np.int64) for part in rows]
+        at, old = np.concatenate(parts), np.array(before, np.int64).reshape(-1, 3)
+        first, last = np.concatenate([old[:, 0], at]), np.concatenate([old[:, 1], at])
+        spans = joined(first, last, np.concatenate([old[:, 2], np.ones(len(at), np.int64)]), self.gap)
+        was, now = self._expiry(before[0]) if before else None, self._expiry(spans[0])
+        if was != now:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(now)
         self._keep(spans)
-        yield pd.DataFrame()
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         spans, due = self._spans(), expiredTimerInfo.getExpiryTimeInMs()
-        over = [s for s in spans if self._expiry(s) <= due]
-        self._keep([s for s in spans if self._expiry(s) > due])
+        passed = max(due + 1, timerValues.getCurrentWatermarkInMs())  # a timer is due when the watermark is beyond it
+        over = [s for s in spans if self._expiry(s) < passed]
+        rest = spans[len(over) :]
+        self._keep(rest)
+        if rest:
+            self.handle.registerTimer(self._expiry(rest[0]))
         if over:
-            first, last, n = (np.array(c, np.int64) for c in zip(*over, strict=True))
+            first, last, n = np.array(over, np.int64).T
             time = lambda us: pd.to_datetime(us, unit="us")
             yield pd.DataFrame(
                 {"device_id": key[0], "online_from": time(first), "last_seen": time(last), "readings": n, "stale_from": time(last + self.gap)}
             )
-        else:
-            yield pd.DataFrame()
 
     def close(self) -> None:
         pass
